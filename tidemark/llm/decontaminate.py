@@ -32,15 +32,19 @@ def word_list(text: str | Column) -> Column:
 
 
 def shingles(words: str) -> Column:
-    """Hashes of all five-word windows, in text order; an empty list below five words."""
+    """Hashes of all five-word windows, in text order; null below five words.
+
+    A filter on the words or on the size of this list would be pushed below the split and repeat it
+    for every window, so rows without shingles stay, and lists are unnested with ``explode_outer``.
+    """
     n = F.size(words)
     window = lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(WORDS)))
-    return F.when(n >= WORDS, F.transform(F.sequence(F.lit(0), n - WORDS), window)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= WORDS, F.transform(F.sequence(F.lit(0), n - WORDS), window))
 
 
 def _shingled(df: DataFrame, keep: list[str | Column]) -> DataFrame:
-    """``keep`` and the shingles of each row that has some."""
-    return df.select(*keep, word_list("text").alias("words")).where(F.size("words") >= WORDS).select("*", shingles("words").alias("grams")).drop("words")
+    """``keep`` and the shingles of each row."""
+    return df.select(*keep, word_list("text").alias("words")).select("*", shingles("words").alias("grams")).drop("words")
 
 
 def _items(items: DataFrame) -> DataFrame:
@@ -59,11 +63,11 @@ def _signatures(items: DataFrame) -> DataFrame:
 
 def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, n_shingles, n_found, containment) of each document and item with containment of 0.8 or more."""
-    items = materialise(_items(items), "items")
+    items = materialise(_items(items), "items").where("grams is not null")
     signatures = _signatures(items)
     if signatures.count() <= MOST_BROADCAST:
         signatures = F.broadcast(signatures)
-    probes = _shingled(docs, ["doc_id"]).select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    probes = _shingled(docs, ["doc_id"]).select("doc_id", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram"))
     found = probes.join(signatures, "gram").where("n >= least").select("doc_id", "item_id", "item").distinct()
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item")).alias("items")).withColumnRenamed("doc_id", "found_id")
     found = materialise(found, "candidates")
