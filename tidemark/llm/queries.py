@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, mixing, near_dup, quality, sharding, token_store, tokens
+from tidemark.llm import decontaminate, mixing, near_dup, pii, quality, sharding, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +40,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op6_decontamination, op7_token_counts, op8_quality_rules, op10_token_store)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op6_decontamination, op7_token_counts, op8_quality_rules, op9_personal_data, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
