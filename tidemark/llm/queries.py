@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, mixing, near_dup, pii, quality, sharding, token_store, tokens
+from tidemark.llm import decontaminate, html_main, licenses, mixing, near_dup, pii, quality, sharding, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
@@ -49,7 +57,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op6_decontamination, op7_token_counts, op8_quality_rules, op9_personal_data, op10_token_store)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op4_licenses, op5_main_text, op6_decontamination, op7_token_counts, op8_quality_rules, op9_personal_data, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
