@@ -34,8 +34,9 @@ def word_list(text: str | Column) -> Column:
 def shingles(words: str) -> Column:
     """Hashes of all five-word windows, in text order; null below five words.
 
-    A filter on the words or on the size of this list would be pushed below the split and repeat it
-    for every window, so rows without shingles stay, and lists are unnested with ``explode_outer``.
+    A filter on this list or its size, and the null check of a join on it, would be pushed below the
+    split and repeat it for every window. So rows without shingles stay, lists are unnested with
+    ``explode_outer``, and sizes are counted from the words.
     """
     n = F.size(words)
     window = lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(WORDS)))
@@ -43,8 +44,8 @@ def shingles(words: str) -> Column:
 
 
 def _shingled(df: DataFrame, keep: list[str | Column]) -> DataFrame:
-    """``keep`` and the shingles of each row."""
-    return df.select(*keep, word_list("text").alias("words")).select("*", shingles("words").alias("grams")).drop("words")
+    """``keep``, the shingles of each row and n, how many they are."""
+    return df.select(*keep, word_list("text").alias("words")).select("*", shingles("words").alias("grams"), F.greatest(F.size("words") - WORDS + 1, F.lit(0)).alias("n")).drop("words")
 
 
 def _items(items: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     signatures = _signatures(items)
     if signatures.count() <= MOST_BROADCAST:
         signatures = F.broadcast(signatures)
-    probes = _shingled(docs, ["doc_id"]).select("doc_id", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram"))
+    probes = _shingled(docs, ["doc_id"]).select("doc_id", "n", F.explode_outer("grams").alias("gram"))
     found = probes.join(signatures, "gram").where("n >= least").select("doc_id", "item_id", "item").distinct()
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item")).alias("items")).withColumnRenamed("doc_id", "found_id")
     found = materialise(found, "candidates")
