@@ -1,0 +1,128 @@
+"""Markdown pages to chunks: fences, tags, sections, blocks and greedy packing.
+
+Lines are rows; fences, runs, sections and blocks are running sums over a page's lines, so the work
+is one window order a page. Headings, tables and tags are only seen outside fences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidemark.functions.text import image_refs, strip
+
+MAX_CHARS, OVERSIZED = 1600, 2400
+#: Shortcodes with text to keep, in order; then all other tags, and comments.
+KEPT = (r'\{\{<\s*glossary_tooltip\b[^>]*?text="([^"]+)"[^>]*?>\}\}', r'\{\{<\s*glossary_tooltip\b[^>]*?term_id="([^"]+)"[^>]*?>\}\}', r'\{\{<\s*figure\b[^>]*?caption="([^"]+)"[^>]*?>\}\}')
+DROPPED = (r"\{\{[<%][^>%]*?[>%]\}\}", r"(?s)<!--.*?-->")
+_FENCE = r"^\s*```"
+
+
+def strip_tags(prose: Column) -> Column:
+    """Prose without shortcodes and comments; text for people stays."""
+    for p in KEPT:
+        prose = F.regexp_replace(prose, p, "$1")
+    for p in DROPPED:
+        prose = F.regexp_replace(prose, p, "")
+    return prose
+
+
+def _lines(pages: DataFrame, text: str) -> DataFrame:
+    return pages.select("path", F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
+
+
+def _in_order(*order: str):
+    return Window.partitionBy("path").orderBy(*order)
+
+
+def front_matter(pages: DataFrame) -> DataFrame:
+    """path, title (the path without one), draft and body of (path, markdown)."""
+    head = F.regexp_extract("markdown", r"(?s)\A\s*---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)", 1)
+    field = lambda name: strip(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1), r"""^["']|["']\s*$""", ""))
+    body = F.regexp_replace("markdown", r"(?s)\A\s*---[ \t]*\n.*?\n---[ \t]*(?:\n+|\z)", "")
+    title = field("title")
+    return pages.select("path", F.when(title != "", title).otherwise(F.col("path")).alias("title"), (F.lower(field("draft")) == "true").alias("draft"), body.alias("body"))
+
+
+def _fenced(lines: DataFrame, *order: str) -> DataFrame:
+    """Adds mark (a fence line), fence (number of marks before the line and with it) and inside (a line between marks)."""
+    mark = F.col("line").rlike(_FENCE)
+    rows = lines.withColumn("mark", mark).withColumn("fence", F.sum(F.col("mark").cast("int")).over(_in_order(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("inside", ~F.col("mark") & (F.col("fence") % 2 == 1))
+
+
+def stripped_lines(pages: DataFrame) -> DataFrame:
+    """(path, n, m, line): lines of (path, body) without tags outside fences. n is the start of a prose run before, m the line in it after stripping."""
+    lines = _fenced(_lines(pages, "body"), "n")
+    prose = ~F.col("mark") & ~F.col("inside")
+    runs = lines.where(prose).groupBy("path", "fence").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
+    runs = runs.select("path", "n", strip_tags(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("t"))
+    loose = runs.select("path", "n", F.posexplode(F.split("t", "\n", -1)).alias("m", "line"))
+    return loose.unionByName(lines.where(~prose).select("path", "n", F.lit(0).alias("m"), "line"))
+
+
+def sections(lines: DataFrame) -> DataFrame:
+    """(path, n, m, line, section_no, section): lines below their heading trail; heading lines go."""
+    rows = _fenced(lines, "n", "m")
+    heading = ~F.col("mark") & ~F.col("inside") & F.col("line").rlike(r"^#{1,6}\s+")
+    rows = rows.withColumns({"heading": heading, "level": F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)), "name": strip(F.regexp_replace("line", r"^#{1,6}\s+", ""))})
+    so_far = _in_order("n", "m").rowsBetween(Window.unboundedPreceding, 0)
+    upper = F.col("heading") & (F.col("level") <= 2)
+    rows = rows.withColumns({"section_no": F.sum(F.col("heading").cast("int")).over(so_far), "upper_no": F.sum(upper.cast("int")).over(so_far), "h2": F.last(F.when(upper, F.col("name")), ignorenulls=True).over(so_far)})
+    within = Window.partitionBy("path", "upper_no").orderBy("n", "m").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("h3", F.last(F.when(F.col("heading") & (F.col("level") > 2), F.col("name")), ignorenulls=True).over(within))
+    h2, h3 = F.coalesce("h2", F.lit("")), F.coalesce("h3", F.lit(""))
+    trail = F.when((h2 != "") & (h3 != ""), F.concat(h2, F.lit(" / "), h3)).when(h3 != "", h3).otherwise(h2)
+    return rows.where(~F.col("heading")).select("path", "n", "m", "line", "section_no", trail.alias("section"))
+
+
+def blocks(lines: DataFrame) -> DataFrame:
+    """(path, section_no, section, block_no, block): paragraphs, whole tables and whole fences of sectioned lines."""
+    order = Window.partitionBy("path", "section_no").orderBy("n", "m")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("mark", F.col("line").rlike(_FENCE)).withColumn("fence", F.sum(F.col("mark").cast("int")).over(so_far))
+    rows = rows.withColumn("inside", ~F.col("mark") & (F.col("fence") % 2 == 1))
+    blank = ~F.col("mark") & ~F.col("inside") & (strip(F.col("line")) == "")
+    rows = rows.withColumns({"blank": blank, "row": F.col("line").rlike(r"^\s*\|"), "opens": F.col("mark") & (F.col("fence") % 2 == 1), "in_fence": F.col("mark") | F.col("inside")})
+    before = lambda c: F.lag(c).over(order)
+    starts = F.col("opens") | (~F.col("in_fence") & (before("in_fence") | before("blank") | (before("row") != F.col("row"))))
+    rows = rows.withColumn("block_no", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(so_far)).where(~F.col("blank"))
+    made = rows.groupBy("path", "section_no", "section", "block_no").agg(F.array_sort(F.collect_list(F.struct("n", "m", "line"))).alias("l"))
+    return made.withColumn("block", strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))).where("block <> ''").drop("l")
+
+
+def pack(found: DataFrame, most: int = MAX_CHARS) -> DataFrame:
+    """(path, chunk_index, section, body): blocks packed greedily up to ``most`` characters; a larger block stands alone. Indexes run over the page."""
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("size"))
+
+    def step(a: Column, b: Column) -> Column:
+        full = (a["size"] > 0) & (a["size"] + F.length(b) > most)
+        return F.struct(
+            F.when(full, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]).alias("done"),
+            F.when(full | (a["size"] == 0), b).otherwise(F.concat(a["open"], F.lit("\n\n"), b)).alias("open"),
+            (F.when(full, 0).otherwise(a["size"]) + F.length(b) + 2).alias("size"),
+        )
+
+    listed = found.groupBy("path", "section_no", "section").agg(F.array_sort(F.collect_list(F.struct("block_no", "block"))).alias("l"))
+    packed = listed.select("path", "section_no", "section", F.aggregate(F.transform("l", lambda x: x["block"]), zero, step, lambda a: F.concat(a["done"], F.array(a["open"]))).alias("bodies"))
+    rows = packed.select("path", "section_no", "section", F.posexplode("bodies").alias("i", "body"))
+    return rows.withColumn("chunk_index", F.row_number().over(_in_order("section_no", "i")) - 1).select("path", "chunk_index", "section", "body")
+
+
+def chunk_pages(raw: DataFrame, most: int = MAX_CHARS) -> DataFrame:
+    """(path, title, draft, chunk_index, section, text, n_chars) of (path, markdown)."""
+    pages = front_matter(raw)
+    chunks = pack(blocks(sections(stripped_lines(pages))), most)
+    prefix = F.when(F.col("section") != "", F.concat("title", F.lit(" / "), "section")).otherwise(F.col("title"))
+    rows = chunks.join(pages.select("path", "title", "draft"), "path").withColumn("text", F.concat(prefix, F.lit("\n\n"), "body"))
+    return rows.select("path", "title", "draft", "chunk_index", "section", "text", F.length("text").alias("n_chars"))
+
+
+def page_table(raw: DataFrame, chunks: DataFrame, version: str) -> DataFrame:
+    """(path, title, has_images, n_chunks, corpus_version); a page without chunks counts 0."""
+    n = chunks.groupBy("path").agg(F.count("*").cast("int").alias("n_chunks"))
+    pages = front_matter(raw).select("path", "title", (F.size(image_refs(F.col("body"))) > 0).alias("has_images"))
+    return pages.join(n, "path", "left").select("path", "title", "has_images", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.lit(version).alias("corpus_version"))
+
+
+def oversized(chunks: DataFrame, most: int = OVERSIZED) -> DataFrame:
+    return chunks.where(F.length("text") > most)

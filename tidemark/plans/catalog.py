@@ -1 +1,3 @@
 """Imports every query module, so that all queries are registered."""
+
+from tidemark.plans import retrieval  # noqa: F401
