@@ -26,11 +26,13 @@ def apply_batch(changes: DataFrame, folder: str) -> None:
     """Append the changes that are not applied yet, and their ledger rows, to the logs in ``folder``.
 
     The high-water mark is the greatest seq of the ledger, which is written last: a batch that is
-    replayed after a failure adds nothing twice. Chunk counts before the batch come from the log.
+    replayed after a failure adds no ledger row twice, and a change that is in the log twice counts
+    once. Chunk counts before the batch come from the log. Batches must arrive in order of seq; inside
+    a batch the order is free.
     """
     spark = changes.sparkSession
     done = _stored(spark, f"{folder}/ledger", LEDGER).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-    log = _stored(spark, f"{folder}/changes", CHANGE).where(F.col("seq") <= done)
+    log = _stored(spark, f"{folder}/changes", CHANGE).where(F.col("seq") <= done).dropDuplicates(["seq"])
     fresh = changes.where(F.col("seq") > done).dropDuplicates(["seq"])
     if fresh.isEmpty():
         return
