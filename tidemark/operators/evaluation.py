@@ -85,3 +85,8 @@ def health_gate(rows: DataFrame, degraded: Column, most: int) -> int:
     if n > most:
         raise RuntimeError(f"{n} degraded rows, {most} are allowed")
     return n
+
+
+def accuracy(rows: DataFrame, correct: Column, *by: str) -> DataFrame:
+    """(n, n_correct, accuracy) of each group."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(correct).alias("n_correct")).withColumn("accuracy", F.try_divide("n_correct", "n"))

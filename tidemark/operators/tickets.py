@@ -81,11 +81,15 @@ def fill_sheet(sheet: DataFrame, outcomes: DataFrame, scores: DataFrame, names:
     return rows.withColumns({c: F.when(~F.coalesce("_degraded", F.lit(False)), F.coalesce(F.col(f"_{c}"), F.col(c))) for c in names}).drop(*(f"_{c}" for c in ("degraded", "route", *names)))
 
 
-def directory_match(rows: DataFrame, directories: DataFrame) -> DataFrame:
-    """Adds in_domain to rows (sigs, url): whether the address holds a directory of one of the row's groups. directories holds (sig, dirs) and is one row a group."""
-    per = rows.withColumn("_id", F.monotonically_increasing_id())
-    hits = per.select("_id", "url", F.explode("sigs").alias("sig")).join(directories, "sig").groupBy("_id").agg(F.max(F.exists("dirs", lambda d: F.contains("url", d))).alias("in_domain"))
-    return per.join(hits, "_id", "left").withColumn("in_domain", F.coalesce("in_domain", F.lit(False))).drop("_id")
+def directory_match(rows: DataFrame, directories: DataFrame, *key: str) -> DataFrame:
+    """Adds in_domain to rows (key, sigs, url): whether the address holds a directory of one of the row's groups. directories holds (sig, dirs)."""
+    hits = rows.select(*key, "url", F.explode("sigs").alias("sig")).join(directories, "sig").groupBy(*key).agg(F.max(F.exists("dirs", lambda d: F.contains("url", d))).alias("in_domain"))
+    return rows.join(hits, list(key), "left").withColumn("in_domain", F.coalesce("in_domain", F.lit(False)))
+
+
+def newest(rows: DataFrame, n: int, order: str = "number") -> DataFrame:
+    """The n newest rows that are held out; n is the size of an evaluation set."""
+    return rows.where("is_held_out").orderBy(F.desc(order)).limit(n)
 
 
 def split_valid(rows: DataFrame, tenants: int = hashing.TENANTS) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 QUERY_BLOCK, CORPUS_BLOCK, K = 1024, 16_384, 20
@@ -34,7 +35,7 @@ def _block_top(k: int, same_tenant: bool):
             keys_all, q_ids = corpus.column("key").to_numpy(), queries.column("query_id").to_numpy()
             scores = np.round(_unit(queries, "qvec") @ _unit(corpus, "vec").T, 9)
             if same_tenant:
-                scores[queries.column("tenant_id").to_numpy()[:, None] != corpus.column("tenant_id").to_numpy()[None, :]] = -np.inf
+                scores[queries.column("query_tenant").to_numpy()[:, None] != corpus.column("tenant_id").to_numpy()[None, :]] = -np.inf
             for row, q in zip(scores, q_ids, strict=True):
                 near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
                 best = near[np.lexsort((keys_all[near], -row[near]))][:k]
@@ -58,11 +59,11 @@ def exact_top(queries: DataFrame, corpus: DataFrame, k: int = K, same_tenant: bo
     """
     n_q = max(1, -(-queries.count() // QUERY_BLOCK))
     n_c = max(1, -(-corpus.count() // CORPUS_BLOCK))
-    tenant = [F.col("tenant_id")] if same_tenant else []
     cell = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     group = F.pmod(F.xxhash64("tenant_id"), F.lit(8)).cast("int") if same_tenant else F.lit(0)
-    q = queries.select("query_id", "qvec", *tenant, group.alias("g"), cell("query_id", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
-    c = corpus.select("key", "vec", *tenant, group.alias("g"), cell("key", n_c).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    asking, owning = ([F.col("tenant_id").alias("query_tenant")], [F.col("tenant_id")]) if same_tenant else ([], [])
+    q = queries.select("query_id", "qvec", *asking, group.alias("g"), cell("query_id", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
+    c = corpus.select("key", "vec", *owning, group.alias("g"), cell("key", n_c).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
     found = q.groupBy("g", "qb", "cb").cogroup(c.groupBy("g", "qb", "cb")).applyInArrow(_block_top(k, same_tenant), "query_id long, key long, similarity double")
     return _rank(found, k)
 
@@ -95,6 +96,23 @@ class CellIndex:
         scored = F.array(*(F.struct((-score(c)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)))
         return F.transform(F.slice(F.array_sort(scored), 1, n), lambda x: x["cell"])
 
+    def calibrate(self, queries: DataFrame, corpus: DataFrame, k: int = K, target: float = 0.95, sample: int = 256) -> int:
+        """The fewest probes that reach the target recall on at most about ``sample`` of the queries, drawn by a hash; all cells reach 1."""
+        n = max(1, queries.count())
+        asked = queries.where(F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(1 << 20)) < min(1 << 20, -(-(sample << 20) // n))).cache()
+        exact = exact_top(asked, corpus, k).cache()
+        probes = [*range(2, len(self.centres), 2), len(self.centres)]
+        low, high = 0, len(probes) - 1
+        while low < high:  # recall rises with the probes
+            mid = (low + high) // 2
+            if (recall(self.top(asked, corpus, k, probes[mid]), exact).first()["recall"] or 1.0) >= target:
+                high = mid
+            else:
+                low = mid + 1
+        asked.unpersist()
+        exact.unpersist()
+        return probes[low]
+
     def top(self, queries: DataFrame, corpus: DataFrame, k: int = K, probes: int = 4) -> DataFrame:
         """As ``exact_top``, but only rows of the probed cells are compared: an equi-join on the cell."""
         rows = corpus.select("key", "vec", F.element_at(self._cells("vec", 1), 1).alias("cell"))
@@ -128,3 +146,10 @@ def embed(texts: DataFrame, text: str, model, dim: int) -> DataFrame:
 
     once = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct().mapInArrow(run, "_text string, embedding array<float>")
     return texts.join(once, texts[text] == once["_text"], "left").drop("_text")
+
+
+def hashed_embedding(texts: DataFrame, key: str, tokens: str, dim: int = 64) -> DataFrame:
+    """(key, embedding): unit vectors of hashed token counts, a stand-in where no model is given. Rows without tokens get zeros."""
+    counted = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=dim).transform(texts)
+    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
+    return unit.select(key, F.transform(vector_to_array("_unit"), lambda x: x.cast("float")).alias("embedding"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import fulltext, fusion, vector
+from tidemark.functions import hashing
+from tidemark.operators import fulltext, fusion, hybrid, vector
 from tidemark.plans import tables as T
 from tidemark.plans.registry import register
 
@@ -64,7 +65,8 @@ def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate search by cells, with its recall against the exact result in every row."""
     corpus = T.vectors(spark, sf_dir)
     asked = T.vector_queries(corpus)
-    found = vector.CellIndex(corpus).top(asked, corpus)
+    index = vector.CellIndex(corpus)
+    found = index.top(asked, corpus, probes=index.calibrate(asked, corpus))
     share = vector.recall(found, vector.exact_top(asked, corpus))
     return found.withColumn("one", F.lit(1)).join(share.select(F.lit(1).alias("one"), "recall"), "one").drop("one")
 
@@ -150,3 +152,23 @@ SELECT q.query_id, round(coalesce(0.5 * avg((n_lists >= 2)::INT) + 0.3 * max(has
 def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, lists = hybrid_lists(spark, sf_dir)
     return fusion.confidence(asked, fusion.fuse(lists), ["all_fts", "tenant_fts"]).select("query_id", F.round("confidence", 9).alias("confidence"))
+
+
+def hybrid_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, docs, tickets): documents with vectors; odd ids are docs, even ids tickets, and the held-out tickets ask."""
+    rows = T.vectors(spark, sf_dir).join(T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), "key").withColumn("is_held_out", hashing.is_held_out(F.col("key")))
+    held = rows.where("key % 2 = 0")
+    asked = held.where("is_held_out").select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"), fulltext.query_terms(F.col("text")).alias("terms"), "tenant_id")
+    return asked, rows.where("key % 2 = 1"), held
+
+
+@register("hybrid_two_corpora")
+def hybrid_two_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four lists over two corpora under the tenant filter; tests hold the invariants."""
+    return hybrid.hybrid_search(*hybrid_corpora(spark, sf_dir)).select("query_id", "key", "corpus", F.round("score", 9).alias("score"), "position", F.length("text").alias("n_chars"))
+
+
+@register("hashed_vectors")
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.texts(spark, sf_dir).select("key", fulltext.tokens(F.col("text")).alias("tokens"))
+    return vector.hashed_embedding(rows, "key", "tokens")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions import scoring, stats
+from tidemark.functions import objects, scoring, stats
 from tidemark.operators import evaluation, fusion
 from tidemark.plans import tables as T
 from tidemark.plans.registry import register
@@ -139,3 +139,17 @@ def score_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"groundedness": '), value, F.lit("}")).alias("json"))
     checked = rows.select("event_id", scoring.valid_scores(F.col("json"), ["groundedness"]).alias("v"))
     return checked.select("event_id", "v.groundedness", F.col("v.error").isNotNull().alias("failed"))
+
+
+@register("first_objects", """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE props END AS object FROM events""")
+def first_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties inside prose: fenced, after an empty object, and cut."""
+    n = F.col("event_id") % 3
+    said = F.when(n == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).when(n == 1, F.concat(F.lit("{} and {x "), "props", F.lit(" }"))).otherwise(F.regexp_replace("props", "[}]", ""))
+    return T.table(spark, sf_dir, "events").select("event_id", objects.first_object(said).alias("object"))
+
+
+@register("triage_accuracy", f"WITH {SQL_TRIAGE} SELECT severity, count(*) AS n, count_if(component = 'sig/c') AS n_correct, count_if(component = 'sig/c') / count(*) AS accuracy FROM tr GROUP BY severity")
+def triage_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _triaged(spark, sf_dir).select("triage.component", "triage.severity")
+    return evaluation.accuracy(rows, F.col("component") == "sig/c", "severity")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.chunking import front_matter
 
-TICKET = T.StructType.fromDDL(
+TICKET = (
     "number bigint, title string, body string, labels array<struct<name:string>>, created_at string, closed_at string, url string,"
     " closing_nodes array<struct<number:bigint,url:string,merged:boolean,repository:struct<nameWithOwner:string>>>"
 )
