@@ -18,7 +18,7 @@ _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Bytes of text that are handled at a time; a longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
