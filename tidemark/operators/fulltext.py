@@ -35,9 +35,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
-def postings(corpus: DataFrame, *carry: str) -> DataFrame:
-    """(key, token, tf) and the carried columns for each token of ``corpus`` (key, text); stop words have none."""
+def postings(corpus: DataFrame, *carry: str, only: DataFrame | None = None) -> DataFrame:
+    """(key, token, tf) and the carried columns for each token of ``corpus`` (key, text); stop words have none.
+
+    only: queries with terms; then other tokens are dropped before anything is shuffled. Without it the
+    result is an index to keep.
+    """
     rows = corpus.select("key", *carry, F.explode(tokens(F.col("text"))).alias("token"))
+    if only is not None:
+        rows = rows.join(only.select(F.explode("terms").alias("token")).distinct(), "token", "left_semi")
     return rows.where(~F.col("token").isin(STOP_WORDS)).groupBy("key", *carry, "token").agg(F.count("*").alias("tf"))
 
 

@@ -92,26 +92,20 @@ class CellIndex:
 
     def _cells(self, vector: str, n: int) -> Column:
         """The n nearest cells, nearest first. The centres are literals: cells times dimensions numbers."""
-        score = lambda c: F.aggregate(F.zip_with(vector, F.array(*map(F.lit, c)), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x) / F.sqrt(dot(vector, vector)) - sum(x * x for x in c) / 2
+        score = lambda c: F.aggregate(F.zip_with(vector, F.expr(f"array({', '.join(f'{x!r}D' for x in c)})"), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x) / F.sqrt(dot(vector, vector)) - sum(x * x for x in c) / 2
         scored = F.array(*(F.struct((-score(c)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)))
         return F.transform(F.slice(F.array_sort(scored), 1, n), lambda x: x["cell"])
 
     def calibrate(self, queries: DataFrame, corpus: DataFrame, k: int = K, target: float = 0.95, sample: int = 256) -> int:
         """The fewest probes that reach the target recall on at most about ``sample`` of the queries, drawn by a hash; all cells reach 1."""
         n = max(1, queries.count())
-        asked = queries.where(F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(1 << 20)) < min(1 << 20, -(-(sample << 20) // n))).cache()
-        exact = exact_top(asked, corpus, k).cache()
-        probes = [*range(2, len(self.centres), 2), len(self.centres)]
-        low, high = 0, len(probes) - 1
-        while low < high:  # recall rises with the probes
-            mid = (low + high) // 2
-            if (recall(self.top(asked, corpus, k, probes[mid]), exact).first()["recall"] or 1.0) >= target:
-                high = mid
-            else:
-                low = mid + 1
-        asked.unpersist()
-        exact.unpersist()
-        return probes[low]
+        asked = queries.where(F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(1 << 20)) < min(1 << 20, -(-(sample << 20) // n)))
+        cells = corpus.select("key", F.element_at(self._cells("vec", 1), 1).alias("cell"))
+        order = asked.select("query_id", self._cells("qvec", len(self.centres)).alias("cells"))
+        # a neighbour is found as soon as its cell is probed
+        place = F.array_position("cells", F.col("cell"))
+        needed = exact_top(asked, corpus, k).join(cells, "key").join(order, "query_id").withColumn("place", place).agg(F.expr(f"percentile_disc({target}) WITHIN GROUP (ORDER BY place)"))
+        return int(needed.first()[0] or 1)
 
     def top(self, queries: DataFrame, corpus: DataFrame, k: int = K, probes: int = 4) -> DataFrame:
         """As ``exact_top``, but only rows of the probed cells are compared: an equi-join on the cell."""

@@ -101,17 +101,20 @@ def fts_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("fts_any", _text_search())
 def fts_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.search(T.text_queries(spark, sf_dir), fulltext.postings(T.texts(spark, sf_dir)))
+    asked = T.text_queries(spark, sf_dir)
+    return fulltext.search(asked, fulltext.postings(T.texts(spark, sf_dir), only=asked))
 
 
 @register("fts_any_tenant", _text_search("AND t.tenant_id = idx.tenant_id"))
 def fts_any_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.search(T.text_queries(spark, sf_dir), fulltext.postings(T.texts(spark, sf_dir), "tenant_id"), same_tenant=True)
+    asked = T.text_queries(spark, sf_dir)
+    return fulltext.search(asked, fulltext.postings(T.texts(spark, sf_dir), "tenant_id", only=asked), same_tenant=True)
 
 
 @register("fts_all", _text_search(having="k = n"))
 def fts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.search(T.text_queries(spark, sf_dir), fulltext.postings(T.texts(spark, sf_dir)), mode="all")
+    asked = T.text_queries(spark, sf_dir)
+    return fulltext.search(asked, fulltext.postings(T.texts(spark, sf_dir), only=asked), mode="all")
 
 
 @register("fts_stemmed")
@@ -129,7 +132,7 @@ def hybrid_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str,
     asked = T.vector_queries(corpus)
     words = T.texts(spark, sf_dir).where(F.col("key") % T.QUERY_MOD == 0).join(asked.select(F.col("query_id").alias("key")), "key", "left_semi")
     terms = words.select(F.col("key").alias("query_id"), fulltext.query_terms(F.col("text")).alias("terms"), "tenant_id")
-    index = fulltext.postings(T.texts(spark, sf_dir), "tenant_id")
+    index = fulltext.postings(T.texts(spark, sf_dir), "tenant_id", only=terms)
     lists = {"all_vector": vector.exact_top(asked, corpus), "tenant_vector": vector.exact_top(asked, corpus, same_tenant=True), "all_fts": fulltext.search(terms.drop("tenant_id"), index), "tenant_fts": fulltext.search(terms, index, same_tenant=True)}
     return asked, lists
 
