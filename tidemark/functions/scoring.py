@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from tidemark.functions.text import strip
 
+#: Thresholds of the blended confidence, and the shortest body.
 AUTO_ATTACH, REQUEST_INFO, LEAST_BODY = 0.65, 0.35, 80
 #: Terms of each component, and of the two upper severities.
 COMPONENT_TERMS = {

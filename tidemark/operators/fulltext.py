@@ -10,7 +10,7 @@ STOP_WORDS = (
     "a an and are as at be been by can cannot do does for from has have how in is it its may more most no not of on or should that the their then there these this to was were"
     " what when where which while why will with you your after before during between"
 ).split()
-#: What is taken from the body of a query: quoted code, flags, camel case, dotted names, quoted messages.
+#: Fixed value: what is taken from the body of a query: quoted code, flags, camel case, dotted names, quoted messages.
 PAYLOAD = r'`[^`\n]{2,60}`|--[A-Za-z][A-Za-z0-9-]{2,40}|(?U:\b[a-z][a-z0-9]*(?:[A-Z][a-z0-9]+)+\b)|(?U:\b[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+){1,5}\b)|"[^"\n]{4,60}"'
 K, MOST_TERMS = 20, 15
 
