@@ -155,6 +155,20 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in got if r.doc_id < 300} == {0} and all(r.class_id == r.doc_id for r in got if r.doc_id >= 1000)
 
 
+def ended(base, tail, seed):
+    """base with other last words."""
+    return " ".join([*base[: len(base) - tail], *(f"x{seed}y{i}" for i in range(tail))])
+
+
+def test_bucket_of_many_unlike_classes(spark):
+    base, table = prose(21, 200).split(" "), []
+    for i in range(200):  # 0.78 alike across, 0.81 inside a pair
+        one = ended(base, 24, i)
+        table += [(2 * i, one), (2 * i + 1, ended(one.split(" "), 20, 1000 + i))]
+    got = near_dup.classes(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert all(r.class_id == r.doc_id - r.doc_id % 2 and r.class_size == 2 for r in got)
+
+
 # 3 sharding
 
 

@@ -7,14 +7,14 @@ subsequence of the two within a band of (n1 + n2) / 9 positions, beyond which no
 
 Each of SKETCHES hash functions takes the ELL least labelled shingles and hashes them in text order
 (Order MinHash), so that texts with the same shingles in another order differ. A linked pair shares
-one sketch with probability about 0.64, so all SKETCHES differ with probability below 1e-7.
+one sketch with probability p of about 0.64 at least (0.60 for texts of five to ten shingles), so all
+SKETCHES differ with probability (1 - p) ** SKETCHES: below 1e-7, and 5e-7 for short texts.
 
-Equal word sequences are one node, so copies are never compared. In each bucket of equal sketches
-members meet leaders, drawn by hashes that differ from sketch to sketch and turn to turn, so pairs
-grow with the rows. In the first turn each node is aligned with the leader it shares most sketches
-with. Later turns look at the buckets that still hold several classes and align each node with those
-of sixteen leaders of other classes that share most sketches with it, until a turn links nothing. Pairs
-and small buckets are thereby compared in full. Classes are the connected components.
+Equal word sequences are one node, so copies are never compared. First each node is aligned with the
+one leader it shares most sketches with. Then the buckets of equal sketches that still hold several
+classes are compared in full: blocks of their nodes meet blocks of those outside the largest class,
+all pairs of different classes are filtered by the exact count of common shingles and aligned, and
+a block hands on verified links only. Classes are the connected components.
 
 Defined cases: a text with one to four words has one shingle of all its words; null texts and texts
 without words are classes of their own; repeated rows are copies; rows whose doc_id is null are
@@ -35,8 +35,8 @@ from tidemark.llm.components import connected
 from tidemark.llm.storage import materialise
 
 WORDS, SIMILARITY, SKETCHES, ELL, PAIRS = 5, 0.8, 16, 2, 256
-#: Leaders of a bucket, least shared sketches and most partners of a node, in the first turn and in each later one.
-FIRST_TURN, LATER_TURN = (1, 2, 1), (16, 4, 8)
+#: Most nodes and shingles of a block of a bucket, about; several small buckets share a block.
+BLOCK_NODES, BLOCK_GRAMS = 2048, 1 << 20
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | W.U64(1)
 _SKETCH = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n_grams", T.IntegerType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
 
@@ -199,22 +199,134 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("sketch").agg(F.count("*").alias("n")).where("n > 1").select("sketch"), "sketch", "left_semi")
 
 
-def _candidates(members: DataFrame, nodes: DataFrame, turn: int, leaders: int, shared: int, most: int) -> DataFrame:
-    """(a, b, la, lb): for each node the ``most`` leaders of its buckets with which it shares most sketches, ``shared`` at least, and which have another label.
+def _first_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): each node and the leader of its buckets with which it shares most sketches, two at least.
 
-    ``members`` has node, sketch and label, and may name the bucket's largest class, whose nodes are then
-    met but do not look for partners. Each bucket has so many leaders, drawn by hashes that differ
-    from sketch to sketch and turn to turn, so rows grow with the members and never with their square.
+    A bucket's leader is drawn by a hash that differs from sketch to sketch, so rows grow with the members.
     """
-    draw = lambda t: F.min(F.struct(F.xxhash64("sketch", "node", F.lit(turn * leaders + t)).alias("d"), F.col("node").alias("b"), F.col("label").alias("lb"))).alias(f"l{t}")
-    drawn = members.groupBy("sketch").agg(*map(draw, range(leaders)))
-    drawn = drawn.select("sketch", F.array_distinct(F.array(*(F.struct(F.col(f"l{t}.b"), F.col(f"l{t}.lb")) for t in range(leaders)))).alias("l"))
-    asking = members.where("label <> largest") if "largest" in members.columns else members
-    met = asking.join(drawn, "sketch").select(F.col("node").alias("a"), F.col("label").alias("la"), F.explode("l").alias("l")).select("a", "la", "l.b", "l.lb").where("la <> lb").distinct()
+    drawn = members.groupBy("sketch").agg(F.min(F.struct(F.xxhash64("sketch", "node").alias("d"), F.col("node").alias("b"))).alias("l"))
+    met = members.join(drawn, "sketch").select(F.col("node").alias("a"), F.col("l.b").alias("b")).where("a <> b").distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketches").alias(f"sketches_{c}"))
-    met = met.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("sketches_a", "sketches_b"))).where(F.col("shared") >= shared)
-    nearest = Window.partitionBy("a").orderBy(F.desc("shared"), F.xxhash64("a", "b"))  # at most SKETCHES times leaders rows
-    return met.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= most).select("a", "b", "la", "lb")
+    met = met.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("sketches_a", "sketches_b"))).where("shared >= 2")
+    nearest = Window.partitionBy("a").orderBy(F.desc("shared"), F.xxhash64("a", "b"))  # at most SKETCHES rows
+    return met.withColumn("place", F.row_number().over(nearest)).where("place = 1").select("a", "b")
+
+
+class _Side:
+    """The rows of a block: codes of nodes and labels, sketches, shingles as they are asked for."""
+
+    def __init__(self, table: pa.Table, node_code: dict[bytes, int], label_code: dict[bytes, int]):
+        self.node = np.array([node_code[x] for x in table.column("node").to_pylist()], np.int64)
+        self.label = np.array([label_code[x] for x in table.column("label").to_pylist()], np.int64)
+        self.sketches = table.column("sketches").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
+        self.n = table.column("n_grams").to_numpy().astype(np.int64)
+        self.sketch = table.column("sketch").to_numpy()
+        self.text = table.column("text").combine_chunks()
+
+    def grams(self, rows: np.ndarray, kept: dict) -> None:
+        """Puts (labelled, plain) shingles of the rows into ``kept`` by node."""
+        rows = np.array([r for r in dict(zip(self.node[rows].tolist(), rows.tolist(), strict=True)).values() if self.node[r] not in kept], np.int64)
+        if not len(rows):
+            return
+        for first, data, text_at in W.slices(self.text.take(pa.array(rows))):
+            at, *hashes = labelled(W.words(data, text_at, W.ALNUM))
+            found = zip(*(np.split(x, at[1:-1]) for x in hashes), strict=True)
+            kept.update(zip(self.node[rows[first : first + len(text_at) - 1]].tolist(), found, strict=True))
+
+
+def _links_of_bucket(a: _Side, ra: np.ndarray, b: _Side, rb: np.ndarray, asks: np.ndarray, sketch: int, kept: dict, top) -> None:
+    """Joins, with ``top``, the classes of the rows ra of a and rb of b of one bucket that hold a linked pair.
+
+    ``asks`` flags the rows of b that also stand in a: such a pair is met from its lesser node. A pair that
+    shares an earlier sketch is met in that bucket.
+    """
+    own = int(np.argmax(a.sketches[ra[0]] == sketch))
+    n_a, n_b = a.n[ra][:, None], b.n[rb][None, :]
+    open_ = (a.label[ra][:, None] != b.label[rb][None, :]) & (np.minimum(n_a, n_b) >= SIMILARITY * (n_a + n_b) / (1 + SIMILARITY) - 1e-9)
+    open_ &= ~asks[rb][None, :] | (a.node[ra][:, None] < b.node[rb][None, :])
+    for s in range(own):
+        open_ &= a.sketches[ra, s][:, None] != b.sketches[rb, s][None, :]
+    if not open_.any():
+        return
+    some_a, some_b = open_.any(axis=1), np.flatnonzero(open_.any(axis=0))
+    a.grams(ra[some_a], kept)
+    b.grams(rb[some_b], kept)
+    held = [kept[k][0] for k in b.node[rb[some_b]].tolist()]
+    gram, owner = np.concatenate(held), np.repeat(some_b, [len(x) for x in held])
+    order = np.argsort(gram)
+    gram, owner = gram[order], owner[order]
+    for i in np.flatnonzero(some_a):
+        mine, plain = kept[int(a.node[ra[i]])]
+        ours = top(a.label[ra[i]])
+        seek = open_[i] & (top(b.label[rb]) != ours)
+        if not seek.any():
+            continue
+        # the exact count of common labelled shingles with each row of b
+        low, high = np.searchsorted(gram, mine, "left"), np.searchsorted(gram, mine, "right")
+        many = high - low
+        at = np.repeat(low - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=len(rb))
+        near = np.flatnonzero(seek & (common >= SIMILARITY * (len(mine) + b.n[rb]) / (1 + SIMILARITY) - 1e-9))
+        for j in near[np.argsort(-common[near], kind="stable")]:
+            if top(b.label[rb[j]]) == top(a.label[ra[i]]):
+                continue
+            other, other_plain = kept[int(b.node[rb[j]])]
+            m = aligned(mine, other, plain, other_plain)
+            if m / max(1, len(mine) + len(other) - m) >= SIMILARITY - 1e-9:
+                top(a.label[ra[i]], b.label[rb[j]])
+
+
+def _links_of_block(asking: pa.Table, members: pa.Table) -> pa.Table:
+    """(a, b): labels of classes that a linked pair of the block joins, a spanning forest of them."""
+    label_of = sorted(set(asking.column("label").to_pylist()) | set(members.column("label").to_pylist()))
+    node_of = sorted(set(asking.column("node").to_pylist()) | set(members.column("node").to_pylist()))
+    root, links = np.arange(len(label_of)), []
+
+    def top(x, y=None):
+        """The root of one label or many; with y the classes of both are joined."""
+        if y is None:
+            return root[x]
+        links.append((label_of[x], label_of[y]))
+        root[root == root[y]] = root[x]
+
+    if len(asking) and len(members):
+        codes = [dict(zip(x, range(len(x)), strict=True)) for x in (node_of, label_of)]
+        a, b, kept = _Side(asking, *codes), _Side(members, *codes), {}
+        asks = members.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        by_a, by_b = np.argsort(a.sketch, kind="stable"), np.argsort(b.sketch, kind="stable")
+        sorted_a, sorted_b = a.sketch[by_a], b.sketch[by_b]
+        for sketch in np.unique(sorted_a):
+            ra, rb = (by[np.searchsorted(x, sketch, "left") : np.searchsorted(x, sketch, "right")] for by, x in ((by_a, sorted_a), (by_b, sorted_b)))
+            if len(rb):
+                _links_of_bucket(a, ra, b, rb, asks, sketch, kept, top)
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+
+def _open_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): labels of different classes that a linked pair in a bucket joins.
+
+    Of two classes in a bucket one at least is not the largest, so blocks of nodes outside the largest
+    meet blocks of all nodes. No pair is a row, and no block grows with its bucket.
+    """
+    now = members.select("node", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(nodes.select("node", "n_grams"), "node")
+    held = now.groupBy("sketch", "label").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
+    sums = F.max(F.struct("n", "grams", "label")).alias("most"), F.sum("n").alias("n"), F.sum("grams").alias("grams")
+    mixed = held.groupBy("sketch").agg(*sums, F.count("*").alias("classes")).where("classes > 1")
+    blocks = lambda n, grams: F.ceil(F.greatest(n / BLOCK_NODES, grams / BLOCK_GRAMS, F.lit(1.0))).cast("int")
+    mixed = mixed.select("sketch", F.col("most.label").alias("largest"), "n", "grams", blocks(F.col("n") - F.col("most.n"), F.col("grams") - F.col("most.grams")).alias("n_a"), blocks(F.col("n"), F.col("grams")).alias("n_b"))
+    mixed = materialise(mixed, "mixed")
+    small = mixed.where("n_b = 1").agg(F.sum("n"), F.sum("grams")).first()
+    packs = max(1, -(-(small[0] or 0) // BLOCK_NODES), -(-(small[1] or 0) // BLOCK_GRAMS))
+    pack = F.when(F.col("n_b") == 1, F.pmod(F.xxhash64("sketch"), F.lit(packs))).otherwise(F.col("sketch"))
+    rows = now.join(mixed.drop("n", "grams"), "sketch").select("node", "sketch", "label", "n_grams", (F.col("label") != F.col("largest")).alias("asks"), "n_a", "n_b", pack.alias("pack"))
+    rows = rows.join(nodes.select("node", "sketches"), "node").join(texts, "node")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["node", "sketch", "label", "n_grams", "sketches", "text", "asks", "pack"]
+    a = rows.where("asks").select(*columns, block("n_a").alias("i"), each("n_b").alias("j"))
+    b = rows.select(*(F.col(c).alias(c) for c in columns), each("n_a").alias("i"), block("n_b").alias("j"))
+    key = "pack", "i", "j"
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_links_of_block, "a binary, b binary")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -226,22 +338,12 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, node (null without words), class_id (the least doc_id of the class), class_size (rows)."""
     rows = materialise(docs.select("doc_id", _sketch_of(F.lower("text")).alias("s")).select("doc_id", "s.*"), "sketches")
-    nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketches").alias("sketches")), "nodes")
-    members = materialise(_buckets(nodes), "buckets").withColumn("label", F.col("node"))
+    nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("sketches").alias("sketches")), "nodes")
+    members = materialise(_buckets(nodes), "buckets")
     texts = materialise(_texts_of(docs, members.select("node").distinct().join(nodes.select("node", "rep"), "node")), "candidate-texts")
-    pairs = _candidates(members, nodes, 0, *FIRST_TURN)
-    labels = materialise(connected(_linked(pairs.select("a", "b"), texts)), "labels")
-    turn = 0
-    while True:  # until a turn links nothing: each turn that does leaves fewer classes
-        turn += 1
-        now = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        held = now.groupBy("sketch", "label").agg(F.count("*").alias("n"))
-        # of two classes in a bucket one at least is not the largest, so its nodes need not look for partners
-        mixed = held.groupBy("sketch").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("classes")).where("classes > 1").select("sketch", F.col("most.label").alias("largest"))
-        pairs = materialise(_candidates(now.join(mixed, "sketch"), nodes, turn, *LATER_TURN), "open-pairs")
-        more = materialise(_linked(pairs.select("a", "b"), texts).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")), "links")
-        if more.isEmpty():
-            break
+    labels = materialise(connected(_linked(_first_pairs(members, nodes), texts)), "labels")
+    more = materialise(_open_links(members, labels, nodes, texts), "links")
+    if not more.isEmpty():
         joined = connected(more).select(F.col("node").alias("label"), F.col("label").alias("final"))
         alone = joined.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("final").alias("label"))
         labels = materialise(labels.join(joined, "label", "left").select("node", F.coalesce("final", "label").alias("label")).union(alone), "labels")
