@@ -169,6 +169,17 @@ def test_bucket_of_many_unlike_classes(spark):
     assert all(r.class_id == r.doc_id - r.doc_id % 2 and r.class_size == 2 for r in got)
 
 
+def test_two_outsiders_of_large_classes(spark):
+    table = []
+    for g in range(8):
+        base = prose(40 + g, 200).split(" ")
+        table += [(1000 * g + i, " ".join([*base[:i], f"n{i}", *base[i + 1 :]])) for i in range(150)]
+        one = ended(base, 24, g)  # 0.78 like the others, 0.81 like the next
+        table += [(1000 * g + 900, one), (1000 * g + 901, ended(one.split(" "), 20, 50 + g))]
+    got = near_dup.classes(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert all(r.class_id == r.doc_id - r.doc_id % 1000 + (900 if r.doc_id % 1000 >= 900 else 0) for r in got)
+
+
 # 3 sharding
 
 
