@@ -180,6 +180,16 @@ def test_two_outsiders_of_large_classes(spark):
     assert all(r.class_id == r.doc_id - r.doc_id % 1000 + (900 if r.doc_id % 1000 >= 900 else 0) for r in got)
 
 
+def test_pairs_that_share_two_sketches(spark):
+    table = []
+    for g, i in enumerate((857, 9824)):  # 9 of 11 shingles, but 2 of 16 sketches
+        one = [f"p{i}q{k}" for k in range(14)]
+        table += [(1000 * g, " ".join(one)), (1000 * g + 1, " ".join([*one[:13], "end"]))]
+        table += [(1000 * g + 2 + z, " ".join([f"a{z}", *one[1:13], f"z{z}"])) for z in range(100)]
+    got = near_dup.classes(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert all(r.class_id == r.doc_id - (r.doc_id % 1000 == 1) for r in got)
+
+
 # 3 sharding
 
 
