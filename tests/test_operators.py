@@ -159,6 +159,30 @@ def test_cells_reach_recall(spark, sf_dir):
     assert vector.recall(found, vector.exact_top(asked, corpus)).first().recall >= 0.9
 
 
+def test_blocks_of_a_hot_cell_are_bounded(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(600, 8))
+    x[:200] = x[0]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key bigint, vec array<double>")
+    asked = rows.select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"))
+    index = vector.CellIndex(rows, cells=4)
+    want = index.top(asked, rows, k=7, probes=4).collect()
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 32)
+    monkeypatch.setattr(vector, "CORPUS_BLOCK", 64)
+    assert sorted(index.top(asked, rows, k=7, probes=4).collect()) == sorted(want)
+
+    def sizes(k, same_tenant):
+        def run(queries, corpus):
+            import pyarrow as pa
+
+            return pa.table({"query_id": pa.array([len(queries)], pa.int64()), "key": pa.array([len(corpus)], pa.int64()), "similarity": pa.array([0.0])})
+
+        return run
+
+    monkeypatch.setattr(vector, "_block_top", sizes)
+    met = index.top(asked, rows, k=1000, probes=4).collect()
+    assert max(r.query_id for r in met) <= 64 and max(r.key for r in met) <= 128
+
+
 def test_embedding_runs_once_a_text(spark):
     df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "id int, t string")
     got = {r.id: r.embedding for r in vector.embed(df, "t", lambda texts: [[len(t), 1.0] for t in texts], 2).collect()}

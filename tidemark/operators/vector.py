@@ -108,12 +108,17 @@ class CellIndex:
         return int(needed.first()[0] or 1)
 
     def top(self, queries: DataFrame, corpus: DataFrame, k: int = K, probes: int = 4) -> DataFrame:
-        """As ``exact_top``, but only rows of the probed cells are compared: an equi-join on the cell."""
+        """As ``exact_top``, but only rows of the probed cells are compared: an equi-join on the cell, in blocks of its queries and its rows."""
         rows = corpus.select("key", "vec", F.element_at(self._cells("vec", 1), 1).alias("cell"))
         asked = queries.select("query_id", "qvec", F.explode(self._cells("qvec", probes)).alias("cell"))
-        c_cells = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4)).cast("int"))
-        q_cells = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3))))
-        found = q_cells.groupBy("cell", "part").cogroup(c_cells.groupBy("cell", "part")).applyInArrow(_block_top(k, False), "query_id long, key long, similarity double")
+        blocks = lambda df, size, name: df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+        sizes = F.broadcast(blocks(rows, CORPUS_BLOCK, "n_c").join(blocks(asked, QUERY_BLOCK, "n_q"), "cell"))  # a row a cell
+        block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        c_cells = rows.join(sizes, "cell").select(F.col("cell").alias("cell"), "key", "vec", block("key", "n_c").alias("cb"), each("n_q").alias("qb"))
+        q_cells = asked.join(sizes, "cell").select(F.col("cell").alias("cell"), "query_id", "qvec", block("query_id", "n_q").alias("qb"), each("n_c").alias("cb"))
+        key = "cell", "qb", "cb"
+        found = q_cells.groupBy(*key).cogroup(c_cells.groupBy(*key)).applyInArrow(_block_top(k, False), "query_id long, key long, similarity double")
         return _rank(found, k)
 
 
