@@ -131,6 +131,13 @@ def test_kappa(spark):
     assert stats.kappa(spark.createDataFrame([(1, 1)] * 12, "a int, b int"), "a", "b").first().kappa == 1.0
 
 
+def test_registered_bootstrap_takes_all_draws(spark, sf_dir):
+    from tidemark.plans import evaluating, tables
+
+    want = stats.bootstrap(tables.table(spark, sf_dir, "labels"), "quality", draws=2000).first()
+    assert evaluating.bootstrap(spark, sf_dir).first() == want
+
+
 def test_bootstrap_covers_the_mean(spark):
     df = spark.range(400).select(F.col("id"), (F.col("id") % 2).alias("v"))
     r = stats.bootstrap(df, "v", draws=200).first()

@@ -78,7 +78,7 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("bootstrap")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 95 percent interval of the mean quality label."""
-    return stats.bootstrap(T.table(spark, sf_dir, "labels"), "quality", draws=200)
+    return stats.bootstrap(T.table(spark, sf_dir, "labels"), "quality")
 
 
 _STALE = f"""{T.SQL_CHANGES}, a AS (SELECT path, arg_max(payload, (seq, op_no)) AS payload, arg_max(live, (seq, op_no)) AS live FROM o WHERE seq <= 500 GROUP BY path), z AS (SELECT path, arg_max(payload, (seq, op_no)) AS payload, arg_max(live, (seq, op_no)) AS live FROM o GROUP BY path)"""
