@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import checks, chunking, evaluation, fulltext, fusion, hybrid, replay, tickets, vector
+from tidemark.operators import checks, chunking, evaluation, fulltext, fusion, hybrid, replay, tickets, topk, vector
 
 PAGE = """---
 title: "Pods"
@@ -122,7 +122,7 @@ def test_chunks_match_a_line_by_line_chunker(spark):
     assert (table.title, table.has_images, table.n_chunks) == ("Pods", True, len(plain_chunks(PAGE, 1600)))
 
 
-def test_vectors_match_brute_force(spark):
+def test_vectors_match_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[10] = x[11]
@@ -140,13 +140,11 @@ def test_vectors_match_brute_force(spark):
             pool = [k for k in range(300) if not same or k % 5 == q % 5]
             want = sorted(pool, key=lambda k: (-sims[q, k], k))[:7]
             assert [k for _, k in sorted(got[q])] == want
-    blocks = vector.QUERY_BLOCK, vector.CORPUS_BLOCK
-    try:
-        vector.QUERY_BLOCK, vector.CORPUS_BLOCK = 4, 64
-        many = vector.exact_top(asked, rows, k=7)
-    finally:
-        vector.QUERY_BLOCK, vector.CORPUS_BLOCK = blocks
-    assert many.exceptAll(vector.exact_top(asked, rows, k=7)).count() == 0
+    want = vector.exact_top(asked, rows, k=7).collect()
+    monkeypatch.setattr(topk, "SENT_ROWS", 0)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vector, "CORPUS_BLOCK", 64)
+    assert sorted(vector.exact_top(asked, rows, k=7).collect()) == sorted(want)
 
 
 def test_cells_reach_recall(spark, sf_dir):
@@ -155,8 +153,10 @@ def test_cells_reach_recall(spark, sf_dir):
     corpus = tables.vectors(spark, sf_dir)
     asked = tables.vector_queries(corpus)
     index = vector.CellIndex(corpus)
-    found = index.top(asked, corpus, probes=index.calibrate(asked, corpus))
-    assert vector.recall(found, vector.exact_top(asked, corpus)).first().recall >= 0.9
+    cells, exact = index.assign(corpus), vector.exact_top(asked, corpus)
+    assert cells.count() == corpus.count()
+    found = index.top(asked, cells, probes=index.calibrate(asked, cells, exact))
+    assert vector.recall(found, exact).first().recall >= 0.9
 
 
 def test_blocks_of_a_hot_cell_are_bounded(spark, monkeypatch):
@@ -165,22 +165,15 @@ def test_blocks_of_a_hot_cell_are_bounded(spark, monkeypatch):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key bigint, vec array<double>")
     asked = rows.select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"))
     index = vector.CellIndex(rows, cells=4)
-    want = index.top(asked, rows, k=7, probes=4).collect()
+    cells = index.assign(rows)
+    want = index.top(asked, cells, k=7, probes=4).collect()
+    monkeypatch.setattr(topk, "SENT_ROWS", 0)
     monkeypatch.setattr(vector, "QUERY_BLOCK", 32)
     monkeypatch.setattr(vector, "CORPUS_BLOCK", 64)
-    assert sorted(index.top(asked, rows, k=7, probes=4).collect()) == sorted(want)
-
-    def sizes(k, same_tenant):
-        def run(queries, corpus):
-            import pyarrow as pa
-
-            return pa.table({"query_id": pa.array([len(queries)], pa.int64()), "key": pa.array([len(corpus)], pa.int64()), "similarity": pa.array([0.0])})
-
-        return run
-
-    monkeypatch.setattr(vector, "_block_top", sizes)
-    met = index.top(asked, rows, k=1000, probes=4).collect()
-    assert max(r.query_id for r in met) <= 64 and max(r.key for r in met) <= 128
+    assert sorted(index.top(asked, cells, k=7, probes=4).collect()) == sorted(want)
+    # no task hands on more than the best rows of one block of each size
+    met = vector._in_blocks(asked.withColumn("g", F.lit(0)), rows.withColumn("g", F.lit(0)), k=1000).groupBy("query_id").count()
+    assert met.agg(F.max("count")).first()[0] == 600
 
 
 def test_embedding_runs_once_a_text(spark):
@@ -208,6 +201,50 @@ def test_full_text(spark):
     assert [fulltext.stem(w) for w in ("running", "pods", "policies", "volumes", "sing")] == ["run", "pod", "policy", "volum", "sing"]
 
 
+def test_texts_meet_terms_as_postings_do(spark, sf_dir, monkeypatch):
+    from tidemark.plans import tables
+
+    asked, docs = tables.text_queries(spark, sf_dir), tables.texts(spark, sf_dir)
+    for mode, same in (("any", False), ("all", False), ("any", True)):
+        want = sorted(fulltext.search(asked if same else asked.drop("tenant_id"), fulltext.postings(docs, *(["tenant_id"] if same else [])), 5, mode, same).collect())
+        assert want and sorted(fulltext.match(asked, docs, 5, mode, same).collect()) == want
+    monkeypatch.setattr(topk, "SENT_ROWS", 0)
+    assert sorted(fulltext.match(asked, docs, 5, same_tenant=True).collect()) == want
+    odd = spark.createDataFrame([(1, []), (2, ["pod"])], "query_id bigint, terms array<string>")
+    assert fulltext.match(odd, docs.limit(0)).count() == 0 and fulltext.match(odd.limit(0), docs).count() == 0
+
+
+def test_best_rows_stay():
+    rng = np.random.default_rng(4)
+    best, seen = topk.Best(3, 5), []
+    for _ in range(20):
+        q, v, k = rng.integers(0, 3, 50), rng.integers(0, 9, 50).astype(float), rng.integers(0, 10**6, 50)
+        best.add(q, v, k)
+        seen += zip(q.tolist(), v.tolist(), k.tolist())
+    for q in range(3):
+        want = sorted(((v, k) for p, v, k in seen if p == q), key=lambda x: (-x[0], x[1]))[:5]
+        assert [(v, k) for p, v, k in zip(best.query.tolist(), best.value.tolist(), best.key.tolist()) if p == q] == want
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_fused_rows_joined_with_themselves(spark, sf_dir, adaptive):
+    """The same rows whatever the number of partitions, without any other setting."""
+    from tidemark.plans import retrieval
+
+    old, got = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        for n in ("1", "4", "8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            fused = retrieval.fused_vectors(spark, sf_dir)
+            cites = fused.select("query_id", (F.col("key") + F.when(F.col("position") % 4 == 0, 1000000).otherwise(0)).alias("source"))
+            got.add((fusion.cited(fused, cites).count(), fused.count(), fusion.uncovered(cites.withColumn("source", F.col("source").cast("string")), fused).count()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {(150, 200, 50)}
+
+
 def test_fusion(spark):
     lists = {"a_vector": [(1, "x", 1), (1, "y", 2)], "b_fts": [(1, "x", 1), (1, "z", 2)]}
     fused = fusion.fuse({n: spark.createDataFrame(r, "query_id int, key string, rank int") for n, r in lists.items()}).orderBy("position").collect()

@@ -22,10 +22,14 @@ def first_ranks(results: DataFrame, relevant: Column, own: Column | None = None,
 
 def rank_summary(ranks: DataFrame, *by: str) -> DataFrame:
     """n, MRR with misses as 0, hits, and the upper median rank of the hits."""
-    ordered = F.array_sort(F.collect_list("first_rank"))
-    return ranks.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(F.coalesce(F.try_divide(F.lit(1.0), "first_rank"), F.lit(0.0))).alias("mrr"), F.count("first_rank").alias("hits"),
-        F.try_element_at(ordered, (F.floor(F.count("first_rank") / 2) + 1).cast("int")).alias("median_rank"),
+    hit = F.col("first_rank").isNotNull()
+    counts = ranks.groupBy(*by, "first_rank").agg(F.count("*").alias("c"))
+    found = F.when(hit, F.col("c")).otherwise(0)
+    upto, whole = Window.partitionBy(*by).orderBy("first_rank"), Window.partitionBy(*by)
+    rows = counts.withColumns({"upto": F.sum(found).over(upto), "all_hits": F.sum(found).over(whole)})
+    return rows.groupBy(*by).agg(
+        F.sum("c").alias("n"), (F.sum(F.col("c") * F.coalesce(F.try_divide(F.lit(1.0), "first_rank"), F.lit(0.0))) / F.sum("c")).alias("mrr"), F.max("all_hits").alias("hits"),
+        F.min(F.when(hit & (F.col("upto") > F.floor(F.col("all_hits") / 2)), F.col("first_rank"))).alias("median_rank"),
     )
 
 

@@ -1,9 +1,16 @@
-"""Full text by postings: tokens as rows, joined to query terms."""
+"""Full text: tokens as postings joined to query terms, or texts that meet the terms of a small batch."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidemark.operators.topk import Best, ranked, sent
 
 #: Fixed value: words that are never query terms.
 STOP_WORDS = (
@@ -13,6 +20,8 @@ STOP_WORDS = (
 #: Fixed value: what is taken from the body of a query: quoted code, flags, camel case, dotted names, quoted messages.
 PAYLOAD = r'`[^`\n]{2,60}`|--[A-Za-z][A-Za-z0-9-]{2,40}|(?U:\b[a-z][a-z0-9]*(?:[A-Z][a-z0-9]+)+\b)|(?U:\b[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+){1,5}\b)|"[^"\n]{4,60}"'
 K, MOST_TERMS = 20, 15
+#: Texts that meet the terms at a time inside a task.
+TEXTS = 256
 
 
 def _stops() -> Column:
@@ -52,15 +61,78 @@ def search(queries: DataFrame, index: DataFrame, k: int = K, mode: str = "any",
 
     ``queries`` has query_id and terms (and tenant_id), ``index`` is made by ``postings``. mode "all" asks
     for every term, ranked by total matches; phrases and negation are not modelled. A query without
-    terms finds nothing. Common terms make large join keys, which adaptive execution splits.
+    terms finds nothing. Common terms make large join keys, which adaptive execution splits; for a
+    batch of few queries over texts, ``match`` shuffles less.
     """
     asked = queries.withColumn("n_terms", F.size("terms")).select("*", F.explode("terms").alias("token")).drop("terms")
     on = ["token", "tenant_id"] if same_tenant else ["token"]
     found = asked.join(index, on).groupBy("query_id", "key").agg(F.sum("tf").alias("hits"), F.count("*").alias("n_found"), F.first("n_terms").alias("n_terms"))
     if mode == "all":
         found = found.where("n_found = n_terms")
-    order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "key")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "key", "hits", "rank")
+    return ranked(found, "hits", k).select("query_id", "key", "hits", "rank")
+
+
+class _Terms:
+    """The terms of a batch of queries: for each term and group the queries that ask for it."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.filter(pc.is_valid(rows.column("g")))
+        lists = rows.column("terms").combine_chunks()
+        of = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        self.ids, query = np.unique(rows.column("query_id").to_numpy()[of], return_inverse=True)
+        self.n_terms = np.bincount(query, minlength=len(self.ids))
+        self.words, code = np.unique(np.array(pc.list_flatten(lists).to_pylist(), object), return_inverse=True)
+        self.groups, group = np.unique(rows.column("g").to_numpy()[of], return_inverse=True)
+        key = code * len(self.groups) + group
+        order = np.argsort(key, kind="stable")
+        self.query, self.vocabulary = query[order], pa.array(self.words, pa.string())
+        self.at = np.searchsorted(key[order], np.arange(len(self.words) * len(self.groups) + 1))
+
+    def meet(self, texts: pa.Array, keys: np.ndarray, groups: np.ndarray, every: bool, best: Best) -> None:
+        """Adds the hits of each text (lower-cased) with each query of its group."""
+        lists = pc.split_pattern_regex(texts, "[^a-z0-9_]+")
+        doc, code = pc.list_parent_indices(lists), pc.index_in(pc.list_flatten(lists), self.vocabulary)
+        known = pc.is_valid(code)
+        doc, code = doc.filter(known).to_numpy(zero_copy_only=False), code.filter(known).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.minimum(np.searchsorted(self.groups, groups), len(self.groups) - 1)
+        ours = self.groups[place] == groups
+        doc, code = doc[ours[doc]], code[ours[doc]]
+        pair, tf = np.unique(doc * len(self.words) + code, return_counts=True)
+        doc, entry = pair // len(self.words), pair % len(self.words) * len(self.groups)
+        entry = entry + place[doc]
+        n = self.at[entry + 1] - self.at[entry]
+        asked = self.query[np.repeat(self.at[entry] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        pair, of = np.unique(np.repeat(doc, n) * len(self.ids) + asked, return_inverse=True)
+        hits, query = np.bincount(of, np.repeat(tf, n), len(pair)), pair % len(self.ids)
+        if every:
+            whole = np.bincount(of, minlength=len(pair)) == self.n_terms[query]
+            pair, hits, query = pair[whole], hits[whole], query[whole]
+        best.add(query, hits, keys[pair // len(self.ids)])
+
+
+def match(queries: DataFrame, corpus: DataFrame, k: int = K, mode: str = "any", same_tenant: bool = False) -> DataFrame:
+    """As ``search``, over the texts (key, text, and tenant_id) themselves.
+
+    The terms of a small batch (a checked bound) are sent to all tasks; a key lives in one partition, so its
+    hits are complete there, and only the k best rows of a query and partition are shuffled. A larger
+    batch goes through ``postings`` and ``search``.
+    """
+    group = F.col("tenant_id").cast("long") if same_tenant else F.lit(0).cast("long")
+    rows = sent(queries.select("query_id", group.alias("g"), "terms"))
+    if rows is None:
+        return search(queries, postings(corpus, *(["tenant_id"] if same_tenant else []), only=queries), k, mode, same_tenant)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(rows)
+        best = Best(len(terms.ids), k)
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(terms.ids) else 0, TEXTS):
+                part = batch.slice(at, TEXTS)
+                terms.meet(part.column("text"), part.column("key").to_numpy(), part.column("g").to_numpy(), mode == "all", best)
+        yield pa.RecordBatch.from_arrays([pa.array(terms.ids[best.query], pa.int64()), pa.array(best.key, pa.int64()), pa.array(best.value.astype(np.int64))], ["query_id", "key", "hits"])
+
+    texts = corpus.select("key", group.alias("g"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).where("g IS NOT NULL")
+    return ranked(texts.mapInArrow(run, "query_id long, key long, hits long"), "hits", k).select("query_id", "key", "hits", "rank")
 
 
 _ENDINGS = ("ations", "ation", "ingly", "ings", "ing", "edly", "ed", "ies", "es", "s", "ly")

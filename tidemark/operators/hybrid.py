@@ -25,12 +25,11 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, tickets: DataFrame, tenan
     held = searchable(tickets.withColumn("embedding", F.col("vec")))
     asked = queries.select("query_id", "qvec", "tenant_id")
     terms = queries.select("query_id", "terms", "tenant_id")
-    in_tenant = ["tenant_id"] if tenant_filter else []
     lists = {
         "docs_vector": vector.exact_top(asked, docs, k),
-        "docs_fts": fulltext.search(terms.drop("tenant_id"), fulltext.postings(docs, only=terms), k, mode),
+        "docs_fts": fulltext.match(terms, docs, k, mode),
         "tickets_vector": vector.exact_top(asked, held, k, same_tenant=tenant_filter),
-        "tickets_fts": fulltext.search(terms if tenant_filter else terms.drop("tenant_id"), fulltext.postings(held, *in_tenant, only=terms), k, mode, same_tenant=tenant_filter),
+        "tickets_fts": fulltext.match(terms, held, k, mode, same_tenant=tenant_filter),
     }
     prefix = lambda name: F.concat(F.lit(name.split("_")[0] + ":"), F.col("key").cast("string")).alias("key")
     fused = fusion.fuse({name: df.select("query_id", prefix(name), "rank") for name, df in lists.items()}, top=top)

@@ -9,63 +9,107 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-QUERY_BLOCK, CORPUS_BLOCK, K = 1024, 16_384, 20
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.operators.topk import Best, ranked, sent
 
-def _rank(rows: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+QUERY_BLOCK, CORPUS_BLOCK, K = 1024, 16_384, 20
+#: Rows of the corpus that meet the queries at a time inside a task.
+ROWS = 2048
+#: Fewest and most cells of an index; between them about the root of the number of rows.
+CELLS = (16, 4096)
 
 
-def _unit(table: pa.Table, column: str) -> np.ndarray:
-    flat = table.column(column).combine_chunks()
+def _unit(rows: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
+    flat = rows.column(column)
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
     x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _block_top(k: int, same_tenant: bool):
-    """Top k of a block of the corpus for each query of a block of queries."""
+class _Asked:
+    """Queries, each with the groups in which it looks for rows."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, self.query = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
+        self.unit = _unit(rows, "qvec") if len(rows) else np.zeros((0, 0))
+        groups = rows.column("g").to_numpy()
+        self.of_group = {g: np.flatnonzero(groups == g) for g in np.unique(groups).tolist()}
+
+    def meet(self, rows: pa.Table | pa.RecordBatch, best: Best) -> None:
+        """Adds the rows' cosines with the queries of their group to ``best``."""
+        if not len(rows):
+            return
+        unit, keys, groups = _unit(rows, "vec"), rows.column("key").to_numpy(), rows.column("g").to_numpy()
+        for g in np.unique(groups).tolist():
+            own = np.flatnonzero(groups == g)
+            for at in range(0, len(self.of_group.get(g, ())), QUERY_BLOCK):
+                asked = self.of_group[g][at : at + QUERY_BLOCK]
+                scores = np.round(self.unit[asked] @ unit[own].T, 9)
+                least = best.least[self.query[asked]]
+                if len(own) > best.k:
+                    least = np.maximum(least, np.partition(scores, -best.k, axis=1)[:, -best.k])
+                q, r = np.nonzero(scores >= least[:, None])
+                best.add(self.query[asked[q]], scores[q, r], keys[own[r]])
+
+    def found(self, best: Best) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[best.query], pa.int64()), pa.array(best.key, pa.int64()), pa.array(best.value, pa.float64())], ["query_id", "key", "similarity"])
+
+
+_FOUND = "query_id long, key long, similarity double"
+
+
+def _scanned(asked: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each partition of the corpus for each query: one pass, nothing shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = _Asked(asked)
+        best = Best(len(queries.ids), k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                queries.meet(batch.slice(at, ROWS), best)
+        yield queries.found(best)
+
+    return corpus.mapInArrow(run, _FOUND)
+
+
+def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The k best rows for each query in each block of the corpus. Groups are cut into blocks of their queries and their rows; each pair of blocks is one task-sized product."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        held = _Asked(asked)
+        best = Best(len(held.ids), k)
+        held.meet(rows, best)
+        return pa.Table.from_batches([held.found(best)])
+
+    blocks = lambda df, size, name: df.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = blocks(corpus, CORPUS_BLOCK, "n_c").join(blocks(queries, QUERY_BLOCK, "n_q"), "g")
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(sizes, "g").select(F.col("g").alias("g"), "query_id", "qvec", block("query_id", "n_q").alias("qb"), each("n_c").alias("cb"))
+    c = corpus.join(sizes, "g").select(F.col("g").alias("g"), "key", "vec", block("key", "n_c").alias("cb"), each("n_q").alias("qb"))
+    key = "g", "qb", "cb"
+    return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(run, _FOUND)
 
-    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        ids, keys, sims = [], [], []
-        if len(queries) and len(corpus):
-            keys_all, q_ids = corpus.column("key").to_numpy(), queries.column("query_id").to_numpy()
-            scores = np.round(_unit(queries, "qvec") @ _unit(corpus, "vec").T, 9)
-            if same_tenant:
-                scores[queries.column("query_tenant").to_numpy()[:, None] != corpus.column("tenant_id").to_numpy()[None, :]] = -np.inf
-            for row, q in zip(scores, q_ids, strict=True):
-                near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                best = near[np.lexsort((keys_all[near], -row[near]))][:k]
-                best = best[np.isfinite(row[best])]
-                ids.append(np.full(len(best), q))
-                keys.append(keys_all[best])
-                sims.append(row[best])
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        return pa.table({"query_id": cat(ids, np.int64), "key": cat(keys, np.int64), "similarity": cat(sims, np.float64)})
 
-    return run
+def _top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The k best rows of (key, vec, g) for each query of (query_id, qvec, g); a query may look into several groups."""
+    corpus = corpus.where("vec IS NOT NULL AND g IS NOT NULL")
+    asked = sent(queries := queries.where("qvec IS NOT NULL AND g IS NOT NULL"))
+    return ranked(_in_blocks(queries, corpus, k) if asked is None else _scanned(asked, corpus, k), "similarity", k)
 
 
 def exact_top(queries: DataFrame, corpus: DataFrame, k: int = K, same_tenant: bool = False) -> DataFrame:
-    """(query_id, key, similarity, rank) of the k most similar rows, ties by key.
+    """(query_id, key, similarity, rank) of the k most similar rows, ties by key; rows without a vector are not found.
 
-    ``queries`` has query_id, qvec (and tenant_id), ``corpus`` key, vec (and tenant_id). Both are cut into
-    blocks by hash; each pair of blocks is one task-sized product that hands on k rows a query, so no
-    pair of rows is ever a row. Neither side is broadcast. With same_tenant the blocks are made inside
-    a hash group of tenants on both sides, so that rows of other groups never meet.
+    ``queries`` has query_id, qvec (and tenant_id), ``corpus`` key, vec (and tenant_id). A small batch of
+    queries (a checked bound) is sent to all tasks: each keeps the k best rows of its partition, and
+    only these are shuffled. A larger batch meets the corpus in pairs of blocks. No pair of rows is
+    ever a row, and with same_tenant rows of other tenants never meet.
     """
-    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
-    n_c = max(1, -(-corpus.count() // CORPUS_BLOCK))
-    cell = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    group = F.pmod(F.xxhash64("tenant_id"), F.lit(8)).cast("int") if same_tenant else F.lit(0)
-    asking, owning = ([F.col("tenant_id").alias("query_tenant")], [F.col("tenant_id")]) if same_tenant else ([], [])
-    q = queries.select("query_id", "qvec", *asking, group.alias("g"), cell("query_id", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
-    c = corpus.select("key", "vec", *owning, group.alias("g"), cell("key", n_c).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-    found = q.groupBy("g", "qb", "cb").cogroup(c.groupBy("g", "qb", "cb")).applyInArrow(_block_top(k, same_tenant), "query_id long, key long, similarity double")
-    return _rank(found, k)
+    group = F.col("tenant_id").cast("long") if same_tenant else F.lit(0).cast("long")
+    return _top(queries.select("query_id", "qvec", group.alias("g")), corpus.select("key", "vec", group.alias("g")), k)
 
 
 def dot(a: str, b: str) -> Column:
@@ -83,43 +127,41 @@ class CellIndex:
     The centres are fitted on a sample of at most about ``sample`` rows, drawn by a hash of the key.
     """
 
-    def __init__(self, corpus: DataFrame, cells: int = 16, sample: int = 20_000, seed: int = 3):
+    def __init__(self, corpus: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 3):
         n = max(1, corpus.count())
         part = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < min(1 << 20, -(-(sample << 20) // n))
         unit = F.transform("vec", lambda x: x / F.sqrt(dot("vec", "vec")))
-        model = KMeans(k=cells, seed=seed, maxIter=15).fit(corpus.where(part).select(array_to_vector(unit).alias("features")))
-        self.centres = [[float(x) for x in c] for c in model.clusterCenters()]
-
-    def _cells(self, vector: str, n: int) -> Column:
-        """The n nearest cells, nearest first. The centres are literals: cells times dimensions numbers."""
-        score = lambda c: F.aggregate(F.zip_with(vector, F.expr(f"array({', '.join(f'{x!r}D' for x in c)})"), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x) / F.sqrt(dot(vector, vector)) - sum(x * x for x in c) / 2
-        scored = F.array(*(F.struct((-score(c)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)))
-        return F.transform(F.slice(F.array_sort(scored), 1, n), lambda x: x["cell"])
-
-    def calibrate(self, queries: DataFrame, corpus: DataFrame, k: int = K, target: float = 0.95, sample: int = 256) -> int:
-        """The fewest probes that reach the target recall on at most about ``sample`` of the queries, drawn by a hash; all cells reach 1."""
-        n = max(1, queries.count())
-        asked = queries.where(F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(1 << 20)) < min(1 << 20, -(-(sample << 20) // n)))
-        cells = corpus.select("key", F.element_at(self._cells("vec", 1), 1).alias("cell"))
-        order = asked.select("query_id", self._cells("qvec", len(self.centres)).alias("cells"))
+        fitted = corpus.where(part).select(array_to_vector(unit).alias("features"))
+        model = KMeans(k=cells or max(CELLS[0], min(CELLS[1], round(n**0.5))), seed=seed, maxIter=8).fit(fitted)
+        self.centres = np.array(model.clusterCenters())
+
+    def nearest(self, vector: str, n: int) -> Column:
+        """The n nearest cells of a vector, nearest first: one product a batch."""
+        centres = self.centres
+
+        @F.arrow_udf(T.ArrayType(T.LongType()))
+        def cells(vectors: pa.Array) -> pa.Array:
+            unit = _unit(pa.table({"v": vectors}), "v") if len(vectors) else np.zeros((0, centres.shape[1]))
+            order = np.argsort((centres**2).sum(1) / 2 - unit @ centres.T, axis=1, kind="stable")[:, :n]
+            return pa.array(order.tolist(), pa.list_(pa.int64()))
+
+        return cells(vector)
+
+    def assign(self, corpus: DataFrame) -> DataFrame:
+        """(key, vec, g): every row with a vector and its cell, an index to keep."""
+        return corpus.where("vec IS NOT NULL").select("key", "vec", F.element_at(self.nearest("vec", 1), 1).alias("g"))
+
+    def calibrate(self, queries: DataFrame, assigned: DataFrame, exact: DataFrame, target: float = 0.95) -> int:
+        """The fewest probes that reach the target recall on the queries with exact results; all cells reach 1."""
+        order = queries.select("query_id", self.nearest("qvec", len(self.centres)).alias("cells"))
         # a neighbour is found as soon as its cell is probed
-        place = F.array_position("cells", F.col("cell"))
-        needed = exact_top(asked, corpus, k).join(cells, "key").join(order, "query_id").withColumn("place", place).agg(F.expr(f"percentile_disc({target}) WITHIN GROUP (ORDER BY place)"))
-        return int(needed.first()[0] or 1)
-
-    def top(self, queries: DataFrame, corpus: DataFrame, k: int = K, probes: int = 4) -> DataFrame:
-        """As ``exact_top``, but only rows of the probed cells are compared: an equi-join on the cell, in blocks of its queries and its rows."""
-        rows = corpus.select("key", "vec", F.element_at(self._cells("vec", 1), 1).alias("cell"))
-        asked = queries.select("query_id", "qvec", F.explode(self._cells("qvec", probes)).alias("cell"))
-        blocks = lambda df, size, name: df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-        sizes = F.broadcast(blocks(rows, CORPUS_BLOCK, "n_c").join(blocks(asked, QUERY_BLOCK, "n_q"), "cell"))  # a row a cell
-        block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        c_cells = rows.join(sizes, "cell").select(F.col("cell").alias("cell"), "key", "vec", block("key", "n_c").alias("cb"), each("n_q").alias("qb"))
-        q_cells = asked.join(sizes, "cell").select(F.col("cell").alias("cell"), "query_id", "qvec", block("query_id", "n_q").alias("qb"), each("n_c").alias("cb"))
-        key = "cell", "qb", "cb"
-        found = q_cells.groupBy(*key).cogroup(c_cells.groupBy(*key)).applyInArrow(_block_top(k, False), "query_id long, key long, similarity double")
-        return _rank(found, k)
+        place = F.array_position("cells", F.col("g"))
+        needed = exact.select("query_id", "key").join(assigned.select("key", "g"), "key").join(order, "query_id").select(place.alias("place"))
+        return int(needed.agg(F.expr(f"percentile_disc({target}) WITHIN GROUP (ORDER BY place)")).first()[0] or 1)
+
+    def top(self, queries: DataFrame, assigned: DataFrame, k: int = K, probes: int = 4) -> DataFrame:
+        """As ``exact_top``, but a query only meets the rows of the cells that it probes."""
+        return _top(queries.select("query_id", "qvec", F.explode(self.nearest("qvec", probes)).alias("g")), assigned, k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from tidemark.functions import hashing
 from tidemark.operators import fulltext, fusion, hybrid, vector
 from tidemark.plans import tables as T
 from tidemark.plans.registry import register
+from tidemark.sources.shared import materialise
 
 
 def _sim(condition: str, k: int = 20) -> str:
@@ -66,8 +67,9 @@ def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = T.vectors(spark, sf_dir)
     asked = T.vector_queries(corpus)
     index = vector.CellIndex(corpus)
-    found = index.top(asked, corpus, probes=index.calibrate(asked, corpus))
-    share = vector.recall(found, vector.exact_top(asked, corpus))
+    cells, exact = materialise(index.assign(corpus), "cells"), materialise(vector.exact_top(asked, corpus), "exact")
+    found = materialise(index.top(asked, cells, probes=index.calibrate(asked, cells, exact)), "found")
+    share = vector.recall(found, exact)
     return found.withColumn("one", F.lit(1)).join(share.select(F.lit(1).alias("one"), "recall"), "one").drop("one")
 
 
@@ -102,19 +104,19 @@ def fts_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("fts_any", _text_search())
 def fts_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = T.text_queries(spark, sf_dir)
-    return fulltext.search(asked, fulltext.postings(T.texts(spark, sf_dir), only=asked))
+    return fulltext.match(asked, T.texts(spark, sf_dir))
 
 
 @register("fts_any_tenant", _text_search("AND t.tenant_id = idx.tenant_id"))
 def fts_any_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = T.text_queries(spark, sf_dir)
-    return fulltext.search(asked, fulltext.postings(T.texts(spark, sf_dir), "tenant_id", only=asked), same_tenant=True)
+    return fulltext.match(asked, T.texts(spark, sf_dir), same_tenant=True)
 
 
 @register("fts_all", _text_search(having="k = n"))
 def fts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = T.text_queries(spark, sf_dir)
-    return fulltext.search(asked, fulltext.postings(T.texts(spark, sf_dir), only=asked), mode="all")
+    return fulltext.match(asked, T.texts(spark, sf_dir), mode="all")
 
 
 @register("fts_stemmed")
@@ -130,10 +132,10 @@ def hybrid_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str,
     """(queries, four lists): every document with a vector whose id is divisible by QUERY_MOD asks with both; lists over all and over its tenant's."""
     corpus = T.vectors(spark, sf_dir)
     asked = T.vector_queries(corpus)
-    words = T.texts(spark, sf_dir).where(F.col("key") % T.QUERY_MOD == 0).join(asked.select(F.col("query_id").alias("key")), "key", "left_semi")
+    docs = T.texts(spark, sf_dir)
+    words = docs.where(F.col("key") % T.QUERY_MOD == 0).join(asked.select(F.col("query_id").alias("key")), "key", "left_semi")
     terms = words.select(F.col("key").alias("query_id"), fulltext.query_terms(F.col("text")).alias("terms"), "tenant_id")
-    index = fulltext.postings(T.texts(spark, sf_dir), "tenant_id", only=terms)
-    lists = {"all_vector": vector.exact_top(asked, corpus), "tenant_vector": vector.exact_top(asked, corpus, same_tenant=True), "all_fts": fulltext.search(terms.drop("tenant_id"), index), "tenant_fts": fulltext.search(terms, index, same_tenant=True)}
+    lists = {"all_vector": vector.exact_top(asked, corpus), "tenant_vector": vector.exact_top(asked, corpus, same_tenant=True), "all_fts": fulltext.match(terms, docs), "tenant_fts": fulltext.match(terms, docs, same_tenant=True)}
     return asked, lists
 
 

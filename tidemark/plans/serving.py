@@ -9,6 +9,7 @@ from tidemark.operators import evaluation, fusion
 from tidemark.plans import tables as T
 from tidemark.plans.registry import register
 from tidemark.plans.retrieval import fused_vectors, SQL_FUSED
+from tidemark.sources.shared import materialise
 
 #: Term lists set to tokens of the test prose, which is invented.
 COMPONENTS = {"sig/a": ("the", "and", "tion", "ing"), "sig/b": ("eau", "oi", "ment", "pour"), "sig/c": ("der", "sch", "heit", "ung", "keit")}
@@ -76,7 +77,7 @@ def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id, corpus ORDER BY position) AS n FROM i), k AS (SELECT * FROM n WHERE (corpus = 'docs' AND n <= 3) OR (corpus = 'tickets' AND n <= 2)),
 a AS (SELECT query_id, max(CASE WHEN corpus = 'tickets' AND n = 1 THEN substr(text, 1, 30) END) AS tt, max(CASE WHEN corpus = 'tickets' AND n = 1 THEN '/d/' || key END) AS tu, max(CASE WHEN corpus = 'docs' AND n = 1 THEN substr(text, 1, 30) END) AS dt,
   string_agg(key::VARCHAR, ',' ORDER BY corpus, n) AS sources FROM k GROUP BY query_id)
-SELECT doc_id AS query_id, CASE WHEN tt IS NOT NULL THEN 'Closest resolved ticket in scope: ''' || trim(tt) || ''' (' || tu || '). The failure mode is likely related.' WHEN dt IS NOT NULL THEN 'No similar resolved ticket; nearest doc topic: ' || dt || '.' ELSE 'No relevant context retrieved.' END AS probable_cause,
+SELECT doc_id AS query_id, CASE WHEN tt IS NOT NULL THEN 'A solved case looks alike: "' || trim(tt) || '" <' || tu || '>' WHEN dt IS NOT NULL THEN 'No solved case looks alike; the closest page is "' || dt || '"' ELSE 'Nothing was found' END AS probable_cause,
   coalesce(sources, '') AS sources, (NOT regexp_matches(substr(text, 1, 40) || ' ' || text, '\bv?\d+\.\d+'))::INT + (NOT contains(text, '```'))::INT + (length(text) < 200)::INT AS n_questions
 FROM documents JOIN q ON q.query_id = doc_id LEFT JOIN a ON a.query_id = doc_id""")
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("citation_cover", f"WITH {SQL_FUSED}, c AS (SELECT query_id, key + CASE WHEN position % 4 = 0 THEN 1000000 ELSE 0 END AS source FROM p WHERE position <= 8) SELECT (SELECT count(*) FROM c JOIN (SELECT * FROM p WHERE position <= 8) r ON r.query_id = c.query_id AND r.key = c.source) AS n_cited, (SELECT count(*) FROM c WHERE source >= 1000000) AS n_uncovered")
 def citation_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of fused keys, every fourth outside the context: a semi-join and an anti-join."""
-    items = fused_vectors(spark, sf_dir)
+    items = materialise(fused_vectors(spark, sf_dir), "fused")
     cites = items.select("query_id", (F.col("key") + F.when(F.col("position") % 4 == 0, 1000000).otherwise(0)).alias("source"))
     n = fusion.cited(items, cites).agg(F.count("*").alias("n_cited")).withColumn("one", F.lit(1))
     m = fusion.uncovered(cites.withColumn("source", F.col("source").cast("string")), items).agg(F.count("*").alias("n_uncovered")).withColumn("one", F.lit(1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import hashing
 from tidemark.operators import fulltext
+from tidemark.sources.shared import spread
 
 #: Every how many ids a row is a query.
 QUERY_MOD = 20
@@ -28,7 +29,7 @@ def vector_queries(corpus: DataFrame) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, text, tenant_id) of all documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", hashing.tenant_of(F.col("doc_id")).alias("tenant_id"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("key"), "text", hashing.tenant_of(F.col("doc_id")).alias("tenant_id"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

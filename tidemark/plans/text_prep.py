@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import hashing, text
@@ -13,6 +10,7 @@ from tidemark.operators import chunking, tickets
 from tidemark.plans import tables as T
 from tidemark.plans.registry import register
 from tidemark.sources import files
+from tidemark.sources.shared import table_path
 
 
 def _re(pattern: str) -> str:
@@ -21,10 +19,7 @@ def _re(pattern: str) -> str:
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-tidemark-")
+    return table_path(spark, "scratch")
 
 
 @register("tenant_holdout", f"SELECT doc_id, {T.SQL_TENANT.format('doc_id')} AS tenant_id, ('0x' || substr(sha256('heldout:' || doc_id), 1, 16))::UBIGINT % 10 = 0 AS is_held_out FROM documents")
@@ -88,7 +83,7 @@ def captioned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("markdown"))
+    return T.texts(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("key").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("markdown"))
 
 
 @register("text_blocks", r"""WITH l AS (SELECT 'doc-' || doc_id AS path, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
