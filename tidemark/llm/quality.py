@@ -194,9 +194,8 @@ def score(docs: DataFrame, keep: list[str]) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows whose text is kept, with their columns."""
     q = "quality·"  # names that no table brings along
-    counted = docs.select(_counts_of("text").alias("counts")).select("counts.*").select(_pattern().alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))
-    posterior = fit({r["votes"]: r["n"] for r in counted.collect()})
     rows = docs.select(F.struct("*").alias(f"{q}row"), _counts_of("text").alias(f"{q}counts")).select(f"`{q}row`", f"`{q}counts`.*")
-    rows = rows.select(f"`{q}row`", _pattern().alias(f"{q}votes"), _failed().alias(f"{q}failed"))
+    rows = materialise(rows.select(f"`{q}row`", _pattern().alias(f"{q}votes"), _failed().alias(f"{q}failed")), "quality-rows")
+    posterior = fit({r[0]: r["n"] for r in rows.groupBy(f"`{q}votes`").agg(F.count("*").alias("n")).collect()})
     rows = _with_posterior(rows, posterior, f"{q}votes", f"{q}good").where(~F.col(f"`{q}failed`") & (F.col(f"`{q}good`") >= 0.5))
     return rows.select(f"`{q}row`.*")

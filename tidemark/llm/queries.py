@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, html_main, licenses, mixing, near_dup, pii, quality, sharding, token_store, tokens
+from tidemark.llm import decontaminate, html_main, licenses, mixing, near_dup, pii, quality, sharding, storage, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return storage.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

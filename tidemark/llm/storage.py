@@ -1,32 +1,5 @@
 """Tables between jobs, kept in the folder that driver and executors share."""
 
-from __future__ import annotations
+from tidemark.sources.shared import materialise, shared_dir, spread, table_path
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (single machine), a folder of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="spark-tidemark-")
-    return _own["dir"]
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call returns."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written rows: cuts the lineage and survives a lost executor."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "shared_dir", "spread", "table_path"]
