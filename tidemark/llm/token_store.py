@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm import tokens
+from tidemark.llm import tokens, wordhash as W
 from tidemark.llm.storage import table_path
 
 MAGIC, BLOCK, PERCENTILE, SEGMENT_IDS = b"PFR1", 128, 90, 1 << 20
@@ -114,29 +114,36 @@ def unpack(data: bytes) -> np.ndarray:
 
 def _segments(rows: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     own = tokens.encoder(path)
-    end, part = np.array([end_id], own.kind).tobytes(), TaskContext.get().partitionId()
+    part = TaskContext.get().partitionId()
     seq = start = held = 0
-    doc_ids: list[int | None] = []
-    runs: list[bytes] = []
+    keys: list[pa.Array] = []
+    runs: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
 
     def segment() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(runs), own.kind)
-        row = [part, seq, start, len(ids), doc_ids, [len(x) // own.kind.itemsize for x in runs], pack(ids)]
-        return pa.RecordBatch.from_pylist([dict(zip(_SEGMENT_ARROW.names, row, strict=True))], _SEGMENT_ARROW)
+        ids = np.concatenate(runs)
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        row = [pa.array([v], t) for v, t in zip((part, seq, start, len(ids)), _SEGMENT_ARROW.types[:4], strict=True)]
+        return pa.RecordBatch.from_arrays([*row, listed(pa.concat_arrays(keys)), listed(pa.array(np.concatenate(lengths))), pa.array([pack(ids)], pa.binary())], schema=_SEGMENT_ARROW)
 
     for batch in rows:
-        at = 0
-        for run in tokens.batches(batch.column("text")):
-            keys = batch.column("doc_id").slice(at, len(run)).to_pylist()
-            at += len(run)
-            for key, ids in zip(keys, own.encode(run), strict=True):
-                doc_ids.append(key)
-                runs.append(ids + end)
-                held += len(runs[-1]) // own.kind.itemsize
+        doc_ids = batch.column("doc_id")
+        for row, data, text_at in W.slices(batch.column("text"), tokens.BATCH_BYTES):
+            ids, n = own.encode(data, text_at)
+            ids = np.insert(ids, np.cumsum(n), end_id)
+            ends = np.cumsum(n + 1)
+            at = 0  # documents of this run that are in a segment
+            while at < len(n):
+                before = ends[at - 1] if at else 0
+                to = min(len(n), int(np.searchsorted(ends, before + SEGMENT_IDS - held)) + 1)
+                keys.append(doc_ids.slice(row + at, to - at))
+                runs.append(ids[before : ends[to - 1]])
+                lengths.append(n[at:to] + 1)
+                held, at = held + len(runs[-1]), to
                 if held >= SEGMENT_IDS:
                     yield segment()
                     seq, start, held = seq + 1, start + held, 0
-                    doc_ids, runs = [], []
+                    keys, runs, lengths = [], [], []
     if runs:
         yield segment()
 

@@ -65,8 +65,8 @@ class Words:
     word_at: np.ndarray  # first word of each text, and the count
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about SLICE_BYTES: (row of the first, bytes, offsets). A null counts as empty."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``size`` bytes: (row of the first, bytes, offsets). A null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -78,7 +78,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        last = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, "right")) - 1)
+        last = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
         yield row, raw[at[row] : at[last]], at[row : last + 1] - at[row]
         row = last
 
