@@ -5,14 +5,17 @@ typical of what surrounds main text; tags score negative. One linear scan finds
 with the greatest sum. Inside it, words in such elements are left out (an advert amid an article).
 
 The weights come from labelled pages: pages whose author marks the main text with an ``article`` or
-``main`` element. For each tag name and each class, id or role word, Spark counts words inside and
+``main`` element. For each tag name and each class, id or role name, Spark counts words inside and
 outside that element over a sample of at most about LABELLED such pages, drawn by a hash; PRIOR gives
-names that are boilerplate by their meaning a start, so that rare ones are known too.
+names that are boilerplate by their meaning a start, so that rare ones are known too. Names count
+whole: ``share-price`` is not ``share``.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by a line break; empty blocks vanish. Defined cases: null html counts as empty, an
 empty page gives an empty text, repeated pages are extracted each, an empty table gives an empty
-result; very long pages are scanned whole, in linear time. Only the named columns are read.
+result; very long pages, deep nesting and broken tags included, are scanned whole
+in linear time; a tag that is cut off by another one ends there. Other columns, clashing names
+included, are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -45,19 +50,32 @@ _SOFT = {f"<{t}>" for t in (*_INLINE, "ul", "ol", "li", "dl", "dt", "dd", "table
 #: An open element of the same name is closed by the next one.
 _SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 _RAW = "script|style|noscript|template|iframe|textarea|svg"
+#: A quoted value holds a "<" only if it ends soon, so that no attempt at a tag runs on over the page.
+_VALUE = r"""\"(?:[^"<]*+|[^"]{0,4096})\"|'(?:[^'<]*+|[^']{0,4096})'"""
+#: A tag ends at its ">", or where the next "<" or the end of the page cuts it off.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^<>\"']|{_VALUE})*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-z][^\s/<>]*+)((?:[^<>\"']|{_VALUE})*+(?=>)|[^<>]*+)(?:>|(?=<)|\Z)",
     re.I | re.S,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
+#: Words of layout, which say nothing about what an element holds.
+LAYOUT = {"area", "bar", "block", "bottom", "box", "button", "buttons", "container", "desktop", "global", "inner", "item", "items", "left", "link", "links", "list", "main", "mobile", "outer", "page", "primary", "right", "row", "secondary", "section", "site", "slot", "top", "unit", "wrap", "wrapper"}
+
+
+@lru_cache(1 << 16)
+def _name_features(name: str) -> tuple[str, ...]:
+    """The name, whole, and the boilerplate word in it if all its other parts are boilerplate or layout: ``site-footer`` is a footer, ``share-price`` is not a share button."""
+    parts = _PART.findall(name)
+    own = [p for p in parts if p in PRIOR_NAMES]
+    return (name, *own[:1]) if own and name not in PRIOR_NAMES and all(p in PRIOR_NAMES or p in LAYOUT for p in parts) else (name,)
 
 
 def features(tag: str, attributes: str) -> tuple[str, ...]:
-    """Names that describe an element: its tag, and the words of its class, id and role."""
+    """Names that describe an element: its tag, and those of its class, id and role."""
     found = [f"<{tag}>"]
     if "=" in attributes:
-        found += (w for m in _NAMES.findall(attributes) for w in _NAME.findall("".join(m).lower()))
+        found += (f for m in _NAMES.findall(attributes) for name in "".join(m).lower().split() for f in _name_features(name))
     return tuple(found)
 
 
@@ -75,47 +93,87 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
         yield "text", page[at:], ()
 
 
+class Element(NamedTuple):
+    tag: str
+    names: tuple[str, ...]
+    in_main: bool
+    #: The place of the innermost element that is not inline, this one included.
+    solid: int
+    #: The least weight of this element and those around it, and whether one of them makes boilerplate.
+    least: float
+    hard: bool
+
+
 class Path:
-    """The open elements around a token."""
-
-    def __init__(self) -> None:
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-
-    def step(self, kind: str, tag: str, found: tuple[str, ...]) -> None:
-        if kind == "open":
-            if tag in _SELF_CLOSING:
-                for k in range(len(self.open) - 1, -1, -1):
-                    name = self.open[k][0]
-                    if name == tag:
-                        del self.open[k:]
-                        break
-                    if name not in _INLINE:
-                        break
-            if tag not in _VOID:
-                self.open.append((tag, found))
-        else:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == tag:
-                    del self.open[k:]
-                    break
+    """The open elements around a token. Each knows what holds for all around it, so a step takes no longer on a deep path."""
+
+    def __init__(self, weights: Weights | None = None) -> None:
+        self.weights, self.open, self.count = weights, [], Counter()
 
     @property
-    def in_main(self) -> bool:
-        return any(tag in MAIN for tag, _ in self.open)
+    def top(self) -> Element:
+        return self.open[-1] if self.open else _NOTHING
+
+    def _cut(self, k: int) -> list[Element]:
+        gone = self.open[k:]
+        del self.open[k:]
+        self.count.subtract(e.tag for e in gone)
+        return gone
+
+    def step(self, kind: str, tag: str, names: tuple[str, ...]) -> list[Element]:
+        """Opens or closes an element; returns those that are closed by it."""
+        if kind == "close":
+            k = len(self.open)
+            if not self.count[tag]:
+                return []
+            while self.open[k - 1].tag != tag:
+                k -= 1
+            return self._cut(k - 1)
+        gone = []
+        if tag in _SELF_CLOSING and self.open and (k := self.top.solid) >= 0 and self.open[k].tag == tag:
+            gone = self._cut(k)
+        if tag not in _VOID:
+            up = self.top
+            in_main = up.in_main or tag in MAIN
+            least, hard = self.weights.element_score(names, in_main) if self.weights else (0.0, False)
+            self.open.append(Element(tag, names, in_main, up.solid if tag in _INLINE else len(self.open), min(up.least, least), up.hard or hard))
+            self.count[tag] += 1
+        return gone
+
+
+_NOTHING = Element("", (), False, -1, 0.0, False)
 
 
 def label_counts(page: str) -> Counter:
     """(feature, inside main text) -> words; ("#tag", inside) -> occurrences of the tag."""
     path, found = Path(), Counter()
+    words = [0, 0]  # outside and inside main text, so far
+    begun: dict[str, tuple[int, int]] = {}
+    depth: Counter = Counter()
+
+    def ended(elements: list[Element]) -> None:
+        for e in elements:
+            for f in e.names if e.tag not in MAIN else ():
+                depth[f] -= 1
+                if not depth[f]:
+                    for inside in (0, 1):
+                        if n := words[inside] - begun[f][inside]:
+                            found[f, bool(inside)] += n
+
     for kind, value, names in tokens(page):
         if kind == "text":
-            if n := len(value.split()):
-                inside = path.in_main
-                for f in {f for tag, fs in path.open if tag not in MAIN for f in fs}:
-                    found[f, inside] += n
+            words[path.top.in_main] += len(value.split())
         else:
-            found[f"#{value}", path.in_main] += 1
-            path.step(kind, value, names)
+            found[f"#{value}", path.top.in_main] += 1
+            n = len(path.open)
+            gone = path.step(kind, value, names)
+            ended(gone)
+            if kind == "open" and len(path.open) > n - len(gone) and value not in MAIN:
+                for f in names:
+                    if not depth[f]:
+                        begun[f] = (words[0], words[1])
+                    depth[f] += 1
+    ended(path.open)
     return found
 
 
@@ -149,26 +207,31 @@ class Weights:
         for f in ("<html>", "<body>", "<div>", "<section>", "<span>", "<p>", *(f"<{t}>" for t in MAIN)):
             self.element[f] = 0.0
 
-    def word(self, path: Path) -> tuple[float, bool]:
-        """(score of a word, whether it stands in boilerplate). A header inside main text is part of it.
+    def element_score(self, names: tuple[str, ...], in_main: bool) -> tuple[float, bool]:
+        """(least weight of an element's names, whether it is boilerplate). A header inside main text is part of it.
 
         Elements of lists, tables and links lower the score, but don't make boilerplate by themselves.
         """
-        least, hard, in_main = 0.0, False, False
-        for tag, names in path.open:
-            in_main |= tag in MAIN
-            for f in names:
-                if in_main and f in ("<header>", "header"):
-                    continue
-                w = self.element.get(f, 0.0)
-                least = min(least, w)
-                hard |= w <= LIMIT and f not in _SOFT
-        return (-0.1 if hard else max(-1.0, least) if least <= LIMIT else 1.0), hard
+        least, hard = 0.0, False
+        for f in names:
+            if in_main and f in ("<header>", "header"):
+                continue
+            w = self.element.get(f, 0.0)
+            least = min(least, w)
+            hard |= w <= LIMIT and f not in _SOFT
+        return least, hard
+
+
+def word_score(e: Element) -> float:
+    """The score of a word in an element."""
+    if e.least > LIMIT:
+        return 1.0
+    return -0.1 if e.hard else max(-1.0, e.least)
 
 
 def extract(page: str, weights: Weights) -> str:
     """The main text of a page."""
-    path, blocks = Path(), 0
+    path, blocks = Path(weights), 0
     parts: list[tuple[int, int, str]] = []  # (token, block, text) of words outside boilerplate
     best, best_from, best_to = 0.0, 0, -1
     total, begin = 0.0, 0
@@ -177,9 +240,9 @@ def extract(page: str, weights: Weights) -> str:
             n = len(value.split())
             score = 0.0
             if n:
-                each, hard = weights.word(path)
-                score = max(-3.0, n * each) if hard else n * each
-                if not hard:
+                each = word_score(path.top)
+                score = max(-3.0, n * each) if path.top.hard else n * each
+                if not path.top.hard:
                     parts.append((i, blocks, value))
             elif value:
                 parts.append((i, blocks, value))
