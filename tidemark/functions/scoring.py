@@ -42,6 +42,18 @@ def triage(text: Column, components: Mapping[str, Sequence[str]] = COMPONENT_TER
     return F.struct(F.when(none, "unknown").otherwise(best["name"]).alias("component"), severity.alias("severity"), best["terms"].alias("matched_terms"), F.when(none, 0.0).otherwise(confidence).alias("confidence"))
 
 
+def degraded(stages: Mapping[str, Column]) -> Column:
+    """struct(degraded, stages) of independent failure flags by stage: any of them degrades the response, and all that hold are kept as reasons. The route sees the flag of the draft alone."""
+    reasons = F.array_compact(F.array(*(F.when(flag, F.lit(name)) for name, flag in stages.items())))
+    return F.struct((F.size(reasons) > 0).alias("degraded"), reasons.alias("stages"))
+
+
+def served_draft(checked: Column, drafted: Column, extractive: Column) -> Column:
+    """struct(body, source): the drafted answer if its check (``valid_draft``) found no error, else the extractive one."""
+    ok = drafted.isNotNull() & checked["error"].isNull()
+    return F.struct(F.when(ok, drafted).otherwise(extractive).alias("body"), F.when(ok, "model").otherwise("extractive").alias("source"))
+
+
 def route(triage_confidence: Column, retrieval_confidence: Column, has_citations: Column, body_chars: Column, degraded: Column, sufficiency: Column) -> Column:
     """struct(route, confidence, rule): hard rules in order, then thresholds on the blended, rounded confidence."""
     confidence = F.round(F.when(sufficiency.isNull(), 0.5 * triage_confidence + 0.5 * retrieval_confidence).otherwise(0.4 * triage_confidence + 0.3 * retrieval_confidence + 0.3 * sufficiency / 5), 3)

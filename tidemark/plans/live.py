@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions import scoring
 from tidemark.plans import tables as T
 from tidemark.plans.registry import register
+from tidemark.plans.serving import COMPONENTS, HIGH, MEDIUM, SQL_TRIAGE
 from tidemark.plans.text_prep import _scratch
 from tidemark.streaming import feed, telemetry
 
@@ -45,10 +47,37 @@ def latency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "route", F.element_at("cumulative", -1).alias("n"), F.element_at("cumulative", telemetry.BOUNDS.index(1.0) + 1).alias("n_1s"))
 
 
-@register("latency_p95")
+_BOUNDS = "[" + ", ".join(map(str, telemetry.BOUNDS)) + "]"
+
+
+@register("latency_p95", f"""WITH e AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS route, value / 10 AS s FROM events), b AS (SELECT unnest(range(1, {len(telemetry.BOUNDS) + 1})) AS i, unnest({_BOUNDS}) AS high),
+t AS (SELECT window_start, route, count(*) AS n FROM e GROUP BY ALL), k AS (SELECT window_start, route, i, high, count_if(s <= high) AS cum FROM e, b GROUP BY ALL),
+p AS (SELECT *, lag(cum, 1, 0) OVER w AS below, lag(high, 1, 0.0) OVER w AS low FROM k WINDOW w AS (PARTITION BY window_start, route ORDER BY i)),
+f AS (SELECT window_start, route, arg_min(low + (high - low) * (0.95 * n - below) / (cum - below), i) AS p95 FROM p JOIN t USING (window_start, route) WHERE cum >= 0.95 * n GROUP BY ALL)
+SELECT window_start, route, round(coalesce(p95, {telemetry.BOUNDS[-1]}), 6) AS p95 FROM t LEFT JOIN f USING (window_start, route)""")
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = telemetry.buckets(telemetry.timed(_events(spark, sf_dir)), "seconds", ["route"], length="1 day")
-    return rows.select("window_start", "route", telemetry.bucket_quantile(F.col("cumulative"), 0.95).alias("p95"))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "route", F.round(telemetry.bucket_quantile(F.col("cumulative"), 0.95), 6).alias("p95"))
+
+
+@register("stream_degrades", """WITH e AS (SELECT time_bucket(INTERVAL '5 minutes', ts)::TIMESTAMP AS window_start, CASE WHEN user_id % 3 = 0 THEN 'Timeout' ELSE 'Throttled' END AS reason, value > 100 AS a, event_id % 11 = 0 AS b FROM events)
+SELECT window_start, stage, reason, count(*) AS n FROM (SELECT *, 'draft' AS stage FROM e WHERE a UNION ALL SELECT *, 'triage' FROM e WHERE b) GROUP BY ALL""")
+def stream_degrades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degraded stages by class of error: a slow event degrades the draft, every eleventh its triage."""
+    stages = scoring.degraded({"draft": F.col("value") > 100, "triage": F.col("event_id") % 11 == 0})
+    rows = T.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), stages["stages"].alias("stages"), F.when(F.col("user_id") % 3 == 0, "Timeout").otherwise("Throttled").alias("reason"))
+    return _streamed(rows, lambda s: telemetry.degrades(telemetry.timed(s))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("arriving_tickets", f"WITH {SQL_TRIAGE} SELECT number, body_chars::INT AS body_chars, component, severity, confidence FROM tr")
+def arriving_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets as a stream, scored and handed on batch by batch."""
+    folder = _scratch(spark)
+    rows = T.first_turns(spark, sf_dir)
+    rows.write.parquet(f"{folder}/in")
+    keep = lambda df: df.select("number", "body_chars", "triage.component", "triage.severity", "triage.confidence").write.mode("append").parquet(f"{folder}/out")
+    feed.serve(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/state", keep, COMPONENTS, HIGH, MEDIUM).awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
 @register("token_rates", "SELECT time_bucket(INTERVAL '1 minute', ts)::TIMESTAMP AS window_start, d AS direction, sum(CASE d WHEN 'input' THEN user_id ELSE floor(value)::BIGINT END)::BIGINT AS tokens FROM events, (VALUES ('input'), ('output')) t(d) GROUP BY 1, 2")

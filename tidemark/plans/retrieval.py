@@ -119,7 +119,21 @@ def fts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.match(asked, T.texts(spark, sf_dir), mode="all")
 
 
-@register("fts_stemmed")
+def _sql_stem(word: str) -> str:
+    """``fulltext.stem`` as a CASE: the first ending that leaves three letters and a vowel goes."""
+    arms = []
+    for e in fulltext._ENDINGS:
+        base = f"substr({word}, 1, length({word}) - {len(e)})"
+        stem = f"{base} || 'y'" if e == "ies" else base
+        if e in ("ing", "ed"):
+            last = f"substr({base}, length({base}), 1)"
+            stem = f"CASE WHEN length({base}) > 3 AND {last} = substr({base}, length({base}) - 1, 1) AND {last} NOT IN ('l', 's', 'z') THEN substr({base}, 1, length({base}) - 1) ELSE {base} END"
+        arms.append(f"WHEN ends_with({word}, '{e}') AND length({word}) >= {len(e) + 3} AND regexp_matches({base}, '[aeiouy]') THEN {stem}")
+    return f"CASE {' '.join(arms)} ELSE {word} END"
+
+
+@register("fts_stemmed", f"""WITH {SQL_TERMS}, {SQL_POSTINGS}, st AS (SELECT DISTINCT query_id, {_sql_stem('token')} AS token FROM terms), si AS (SELECT key, {_sql_stem('token')} AS token, sum(tf) AS tf FROM idx GROUP BY ALL),
+m AS (SELECT st.query_id, si.key, sum(tf)::BIGINT AS hits FROM st JOIN si ON st.token = si.token GROUP BY ALL) SELECT query_id, key, hits, (row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, key))::INT AS rank FROM m QUALIFY rank <= 20""")
 def fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any-term search by stems on both sides."""
     index = fulltext.stemmed(fulltext.postings(T.texts(spark, sf_dir)))
@@ -167,9 +181,24 @@ def hybrid_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return asked, rows.where("key % 2 = 1"), held
 
 
-@register("hybrid_two_corpora")
+def _sql_list(name: str, score: str, source: str, on: str) -> str:
+    """One ranked list: the 20 best keys a query."""
+    return f"{name} AS (SELECT query_id, prefix || key AS key, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, k) AS rank FROM (SELECT q.query_id, '{source}:' AS prefix, c.key AS key, c.key AS k, {score} AS s FROM {on}) QUALIFY rank <= 20)"
+
+
+_HELD = "('0x' || substr(sha256('heldout:' || key), 1, 16))::UBIGINT % 10 = 0"
+SQL_CORPORA = rf"""{T.SQL_VECTORS.split(', q AS (')[0]}, r AS (SELECT v.*, text, {_HELD} AS held FROM v JOIN documents ON doc_id = key), q AS (SELECT key AS query_id, vec AS qvec, tenant_id, text FROM r WHERE key % 2 = 0 AND held),
+docs AS (SELECT * FROM r WHERE key % 2 = 1), tick AS (SELECT * FROM r WHERE key % 2 = 0 AND NOT held),
+b AS (SELECT query_id, tenant_id, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1, 2000) ELSE '' END AS body FROM q), {SQL_TERMS.split('FROM benchmark),', 1)[1]}, {SQL_POSTINGS},
+hits AS (SELECT t.query_id, idx.key, any_value(t.tenant_id) AS qt, sum(tf) AS hits FROM terms t JOIN idx ON t.token = idx.token GROUP BY t.query_id, idx.key),
+{_sql_list('dv', 'round(list_cosine_similarity(q.qvec, c.vec), 9)', 'docs', 'q JOIN docs c ON true')}, {_sql_list('tv', 'round(list_cosine_similarity(q.qvec, c.vec), 9)', 'tickets', 'q JOIN tick c ON q.tenant_id = c.tenant_id')},
+{_sql_list('df', 'q.hits', 'docs', 'hits q JOIN docs c ON q.key = c.key')}, {_sql_list('tf', 'q.hits', 'tickets', 'hits q JOIN tick c ON q.key = c.key AND q.qt = c.tenant_id')},
+{_fused('SELECT * FROM dv UNION ALL SELECT * FROM tv UNION ALL SELECT * FROM df UNION ALL SELECT * FROM tf')}"""
+
+
+@register("hybrid_two_corpora", f"WITH {SQL_CORPORA} SELECT query_id, p.key, split_part(p.key, ':', 1) AS corpus, round(score, 9) AS score, position, length(text)::INT AS n_chars FROM p JOIN r ON r.key = split_part(p.key, ':', 2)::BIGINT WHERE position <= 8")
 def hybrid_two_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four lists over two corpora under the tenant filter; tests hold the invariants."""
+    """Four lists over two corpora under the tenant filter."""
     return hybrid.hybrid_search(*hybrid_corpora(spark, sf_dir)).select("query_id", "key", "corpus", F.round("score", 9).alias("score"), "position", F.length("text").alias("n_chars"))
 
 

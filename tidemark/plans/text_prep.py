@@ -104,11 +104,13 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_pages(_pages(spark, sf_dir)).select("path", "chunk_index", "section", "n_chars", F.md5("text").alias("text_md5"))
 
 
-@register("page_table", "SELECT 'doc-' || doc_id AS path, 'doc-' || doc_id AS title, false AS has_images, 'v1' AS corpus_version, coalesce(text, '') <> '' AS has_chunks FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '<img|!\\[')")
+_IMAGES = " OR ".join(f"regexp_matches(coalesce(text, ''), {_re(p)})" for p in text.IMAGE_REFS)
+
+
+@register("page_table", f"SELECT 'doc-' || doc_id AS path, 'doc-' || doc_id AS title, {_IMAGES} AS has_images, 'v1' AS corpus_version, coalesce(text, '') <> '' AS has_chunks FROM documents")
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    rows = chunking.page_table(pages, chunking.chunk_pages(pages), "v1").join(pages.where(~F.col("markdown").rlike(r"<img|!\[")).select("path"), "path", "left_semi")
-    return rows.select("path", "title", "has_images", "corpus_version", (F.col("n_chunks") > 0).alias("has_chunks"))
+    return chunking.page_table(pages, chunking.chunk_pages(pages), "v1").select("path", "title", "has_images", "corpus_version", (F.col("n_chunks") > 0).alias("has_chunks"))
 
 
 @register("oversized_blocks", "WITH b AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS x FROM documents) SELECT doc_id, count(*) AS n FROM b WHERE length(x) > 2400 GROUP BY doc_id")
@@ -137,9 +139,9 @@ def corpus_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select("key", "label", total.alias("total"))
 
 
-@register("sheet_round_trip", "SELECT doc_id, text AS note, source FROM documents WHERE text IS NOT NULL AND text <> ''")
+@register("sheet_round_trip", "SELECT doc_id, text AS note, source FROM documents")
 def sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with line breaks and quotes through a CSV sheet."""
-    rows = T.table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''").select("doc_id", F.col("text").alias("note"), "source")
+    rows = T.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("note"), "source")
     files.write_sheet(rows, path := f"{_scratch(spark)}/sheet")
     return files.read_sheet(spark, path, "doc_id bigint, note string, source string")

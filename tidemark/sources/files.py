@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.hashing import check_fingerprint
 from tidemark.operators.chunking import front_matter
 
 TICKET = (
@@ -11,6 +12,11 @@ TICKET = (
     " closing_nodes array<struct<number:bigint,url:string,merged:boolean,repository:struct<nameWithOwner:string>>>"
 )
 
+DRAFT = "query_id bigint, probable_cause string, suggested_fix string, citations array<struct<source:string,url:string,quote:string>>, clarifying_questions array<string>"
+#: A page change, and what the ledger keeps of it.
+CHANGE = "seq bigint, change_type string, path string, old_path string, n_chunks bigint, payload string"
+LEDGER = "seq bigint, path string, change_type string, old_path string, chunks_before bigint, chunks_after bigint"
+
 
 def whole_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(name, body) of each file below a folder."""
@@ -43,6 +49,22 @@ def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TICKET).json(path)
 
 
+def read_drafts(spark: SparkSession, path: str) -> DataFrame:
+    """Dumped drafts, one record a ticket."""
+    return spark.read.schema(DRAFT).json(path)
+
+
+def reset_corpus(base: DataFrame, folder: str, key: str, text: str, fingerprint: tuple[int, str]) -> DataFrame:
+    """Puts the base snapshot back as ``folder/pages`` with an empty change log and ledger, and returns it; fails unless it has the fingerprint that was recorded."""
+    base.write.mode("overwrite").parquet(f"{folder}/pages")
+    spark = base.sparkSession
+    for name, schema in (("changes", CHANGE), ("ledger", LEDGER)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{name}")
+    pages = spark.read.schema(base.schema).parquet(f"{folder}/pages")
+    check_fingerprint(pages, key, text, fingerprint)
+    return pages
+
+
 def write_json_lines(rows: DataFrame, path: str, *order: str) -> None:
     """One record a line, sorted over the files if an order is given."""
     (rows.orderBy(*order) if order else rows).write.mode("overwrite").json(path)

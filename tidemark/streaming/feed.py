@@ -9,9 +9,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.functions import scoring
 from tidemark.operators import replay
+from tidemark.sources.files import CHANGE, LEDGER
 
-CHANGE = "seq bigint, change_type string, path string, old_path string, n_chunks bigint, payload string"
-LEDGER = "seq bigint, path string, change_type string, old_path string, chunks_before bigint, chunks_after bigint"
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,12 +47,12 @@ def follow(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: apply_batch(df, folder)).start()
 
 
-def scored(tickets: DataFrame) -> DataFrame:
-    """Arriving tickets (title, body, ...) with triage and the inputs of the gate; row-wise, so it runs on streams."""
+def scored(tickets: DataFrame, *terms) -> DataFrame:
+    """Arriving tickets (title, body, ...) with triage (by ``terms``, else by its own) and the inputs of the gate; row-wise, so it runs on streams."""
     text = F.concat_ws("\n", "title", "body")
-    return tickets.withColumns({"triage": scoring.triage(text), "body_chars": F.length(F.coalesce("body", F.lit("")))})
+    return tickets.withColumns({"triage": scoring.triage(text, *terms), "body_chars": F.length(F.coalesce("body", F.lit("")))})
 
 
-def serve(tickets: DataFrame, checkpoint: str, answer: Callable[[DataFrame], None]) -> StreamingQuery:
+def serve(tickets: DataFrame, checkpoint: str, answer: Callable[[DataFrame], None], *terms) -> StreamingQuery:
     """Hand each batch of scored tickets to ``answer``, which may rank and fuse: top-k windows need whole batches."""
-    return scored(tickets).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: answer(df)).start()
+    return scored(tickets, *terms).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: answer(df)).start()

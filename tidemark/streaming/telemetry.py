@@ -30,6 +30,11 @@ def counts(events: DataFrame, by: Sequence[str], length: str = "1 minute", slide
     return _flat(events.groupBy(_window(length, slide, ts), *by).agg(F.count("*").alias("n")))
 
 
+def degrades(events: DataFrame, stages: str = "stages", reason: str = "reason", length: str = "5 minutes", ts: str = "ts") -> DataFrame:
+    """Degraded answers for each window, stage and class of error; ``stages`` is an array, each entry counts."""
+    return counts(events.select(ts, F.explode(stages).alias("stage"), F.col(reason).alias("reason")), ["stage", "reason"], length, ts=ts)
+
+
 def share(events: DataFrame, flag: str, length: str = "5 minutes", slide: str | None = "1 minute", ts: str = "ts") -> DataFrame:
     """Rows and the share of flagged rows in each window."""
     return _flat(events.groupBy(_window(length, slide, ts)).agg(F.count("*").alias("n"), F.avg(F.col(flag).cast("int")).alias("share")))
