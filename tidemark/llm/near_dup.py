@@ -25,16 +25,20 @@ an empty result. Columns other than doc_id and text are not read, and pass throu
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark.llm import wordhash as W
 from tidemark.llm.components import connected
 from tidemark.llm.storage import materialise
 
-WORDS, SIMILARITY, SKETCHES, ELL, PAIRS = 5, 0.8, 16, 2, 256
+WORDS, SIMILARITY, SKETCHES, ELL = 5, 0.8, 16, 2
+#: Bytes of the texts of pairs whose shingles are held at a time.
+PAIR_BYTES = 1 << 20
 #: Most nodes and shingles of a block of a bucket, about; several small buckets share a block.
 BLOCK_NODES, BLOCK_GRAMS = 2048, 1 << 20
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | W.U64(1)
@@ -99,11 +103,6 @@ def _keys(w: W.Words) -> list[bytes | None]:
     return [raw[16 * i : 16 * i + 16] if count[i] else None for i in range(n)]
 
 
-@F.arrow_udf(T.BinaryType())
-def _key_of(texts: pa.Array) -> pa.Array:
-    return pa.array([k for _, data, at in W.slices(texts) for k in _keys(W.words(data, at, W.ALNUM))], pa.binary())
-
-
 @F.arrow_udf(_SKETCH)
 def _sketch_of(texts: pa.Array) -> pa.Array:
     keys: list[bytes | None] = []
@@ -164,12 +163,22 @@ def aligned(a: np.ndarray, b: np.ndarray, plain_a: np.ndarray, plain_b: np.ndarr
     return m
 
 
+def _pair_runs(left: pa.Array, right: pa.Array) -> Iterator[slice]:
+    """Runs of pairs of about PAIR_BYTES; a longer pair is alone."""
+    size = sum((pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, right)), np.zeros(len(left), np.int64))
+    ends, at = np.cumsum(size), 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIR_BYTES, "right")))
+        yield slice(at, to)
+        at = to
+
+
 def similarity(left: pa.Array, right: pa.Array) -> list[float]:
     """M / (n1 + n2 - M) of each pair of lower-cased texts; 0 below SIMILARITY at the latest."""
     out = []
-    for k in range(0, len(left), PAIRS):  # the shingles of so many pairs are held at a time
+    for run in _pair_runs(left, right):  # the shingles of so many pairs are held at a time
         sides = []
-        for texts in (left.slice(k, PAIRS), right.slice(k, PAIRS)):
+        for texts in (left[run], right[run]):
             grams: list[tuple[np.ndarray, np.ndarray]] = []
             for _, data, text_at in W.slices(texts):
                 at, *hashes = labelled(W.words(data, text_at, W.ALNUM))
@@ -329,18 +338,25 @@ def _open_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_links_of_block, "a binary, b binary")
 
 
+def _text_hash() -> F.Column:
+    return F.xxhash64(F.lower("text"))
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, lower-cased text) of the wanted (node, rep)."""
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", F.lower("text").alias("text"))
-    return rows.where(_key_of("text") == F.col("node")).dropDuplicates(["node"])
+    """(node, lower-cased text) of the wanted (node, rep, rep_hash), found by doc_id and hash of the text: rows of one id, or without one, stay apart."""
+    rows = docs.select("doc_id", F.lower("text").alias("text"), _text_hash().alias("text_hash"))
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
+    return found.select("node", "text").dropDuplicates(["node"])
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, node (null without words), class_id (the least doc_id of the class), class_size (rows)."""
-    rows = materialise(docs.select("doc_id", _sketch_of(F.lower("text")).alias("s")).select("doc_id", "s.*"), "sketches")
-    nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("sketches").alias("sketches")), "nodes")
+    """One row per row of ``docs``: doc_id, text_hash, node (null without words), class_id (the least doc_id of the class), class_size (rows)."""
+    rows = materialise(docs.select("doc_id", _text_hash().alias("text_hash"), _sketch_of(F.lower("text")).alias("s")).select("doc_id", "text_hash", "s.*"), "sketches")
+    of_rep = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("rep_hash")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), of_rep, F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("sketches").alias("sketches"))
+    nodes = materialise(nodes, "nodes")
     members = materialise(_buckets(nodes), "buckets")
-    texts = materialise(_texts_of(docs, members.select("node").distinct().join(nodes.select("node", "rep"), "node")), "candidate-texts")
+    texts = materialise(_texts_of(docs, members.select("node").distinct().join(nodes.select("node", "rep", "rep_hash"), "node")), "candidate-texts")
     labels = materialise(connected(_linked(_first_pairs(members, nodes), texts)), "labels")
     more = materialise(_open_links(members, labels, nodes, texts), "links")
     if not more.isEmpty():
@@ -350,17 +366,18 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = nodes.select("node", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = labels.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     found = labels.join(heads, "label").select("node", "class_id", "class_size")
-    return rows.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return rows.select("doc_id", "text_hash", "node").join(found, "node", "left").select("doc_id", "text_hash", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of each class, that of the least doc_id, with its columns; rows without words all stay."""
-    found = materialise(classes(docs), "classes")
-    # of the rows of a class that hold its least doc_id, one node; a class without doc_ids keeps its least node
-    heads = found.where("node is not null").groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("own")).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("near·node"))
-    heads = heads.select(F.col("class_id").alias("near·id"), "near·node")
-    row = docs.select(F.struct("*").alias("near·row"), F.col("doc_id").alias("near·doc"), _key_of(F.lower("text")).alias("near·key"))
-    kept = row.join(heads, F.col("near·doc").eqNullSafe(F.col("near·id")) & (F.col("near·key") == F.col("near·node")), "left_semi")
-    if not found.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["near·doc", "near·key"])
-    return kept.union(row.where(F.col("near·key").isNull())).select("near·row.*")
+    found = materialise(classes(docs), "classes").where("node is not null")
+    # of the rows of a class that hold its least doc_id, one text; a class without doc_ids keeps the text of its least node
+    first = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.struct("node", "text_hash"))).alias("first")
+    heads = found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("own")).agg(first)
+    heads = heads.select(F.col("class_id").alias("near·id"), F.col("first.text_hash").alias("near·head"))
+    row = docs.select(F.struct("*").alias("near·row"), F.col("doc_id").alias("near·doc"), _text_hash().alias("near·hash"), F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)).alias("near·words"))
+    kept = row.where("`near·words`").join(heads, F.col("near·doc").eqNullSafe(F.col("near·id")) & (F.col("near·hash") == F.col("near·head")), "left_semi")
+    if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["near·doc", "near·hash"])
+    return kept.union(row.where("NOT `near·words`")).select("near·row.*")
