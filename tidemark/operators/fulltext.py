@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,9 +89,10 @@ class _Terms:
         self.query, self.vocabulary = query[order], pa.array(self.words, pa.string())
         self.at = np.searchsorted(key[order], np.arange(len(self.words) * len(self.groups) + 1))
 
-    def meet(self, texts: pa.Array, keys: np.ndarray, groups: np.ndarray, every: bool, best: Best) -> None:
-        """Adds the hits of each text (lower-cased) with each query of its group."""
-        lists = pc.split_pattern_regex(texts, "[^a-z0-9_]+")
+    def meet(self, lists: pa.Array, keys: np.ndarray, groups: np.ndarray, every: bool, best: Best) -> None:
+        """Adds the hits of each text, given as tokens, with each query of its group."""
+        if not len(self.ids):
+            return
         doc, code = pc.list_parent_indices(lists), pc.index_in(pc.list_flatten(lists), self.vocabulary)
         known = pc.is_valid(code)
         doc, code = doc.filter(known).to_numpy(zero_copy_only=False), code.filter(known).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -121,18 +123,37 @@ def match(queries: DataFrame, corpus: DataFrame, k: int = K, mode: str = "any",
     rows = sent(queries.select("query_id", group.alias("g"), "terms"))
     if rows is None:
         return search(queries, postings(corpus, *(["tenant_id"] if same_tenant else []), only=queries), k, mode, same_tenant)
+    return ranked(_scanned({"g": rows}, corpus.select("key", "text", group.alias("g")).where("g IS NOT NULL"), k, mode), "hits", k).select("query_id", "key", "hits", "rank")
+
+
+def match_lists(queries: DataFrame, corpus: DataFrame, lists: Mapping[str, bool], k: int = K, mode: str = "any") -> DataFrame:
+    """(list, query_id, key, hits, rank): ``match`` for several named lists, with and without same_tenant, over one pass of the texts."""
+    rows = sent(queries.select("query_id", F.col("tenant_id").cast("long").alias("tenant"), "terms"))
+    if rows is None:
+        return reduce(DataFrame.unionByName, (match(queries, corpus, k, mode, same).withColumn("list", F.lit(name)) for name, same in lists.items()))
+    zero = pa.array(np.zeros(len(rows), np.int64))
+    sides = {name: rows.select(["query_id", "terms"]).append_column("g", rows.column("tenant") if same else zero) for name, same in lists.items()}
+    texts = corpus.where("tenant_id IS NOT NULL").select("key", "text", *((F.col("tenant_id").cast("long") if same else F.lit(0).cast("long")).alias(name) for name, same in lists.items()))
+    return ranked(_scanned(sides, texts, k, mode), "hits", k, "list").select("list", "query_id", "key", "hits", "rank")
+
+
+def _scanned(asked: dict[str, pa.Table], corpus: DataFrame, k: int, mode: str) -> DataFrame:
+    """(list, query_id, key, hits): for each list of queries (query_id, terms, g) the k best texts of each partition of the corpus (key, text, and a group column of each list's name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(rows)
-        best = Best(len(terms.ids), k)
+        lists = [(name, terms := _Terms(rows), Best(len(terms.ids), k)) for name, rows in asked.items()]
         for batch in batches:
-            for at in range(0, batch.num_rows if len(terms.ids) else 0, TEXTS):
+            for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                terms.meet(part.column("text"), part.column("key").to_numpy(), part.column("g").to_numpy(), mode == "all", best)
-        yield pa.RecordBatch.from_arrays([pa.array(terms.ids[best.query], pa.int64()), pa.array(best.key, pa.int64()), pa.array(best.value.astype(np.int64))], ["query_id", "key", "hits"])
-
-    texts = corpus.select("key", group.alias("g"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).where("g IS NOT NULL")
-    return ranked(texts.mapInArrow(run, "query_id long, key long, hits long"), "hits", k).select("query_id", "key", "hits", "rank")
+                found, keys = pc.split_pattern_regex(part.column("text"), "[^a-z0-9_]+"), part.column("key").to_numpy()
+                for name, terms, best in lists:
+                    terms.meet(found, keys, part.column(name).to_numpy(), mode == "all", best)
+        for name, terms, best in lists:
+            columns = [pa.array([name] * len(best.key), pa.string()), pa.array(terms.ids[best.query], pa.int64()), pa.array(best.key, pa.int64()), pa.array(best.value.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["list", "query_id", "key", "hits"])
+
+    texts = corpus.withColumn("text", F.lower(F.coalesce("text", F.lit(""))))
+    return texts.mapInArrow(run, "list string, query_id long, key long, hits long")
 
 
 _ENDINGS = ("ations", "ation", "ingly", "ings", "ing", "edly", "ed", "ies", "es", "s", "ly")

@@ -39,7 +39,7 @@ class Best:
         self.query, self.value, self.key = query[kept], value[kept], key[kept]
 
 
-def ranked(rows: DataFrame, value: str, k: int) -> DataFrame:
-    """The k best rows of each query over all partitions, with their rank."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(value), "key")
+def ranked(rows: DataFrame, value: str, k: int, *by: str) -> DataFrame:
+    """The k best rows of each query (and of each ``by``) over all partitions, with their rank."""
+    order = Window.partitionBy("query_id", *by).orderBy(F.desc(value), "key")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,18 +61,21 @@ class _Asked:
 _FOUND = "query_id long, key long, similarity double"
 
 
-def _scanned(asked: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each partition of the corpus for each query: one pass, nothing shuffled."""
+def _scanned(asked: dict[str, pa.Table], corpus: DataFrame, k: int) -> DataFrame:
+    """(list, query_id, key, similarity): for each list of queries (query_id, qvec, g) the k best rows of each partition of the corpus (key, vec, and a group column of each list's name). One pass, nothing shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = _Asked(asked)
-        best = Best(len(queries.ids), k)
+        lists = [(name, queries := _Asked(rows), Best(len(queries.ids), k)) for name, rows in asked.items()]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                queries.meet(batch.slice(at, ROWS), best)
-        yield queries.found(best)
+                rows = batch.slice(at, ROWS)
+                for name, queries, best in lists:
+                    queries.meet(rows.select(["key", "vec", name]).rename_columns(["key", "vec", "g"]), best)
+        for name, queries, best in lists:
+            found = queries.found(best)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * found.num_rows, pa.string()), *found.columns], ["list", *found.schema.names])
 
-    return corpus.mapInArrow(run, _FOUND)
+    return corpus.mapInArrow(run, f"list string, {_FOUND}")
 
 
 def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -97,7 +101,12 @@ def _top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """The k best rows of (key, vec, g) for each query of (query_id, qvec, g); a query may look into several groups."""
     corpus = corpus.where("vec IS NOT NULL AND g IS NOT NULL")
     asked = sent(queries := queries.where("qvec IS NOT NULL AND g IS NOT NULL"))
-    return ranked(_in_blocks(queries, corpus, k) if asked is None else _scanned(asked, corpus, k), "similarity", k)
+    found = _in_blocks(queries, corpus, k) if asked is None else _scanned({"g": asked}, corpus, k).drop("list")
+    return ranked(found, "similarity", k)
+
+
+def _group(same_tenant: bool) -> Column:
+    return F.col("tenant_id").cast("long") if same_tenant else F.lit(0).cast("long")
 
 
 def exact_top(queries: DataFrame, corpus: DataFrame, k: int = K, same_tenant: bool = False) -> DataFrame:
@@ -108,12 +117,19 @@ def exact_top(queries: DataFrame, corpus: DataFrame, k: int = K, same_tenant: bo
     only these are shuffled. A larger batch meets the corpus in pairs of blocks. No pair of rows is
     ever a row, and with same_tenant rows of other tenants never meet.
     """
-    group = F.col("tenant_id").cast("long") if same_tenant else F.lit(0).cast("long")
-    return _top(queries.select("query_id", "qvec", group.alias("g")), corpus.select("key", "vec", group.alias("g")), k)
+    group = _group(same_tenant).alias("g")
+    return _top(queries.select("query_id", "qvec", group), corpus.select("key", "vec", group), k)
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def exact_lists(queries: DataFrame, corpus: DataFrame, lists: Mapping[str, bool], k: int = K) -> DataFrame:
+    """(list, query_id, key, similarity, rank): ``exact_top`` for several named lists, with and without same_tenant, over one pass of the corpus."""
+    asked = sent(queries.select("query_id", "qvec", F.col("tenant_id").cast("long").alias("tenant")).where("qvec IS NOT NULL AND tenant IS NOT NULL"))
+    if asked is None:
+        return reduce(DataFrame.unionByName, (exact_top(queries, corpus, k, same).withColumn("list", F.lit(name)) for name, same in lists.items()))
+    rows = corpus.where("vec IS NOT NULL AND tenant_id IS NOT NULL").select("key", "vec", *(_group(same).alias(name) for name, same in lists.items()))
+    zero = pa.array(np.zeros(len(asked), np.int64))
+    sides = {name: asked.select(["query_id", "qvec"]).append_column("g", asked.column("tenant") if same else zero) for name, same in lists.items()}
+    return ranked(_scanned(sides, rows, k), "similarity", k, "list")
 
 
 def wrong_dimension(rows: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -130,8 +146,8 @@ class CellIndex:
     def __init__(self, corpus: DataFrame, cells: int | None = None, sample: int = 20_000, seed: int = 3):
         n = max(1, corpus.count())
         part = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < min(1 << 20, -(-(sample << 20) // n))
-        unit = F.transform("vec", lambda x: x / F.sqrt(dot("vec", "vec")))
-        fitted = corpus.where(part).select(array_to_vector(unit).alias("features"))
+        vectors = corpus.where(part).where("vec IS NOT NULL").select(array_to_vector("vec").alias("vector"))
+        fitted = Normalizer(inputCol="vector", outputCol="features").transform(vectors)
         model = KMeans(k=cells or max(CELLS[0], min(CELLS[1], round(n**0.5))), seed=seed, maxIter=8).fit(fitted)
         self.centres = np.array(model.clusterCenters())
 

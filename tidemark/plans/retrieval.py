@@ -37,18 +37,13 @@ def _fused(lists: str) -> str:
     p AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key))::INT AS position FROM f)"""
 
 
-def _vector_lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    corpus = T.vectors(spark, sf_dir)
-    asked = T.vector_queries(corpus)
-    return {"all_vector": vector.exact_top(asked, corpus), "tenant_vector": vector.exact_top(asked, corpus, same_tenant=True)}
-
-
 SQL_LISTS = f"{T.SQL_VECTORS}, la AS ({_sim('true')}), lt AS ({_sim('q.tenant_id = v.tenant_id')})"
 SQL_FUSED = f"{SQL_LISTS}, {_fused('SELECT * FROM la UNION ALL SELECT * FROM lt')}"
 
 
 def fused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.fuse(_vector_lists(spark, sf_dir))
+    corpus = T.vectors(spark, sf_dir)
+    return fusion.fuse_rows(vector.exact_lists(T.vector_queries(corpus), corpus, {"all_vector": False, "tenant_vector": True}))
 
 
 @register("rrf_fusion", f"WITH {SQL_FUSED} SELECT query_id, key, round(score, 9) AS score, position, n_lists::INT AS n_lists FROM p WHERE position <= 8")
@@ -142,15 +137,15 @@ def fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.search(asked, index)
 
 
-def hybrid_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(queries, four lists): every document with a vector whose id is divisible by QUERY_MOD asks with both; lists over all and over its tenant's."""
+def hybrid_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, rows of four lists): every document with a vector whose id is divisible by QUERY_MOD asks with both; lists over all and over its tenant's."""
     corpus = T.vectors(spark, sf_dir)
     asked = T.vector_queries(corpus)
     docs = T.texts(spark, sf_dir)
     words = docs.where(F.col("key") % T.QUERY_MOD == 0).join(asked.select(F.col("query_id").alias("key")), "key", "left_semi")
     terms = words.select(F.col("key").alias("query_id"), fulltext.query_terms(F.col("text")).alias("terms"), "tenant_id")
-    lists = {"all_vector": vector.exact_top(asked, corpus), "tenant_vector": vector.exact_top(asked, corpus, same_tenant=True), "all_fts": fulltext.match(terms, docs), "tenant_fts": fulltext.match(terms, docs, same_tenant=True)}
-    return asked, lists
+    found = vector.exact_lists(asked, corpus, {"all_vector": False, "tenant_vector": True}), fulltext.match_lists(terms, docs, {"all_fts": False, "tenant_fts": True})
+    return asked, found[0].select("list", "query_id", "key", "rank").union(found[1].select("list", "query_id", "key", "rank"))
 
 
 SQL_HYBRID = rf"""{SQL_LISTS}, b AS (SELECT doc_id AS query_id, {T.SQL_TENANT.format('doc_id')} AS tenant_id, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title,
@@ -163,14 +158,14 @@ fa AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY h
 @register("hybrid_search", f"WITH {SQL_HYBRID} SELECT query_id, key, round(score, 9) AS score, position, n_lists::INT AS n_lists FROM p WHERE position <= 8")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, lists = hybrid_lists(spark, sf_dir)
-    return fusion.fuse(lists).select("query_id", "key", F.round("score", 9).alias("score"), "position", F.size("ranks").alias("n_lists"))
+    return fusion.fuse_rows(lists).select("query_id", "key", F.round("score", 9).alias("score"), "position", F.size("ranks").alias("n_lists"))
 
 
 @register("retrieval_confidence", f"""WITH {SQL_HYBRID}, r AS (SELECT p.*, (EXISTS (SELECT 1 FROM fa WHERE fa.query_id = p.query_id AND fa.key = p.key) OR EXISTS (SELECT 1 FROM ft WHERE ft.query_id = p.query_id AND ft.key = p.key)) AS has_text FROM p WHERE position <= 8)
 SELECT q.query_id, round(coalesce(0.5 * avg((n_lists >= 2)::INT) + 0.3 * max(has_text::INT) + 0.2 * least(1.0, (max(score) - min(score)) / max(score)), 0.0), 9) AS confidence FROM q LEFT JOIN r USING (query_id) GROUP BY q.query_id""")
 def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, lists = hybrid_lists(spark, sf_dir)
-    return fusion.confidence(asked, fusion.fuse(lists), ["all_fts", "tenant_fts"]).select("query_id", F.round("confidence", 9).alias("confidence"))
+    return fusion.confidence(asked, fusion.fuse_rows(lists), ["all_fts", "tenant_fts"]).select("query_id", F.round("confidence", 9).alias("confidence"))
 
 
 def hybrid_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
