@@ -65,7 +65,10 @@ def test_splitting_keeps_quotas_exact():
     assert split.shape == (7, 4) and (split.sum(0) == q).all() and np.ptp(split.sum(1)) <= 3
 
 
-def test_mixing(docs, none):
+@pytest.mark.parametrize("planned", [mixing.PLANNED_SOURCES, 0])
+def test_mixing(docs, none, planned, monkeypatch):
+    monkeypatch.setattr(mixing, "PLANNED_SOURCES", planned)
+    monkeypatch.setattr(mixing, "TABLE_ROWS", 16)
     got = mixing.shares(docs).collect()
     assert len(got) == docs.count() and mixing.shares(none).count() == 0
     sizes = Counter()
@@ -84,6 +87,21 @@ def test_mixing(docs, none):
     assert sorted(map(tuple, mixing.shares(docs).select("doc_id", "size", "taken").collect()), key=str) == sorted(((r.doc_id, r.size, r.taken) for r in got), key=str)
 
 
+def test_planned_in_tables_every_shard_takes_as_much(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "PLANNED_SOURCES", 0)
+    monkeypatch.setattr(mixing, "TABLE_ROWS", 1)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    narrow = mixing.materialise(mixing._narrow(docs, []), "sizes")
+    _, plan, _ = mixing._plan_tables(narrow, 11)
+    dealt = Counter(s for r in plan.collect() for s in (*r["mix·shards"], *([] if r["mix·last"] is None else [r["mix·last"]])))
+    assert set(dealt) == set(range(mixing.SHARDS)) and max(dealt.values()) - min(dealt.values()) <= 1
+    want = {r.source: r for r in docs.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()}
+    order = sorted(want)
+    aims = mixing.targets([want[s].n for s in order], [1.0 + i % 3 for i in range(len(order))])
+    got = {r["mix·name"]: r["mix·target"] for r in mixing._target_table(narrow).collect()}
+    assert all(got[s] == pytest.approx(a) for s, a in zip(order, aims, strict=True))
+
+
 def test_mixture_repeats_whole_rows(docs, none):
     out = mixing.mixture(docs)
     assert out.columns == docs.columns and mixing.mixture(none).count() == 0

@@ -10,9 +10,11 @@ shards holds exact quotas for each source; its left half gets a multivariate-hyp
 them, the right half what is left. Each shard then takes the next blocks of every source's permuted
 list, disjoint from the other shards', and a shard's rows are ordered by a hash.
 
-Spark sums words and writes the mixture. The driver sees one row for each source (MAX_SOURCES at
-most: a mixture names its sources), for each block (BLOCKS plus the sources) and for each sub-block of
-a source's last block; the plan that is broadcast has a row for each block.
+Spark sums words and writes the mixture. The driver sees one row for each source, for each block (BLOCKS
+plus the sources) and for each sub-block of a source's last block; the plan that is broadcast has a row
+for each block. Where there are more than PLANNED_SOURCES, the plan is made by Spark as tables instead,
+joined by source and block: all block draws are permuted by a hash and cut into equal runs, one a shard,
+which deals them by the same law as the tree; a last block is filled by its rows in order of a hash.
 
 Defined cases: a null text has size 0; null is a source of its own, the last; repeated rows are drawn
 alike; a source without words is drawn as often as its target of 0 words says, so not at all; an
@@ -26,14 +28,16 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark.llm import wordhash as W
 from tidemark.llm.storage import materialise
 
-MAX_SOURCES, SHARDS, BLOCKS, MOST = 20_000, 16, 1024, 3.0
+PLANNED_SOURCES, SHARDS, BLOCKS, MOST = 20_000, 16, 1024, 3.0
 #: Rows that a block holds at least on average, so that its sub-blocks fill a rest closely.
 BLOCK_ROWS = 32
+#: Rows of a block, about, where the plan is a table.
+TABLE_ROWS = 4096
 #: Sub-blocks of all sources' last blocks together.
 SUB_BLOCKS = 1 << 17
 
@@ -114,9 +118,7 @@ def _plan(narrow: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """(source, its numbers of blocks and sub-blocks), (for each block: source, size and target of the source, shard of each full draw, shard of the last draw, sub-blocks in it)."""
     spark = narrow.sparkSession
     name = F.col("mix·source")
-    found = narrow.groupBy("mix·source").agg(F.sum("mix·size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: a mixture is planned for named sources")
+    found = narrow.groupBy("mix·source").agg(F.sum("mix·size").alias("size"), F.count("*").alias("rows")).collect()
     found.sort(key=lambda r: (r["mix·source"] is None, r["mix·source"] or ""))
     names, sizes = [r["mix·source"] for r in found], [r["size"] for r in found]
     aims = targets(sizes, [1.0 + i % 3 for i in range(len(names))])
@@ -169,12 +171,75 @@ def _plan(narrow: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return shape, spark.createDataFrame(rows, _PLAN)
 
 
+def _in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with mix·rank, their place from 0 in a total order: ranges are sorted apart, and a row a range tells how many rows stand before it."""
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("mix·part", F.spark_partition_id()), "mix-order")
+    before = dealt.groupBy("mix·part").agg(F.count("*").alias("n")).withColumn("mix·before", F.sum("n").over(Window.orderBy("mix·part")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("mix·part").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(before), "mix·part").withColumn("mix·rank", place + F.col("mix·before")).drop("mix·part", "mix·before")
+
+
+def _target_table(narrow: DataFrame) -> DataFrame:
+    """(mix·name, mix·source_size, mix·blocks, mix·target) of each source: ``targets`` as a table. Each round is one sum over the sources."""
+    sizes = narrow.groupBy(F.col("mix·source").alias("mix·name")).agg(F.sum("mix·size").alias("mix·source_size"), (F.floor(F.count("*") / TABLE_ROWS) + 1).cast("int").alias("mix·blocks"))
+    named = _in_order(sizes.where("`mix·name` IS NOT NULL"), "mix·name")
+    last = sizes.where("`mix·name` IS NULL").withColumn("mix·rank", F.lit(named.count()))
+    rows = materialise(named.unionByName(last).withColumn("w", 1.0 + F.col("mix·rank") % 3).drop("mix·rank"), "mix-sources")
+    cap, share, stopped = MOST * F.col("mix·source_size"), 0.0, -1
+    total = rows.agg(F.sum("mix·source_size")).first()[0] or 0
+    while True:
+        above = F.lit(share) * F.col("w") > cap
+        got = rows.agg(F.count_if(above), F.sum(F.when(above, cap).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("w")))).first()
+        if got[0] == stopped or not got[2]:
+            return rows.withColumn("mix·target", F.when(above, cap).otherwise(F.lit(share) * F.col("w"))).drop("w")
+        stopped, share = got[0], (total - got[1]) / got[2]
+
+
+def _plan_tables(narrow: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(source, its blocks), (for each block: source, size and target of the source, shards of its full draws, shard of its last draw), (source and hash of the rows that a last draw takes)."""
+    sources = materialise(_target_table(narrow), "mix-targets")
+    shape = sources.select("mix·name", "mix·blocks")
+    same = F.col("mix·source").eqNullSafe(F.col("mix·name"))
+    dealt = narrow.join(shape, same).select("mix·name", _block("mix·blocks").alias("mix·at"), "mix·size", "mix·hash")
+    blocks = dealt.groupBy("mix·name", "mix·at").agg(F.sum("mix·size").alias("n")).withColumnRenamed("mix·name", "name")
+    rows = blocks.join(sources, F.col("name").eqNullSafe(F.col("mix·name"))).drop("name")
+    full = F.when(F.col("mix·source_size") > 0, F.floor(F.col("mix·target") / F.col("mix·source_size") + 1e-9)).otherwise(0)
+    upto = F.sum("n").over(Window.partitionBy("mix·name").orderBy(F.xxhash64(F.lit(seed), "mix·name", "mix·at"), "mix·at"))
+    rows = rows.withColumns({"full": full, "upto": upto}).withColumn("left", F.col("mix·target") - F.col("full") * F.col("mix·source_size") - (F.col("upto") - F.col("n")))
+    ends = (F.col("left") >= 0.5) & (F.col("n") > F.col("left"))
+    rows = rows.withColumns({"ends": ends, "draws": (F.col("full") + (F.col("left") >= 0.5).cast("int")).cast("int")})
+    rows = materialise(rows, "mix-blocks")
+    # the rows of a last block in order of a hash, up to what is missing, and one more if that comes nearer
+    ending = rows.where("ends").select(F.col("mix·name").alias("name"), F.col("mix·at").alias("at"), "left")
+    inner = dealt.join(ending, F.col("mix·name").eqNullSafe(F.col("name")) & (F.col("mix·at") == F.col("at"))).groupBy("name", "at", "left", "mix·hash").agg(F.sum("mix·size").alias("n"))
+    inner = inner.withColumn("upto", F.sum("n").over(Window.partitionBy("name", "at").orderBy(F.xxhash64(F.lit(seed + 1), "mix·hash"), "mix·hash")))
+    taken = inner.where((F.col("upto") <= F.col("left")) | ((F.col("upto") - F.col("n") <= F.col("left")) & (F.col("upto") - F.col("left") < F.col("left") - F.col("upto") + F.col("n"))))
+    taken = taken.select(F.col("name").alias("mix·taken_name"), F.col("mix·hash").alias("mix·taken"))
+    drawn = rows.where("draws > 0").select("mix·name", "mix·at", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("i"))
+    drawn = _in_order(drawn.withColumn("mix·order", F.xxhash64(F.lit(seed + 2), "mix·name", "mix·at", "i")), "mix·order", "mix·at", "i")
+    shard = F.floor(F.col("mix·rank") * SHARDS / F.lit(max(1, drawn.count()))).cast("int")
+    shards = drawn.select(F.col("mix·name").alias("name"), F.col("mix·at").alias("at"), F.struct("i", shard.alias("s")).alias("d")).groupBy("name", "at").agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["s"]).alias("s"))
+    plan = rows.join(shards, F.col("mix·name").eqNullSafe(F.col("name")) & (F.col("mix·at") == F.col("at")), "left")
+    whole = F.coalesce(F.when(F.col("ends"), F.slice("s", F.lit(1), F.size("s") - 1)).otherwise(F.col("s")), F.array().cast("array<int>"))
+    return shape, plan.select("mix·name", "mix·at", "mix·source_size", "mix·target", whole.alias("mix·shards"), F.when(F.col("ends"), F.element_at("s", -1)).alias("mix·last")), taken
+
+
 def draw(docs: DataFrame, keep: list[F.Column], seed: int = 11) -> DataFrame:
     """``keep`` of each row with mix·size, mix·source_size, mix·target and mix·draws, the output shard of each of its draws."""
-    shape, plan = _plan(materialise(_narrow(docs, []), "mix-sizes"), seed)
-    rows = _narrow(docs, keep).join(F.broadcast(shape), F.col("mix·source").eqNullSafe(F.col("mix·name"))).drop("mix·name")
-    rows = rows.join(F.broadcast(plan), F.col("mix·source").eqNullSafe(F.col("mix·name")) & (_block("mix·blocks") == F.col("mix·at")))
-    more = F.when(F.array_contains("mix·subs", _sub("mix·sub_blocks")) & (F.col("mix·size") > 0), F.array("mix·last"))
+    narrow = materialise(_narrow(docs, []), "mix-sizes")
+    same = F.col("mix·source").eqNullSafe(F.col("mix·name"))
+    if narrow.select("mix·source").distinct().count() > PLANNED_SOURCES:
+        shape, plan, taken = _plan_tables(narrow, seed)
+        rows = _narrow(docs, keep).join(shape, same).drop("mix·name").withColumn("mix·place", _block("mix·blocks"))
+        rows = rows.join(plan, same & (F.col("mix·place") == F.col("mix·at")))
+        rows = rows.join(taken, F.col("mix·source").eqNullSafe(F.col("mix·taken_name")) & (F.col("mix·hash") == F.col("mix·taken")), "left")
+        is_taken = F.col("mix·taken").isNotNull()
+    else:
+        shape, plan = _plan(narrow, seed)
+        rows = _narrow(docs, keep).join(F.broadcast(shape), same).drop("mix·name")
+        rows = rows.join(F.broadcast(plan), same & (_block("mix·blocks") == F.col("mix·at")))
+        is_taken = F.array_contains("mix·subs", _sub("mix·sub_blocks"))
+    more = F.when(is_taken & (F.col("mix·size") > 0), F.array("mix·last"))
     drawn = F.when(F.col("mix·size") > 0, F.col("mix·shards")).otherwise(F.array().cast("array<int>"))
     return rows.withColumn("mix·draws", F.concat(drawn, F.coalesce(more, F.array().cast("array<int>"))))
 
