@@ -9,7 +9,8 @@ kinds, and its formula, a column expression, decides on the further kinds.
 
 All of it is DataFrame functions. Matches and the text between them come from ``regexp_extract_all``
 and ``split`` with one pattern; positions are sums of their lengths, in code points, by blocks, so a
-text with many matches stays near linear. The driver sees counts of vote patterns only: at most
+text with many matches stays near linear; so does the search for overlaps of further spans with base
+spans, which looks into the blocks of base spans that a span can meet. The driver sees counts of vote patterns only: at most
 3^6 patterns for each kind.
 
 Defined cases: a null text counts as empty; repeated rows are handled each; an empty table gives an
@@ -147,8 +148,13 @@ def _candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base and extra: sorted spans of the base kinds, and of the further kinds where no base span overlaps."""
     rows = _found(docs)
     rows = rows.select("doc_id", F.array_sort(F.concat(*BASE)).alias("base"), F.array_sort(F.concat(*KINDS[len(BASE) :])).alias("extra"))
-    clear = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return rows.select("doc_id", "base", F.when(F.size("extra") > 0, clear).otherwise(F.col("extra")).alias("extra"))
+    part = lambda b: F.slice("base", b * BLOCK + 1, F.lit(BLOCK))
+    low = lambda b: F.get("base", b * BLOCK)["start"]
+    high = lambda b: F.array_max(F.transform(part(b), lambda s: s["end"]))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("base") - 1) / BLOCK).cast("int")), lambda b: F.struct(b.alias("b"), low(b).alias("low"), high(b).alias("high")))
+    rows = rows.withColumn("blocks", F.when((F.size("base") > 0) & (F.size("extra") > 0), blocks))
+    meets = lambda e: F.exists("blocks", lambda k: (k["low"] < e["end"]) & (e["start"] < k["high"]) & F.exists(part(k["b"]), lambda s: (s["start"] < e["end"]) & (e["start"] < s["end"])))
+    return rows.select("doc_id", "base", F.when(F.col("blocks").isNotNull(), F.filter("extra", lambda e: ~meets(e))).otherwise(F.col("extra")).alias("extra"))
 
 
 def learn(patterns: list[tuple[list[bool | None], int]]) -> Reliability:
