@@ -9,13 +9,15 @@ floor(0.2 u) + 1: a document that holds 0.8 of the item lacks at most m - 1 of i
 of the m is in the document, however long it is. A document's shingles are probed against the
 signatures of the partitions that its own size allows; candidates are then counted exactly.
 
-All of it is DataFrame functions. The signatures are broadcast only if they have at most
-MOST_BROADCAST rows (16 bytes each); a larger benchmark is joined by shuffle.
+All of it is DataFrame functions. The signatures are broadcast only if their measured size is at most
+MOST_BROADCAST bytes, ROW for each row and the length of item_id as text; larger ones are joined by
+shuffle.
 
 Defined cases: null texts and texts with fewer than five words have no shingles, so such items find
 nothing and such documents are clean; repeated documents and items each give their own answer, rows
-of equal doc_id and text one; empty tables give an empty result. Only the named columns are read;
-``drop_contaminated`` passes all columns through.
+of equal doc_id and text one; documents without doc_id are told apart by their texts; empty tables
+give an empty result. Only the named columns are read; ``drop_contaminated`` passes all columns
+through.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.storage import materialise
 
-WORDS, CONTAINMENT, MOST_BROADCAST = 5, 0.8, 1_000_000
+WORDS, CONTAINMENT = 5, 0.8
+MOST_BROADCAST, ROW = 100_000_000, 100
 
 
 def word_list(text: str | Column) -> Column:
@@ -66,13 +69,14 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, n_shingles, n_found, containment) of each document and item with containment of 0.8 or more."""
     items = materialise(_items(items), "items").where("grams is not null")
     signatures = _signatures(items)
-    if signatures.count() <= MOST_BROADCAST:
+    width = F.lit(ROW) + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0))
+    if (signatures.agg(F.sum(width)).first()[0] or 0) <= MOST_BROADCAST:
         signatures = F.broadcast(signatures)
-    probes = _shingled(docs, ["doc_id"]).select("doc_id", "n", F.explode_outer("grams").alias("gram"))
-    found = probes.join(signatures, "gram").where("n >= least").select("doc_id", "item_id", "item").distinct()
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item")).alias("items")).withColumnRenamed("doc_id", "found_id")
+    probes = _shingled(docs, ["doc_id", F.xxhash64("text").alias("text_hash")]).select("doc_id", "text_hash", "n", F.explode_outer("grams").alias("gram"))
+    found = probes.join(signatures, "gram").where("n >= least").select("doc_id", "text_hash", "item_id", "item").distinct()
+    found = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "item")).alias("items")).withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_text"})
     found = materialise(found, "candidates")
-    texts = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")))
+    texts = docs.select("doc_id", "text").join(found, (F.xxhash64("text") == F.col("found_text")) & F.col("doc_id").eqNullSafe(F.col("found_id")))
     rows = _shingled(texts, ["doc_id", F.xxhash64("text").alias("text_hash"), "items"])
     rows = rows.select("doc_id", "text_hash", F.array_distinct("grams").alias("held"), F.explode("items").alias("i")).select("doc_id", "text_hash", "held", "i.*")
     rows = rows.withColumnsRenamed({"item_id": "found_item", "item": "found_hash"})
