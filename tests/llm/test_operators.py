@@ -231,6 +231,21 @@ def test_hot_group_is_subdivided(spark):
     assert groups.where("n > 1").count() == 0
 
 
+def test_equal_rows_are_subdivided(spark):
+    table = [(None, "the very same text " * 20)] * 1500 + [(7, "one more text " * 20)] * 1500 + [(10_000 + i, prose(i, 60)) for i in range(3000)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
+    got = sharding.assign(docs).collect()
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert len(loads) == 40 and max(loads.values()) < 1.1 * sum(loads.values()) / 40 and min(loads.values()) > 0.9 * sum(loads.values()) / 40
+    assert Counter(r.doc_id for r in got) == Counter(t[0] for t in table)
+    for s in loads:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    out = sharding.shard_rows(docs)
+    assert out.columns == ["doc_id", "text", "shard", "slot"] and Counter(r.text for r in out.collect()) == Counter(t[1] for t in table)
+
+
 def test_shard_rows_keep_columns(docs, none):
     out = sharding.shard_rows(docs)
     assert out.columns == [*("input_" + c if c in ("shard", "slot") else c for c in docs.columns), "shard", "slot"] and out.count() == docs.count() and sharding.shard_rows(none).count() == 0
@@ -379,6 +394,16 @@ def test_containment_matches_brute_force(spark, docs, none):
     assert clean.count() == docs.count() - sum(any(len(grams(i.text) & grams(r[1])) >= 0.8 * len(grams(i.text)) for i in items.collect() if grams(i.text)) for r in rows())
 
 
+@pytest.mark.parametrize("most", [decontaminate.MOST_BROADCAST, 0])
+def test_documents_without_id_are_told_apart(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    items = spark.createDataFrame([(k, prose(500 + k, 30)) for k in range(3)], "item_id bigint, text string")
+    table = [(None, f"{prose(900 + i, 40)} {prose(500 + i, 30)} end") for i in range(3)] + [(None, prose(50 + i, 80)) for i in range(40)] + [(None, None)]
+    docs = spark.createDataFrame(table + table[:1], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_found) for r in decontaminate.search(docs, items).collect()) == [(None, k, 26) for k in range(3)]
+    assert decontaminate.drop_contaminated(docs, items).count() == 41
+
+
 # 7 and 10 tokens
 
 ODD = ["a  b", "  x", "\n\nq", " ", "", "a\tb  c", "a \xa0 b c", "x <|endoftext|> y", "x<|endoftext|>", "a\n b", "l'été d'a 's 't", "\x1c a \x1d b", "a\x85 b", "x \n", "\r\n a b\r\n c", "日本 語 x", "🙂 🙂a b", "!!! ??? a. b, c;d", "1 22 333 4a", None]

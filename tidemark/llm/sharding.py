@@ -3,8 +3,9 @@
 The key of a row is a hash of its text, so equal texts are one group. Rows are sampled with a
 probability in proportion to their size; weighted quantiles of the sampled keys bound RANGES ranges
 a shard, and a key that fills a range by itself gets a range of its own. Exact bytes of all ranges
-show the overfull ones: these are subdivided, by key as long as several keys meet, by row where one
-group exceeds a quarter of a shard. Ranges go to shards largest first, each to the lightest shard.
+show the overfull ones: these are subdivided, by key as long as several keys meet, by row (doc_id and
+text) where one group exceeds a quarter of a shard, and by a random number drawn once for each row
+where rows that are equal in both still do. Ranges go to shards largest first, each to the lightest shard.
 A row's slot is its place in its range after the rows of the shard's earlier ranges.
 
 The sample has SAMPLE rows a range in expectation and the driver sees one row for each range and
@@ -79,6 +80,17 @@ def _with_units(rows: DataFrame, splitters: np.ndarray, parts: tuple[DataFrame,
 
 
 _UNIT = ["shard·range", "shard·by_key", "shard·by_row"]
+_DRAWS = 1 << 20
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """``rows``, written with a random number each: no other column tells equal rows apart, and a row must not change its number."""
+    return materialise(rows.withColumn("shard·draw", F.floor(F.rand(11) * _DRAWS).cast("int")), "shard-draws")
+
+
+def _split(rows: DataFrame, overfull: DataFrame) -> DataFrame:
+    """Units of ``overfull`` cut into shard·pieces pieces by the drawn number."""
+    return rows.join(F.broadcast(overfull), _UNIT, "left").withColumn("shard·by_draw", F.floor(F.col("shard·draw") * F.coalesce("shard·pieces", F.lit(1)) / _DRAWS).cast("int")).drop("shard·pieces")
 
 
 def _assigned(docs: DataFrame, extra: list[F.Column], shards: int) -> DataFrame:
@@ -88,17 +100,27 @@ def _assigned(docs: DataFrame, extra: list[F.Column], shards: int) -> DataFrame:
     total = rows.agg(F.sum("shard·size")).first()[0] or 0
     splitters = _splitters(rows, total, shards * RANGES)
     parts = _pieces(_with_units(rows, splitters, None), total, shards)
-    units = _with_units(rows, splitters, parts).groupBy(*_UNIT).agg(F.sum("shard·size").alias("n"), F.count("*").alias("rows")).collect()
+    most, unit = max(1.0, total / shards / 4), _UNIT
+    counted = lambda rows, by: rows.groupBy(*by).agg(F.sum("shard·size").alias("n"), F.max("shard·size").alias("one"), F.count("*").alias("rows"))
+    units = counted(_with_units(rows, splitters, parts), unit).collect()
+    rows = _keyed(docs, extra)
+    # what a single long text or a few overfill can't be helped
+    overfull = [(*(u[c] for c in unit), int(u["n"] // most) + 1) for u in units if u["n"] > 2 * max(most, u["one"])]
+    if overfull:
+        pieces = spark.createDataFrame(overfull, "`shard·range` int, `shard·by_key` int, `shard·by_row` int, `shard·pieces` int")
+        rows, unit = _drawn(rows), [*_UNIT, "shard·by_draw"]
+        units = counted(_split(_with_units(rows, splitters, parts), pieces), unit).collect()
     loads, placed, filled = [(0, s) for s in range(shards)], [], [0] * shards
-    for u in sorted(units, key=lambda u: (-u["n"], *(u[c] for c in _UNIT))):
+    for u in sorted(units, key=lambda u: (-u["n"], *(u[c] for c in unit))):
         load, s = heapq.heappop(loads)
         heapq.heappush(loads, (load + u["n"], s))
-        placed.append((*(u[c] for c in _UNIT), s, filled[s]))
+        placed.append((*(u[c] for c in unit), s, filled[s]))
         filled[s] += u["rows"]
     # one row for each unit: at most three times the ranges and four pieces a shard and level
-    plan = spark.createDataFrame(placed, "`shard·range` int, `shard·by_key` int, `shard·by_row` int, `shard·shard` int, `shard·before` long")
-    rows = _with_units(_keyed(docs, extra), splitters, parts).join(F.broadcast(plan), _UNIT)
-    place = F.row_number().over(Window.partitionBy(*_UNIT).orderBy("shard·key", "shard·doc"))
+    plan = spark.createDataFrame(placed, ", ".join(f"`{c}` int" for c in unit) + ", `shard·shard` int, `shard·before` long")
+    rows = _with_units(rows, splitters, parts)
+    rows = (_split(rows, pieces) if overfull else rows).join(F.broadcast(plan), unit)
+    place = F.row_number().over(Window.partitionBy(*unit).orderBy("shard·key", "shard·doc"))
     return rows.withColumn("shard·slot", F.col("shard·before") + place - 1)
 
 
