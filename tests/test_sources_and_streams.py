@@ -73,6 +73,24 @@ def test_feed_can_be_replayed(spark, sf_dir, tmp_path):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
+def test_batch_cut_off_is_replayed(spark, tmp_path, monkeypatch):
+    """A batch that dies before its heads are written leaves no row behind, also when all pages of a bucket go."""
+    from tidemark.operators import replay
+
+    rows = [(0, "added", "a", None, 3, "x"), (1, "added", "b", None, 2, "y"), (2, "deleted", "a", None, 0, None), (3, "renamed", "c", "b", 5, "z"), (4, "added", "a", None, 1, "w"), (5, "modified", "c", None, 4, "v")]
+    changes, log = spark.createDataFrame(rows, feed.CHANGE), str(tmp_path / "log")
+    feed.apply_batch(changes.where("seq < 2"), log, buckets=4)
+    with monkeypatch.context() as m:
+        m.setattr(replay, "view", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            feed.apply_batch(changes.where("seq < 5"), log, buckets=4)
+    assert feed.read_ledger(spark, log).count() == 2
+    for part in ("seq < 4", "seq < 5", "seq < 6", "seq < 6"):
+        feed.apply_batch(changes.where(part), log, buckets=4)
+    got = sorted((r.seq, r.path, r.chunks_before, r.chunks_after) for r in feed.read_ledger(spark, log).collect())
+    assert got == [(0, "a", 0, 3), (1, "b", 0, 2), (2, "a", 3, 0), (3, "c", 2, 5), (4, "a", 0, 1), (5, "c", 5, 4)]
+
+
 def test_arriving_tickets(spark, tmp_path):
     spark.createDataFrame([("dns fails", "conntrack")], "title string, body string").write.json(str(tmp_path / "in"))
     seen = []

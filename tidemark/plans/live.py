@@ -97,4 +97,4 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(part).write.mode("append").parquet(f"{folder}/in")
         # what has arrived since is one batch; inside it changes apply in order of seq
         feed.follow(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/log", f"{folder}/state").awaitTermination()
-    return spark.read.schema(feed.LEDGER).parquet(f"{folder}/log/ledger")
+    return feed.read_ledger(spark, f"{folder}/log")

@@ -11,6 +11,10 @@ from tidemark.functions import scoring
 from tidemark.operators import replay
 from tidemark.sources.files import CHANGE, LEDGER
 
+#: What stands in a bucket: ``after`` names the batch that wrote it, ``seq`` the last change of that batch.
+HEAD = "bucket int, seq bigint, n_pages bigint, after bigint"
+PAGE = "path string, n_chunks bigint, payload string"
+BUCKETS = 32
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,25 +25,48 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def apply_batch(changes: DataFrame, folder: str) -> None:
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def apply_batch(changes: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Append the changes that are not applied yet, and their ledger rows, to the logs in ``folder``.
 
-    The high-water mark is the greatest seq of the ledger, which is written last: a batch that is
-    replayed after a failure adds no ledger row twice, and a change that is in the log twice counts
-    once. Chunk counts before the batch come from the log. Batches must arrive in order of seq; inside
-    a batch the order is free.
+    Pages that stand are kept in ``buckets`` buckets of their path, always the same number for one
+    folder. A batch reads the buckets that it touches and writes them anew, so its work does not grow
+    with the log; what it knows of earlier batches is one row of ``heads`` a bucket and batch.
+
+    Each batch writes folders named by the high-water mark that it starts from, ``heads`` last: what a
+    batch cut off by a failure has written is overwritten when it is replayed, and a batch applied
+    twice finds nothing fresh. Batches must arrive in order of seq; inside a batch the order is free.
     """
     spark = changes.sparkSession
-    done = _stored(spark, f"{folder}/ledger", LEDGER).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-    log = _stored(spark, f"{folder}/changes", CHANGE).where(F.col("seq") <= done).dropDuplicates(["seq"])
-    fresh = changes.where(F.col("seq") > done).dropDuplicates(["seq"])
-    if fresh.isEmpty():
+    heads = _stored(spark, f"{folder}/heads", HEAD)
+    done = heads.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    here = f"after={done}"
+    fresh = changes.where(F.col("seq") > done).dropDuplicates(["seq"]).select(_columns(CHANGE))
+    fresh.write.mode("overwrite").parquet(f"{folder}/changes/{here}")
+    fresh = spark.read.schema(CHANGE).parquet(f"{folder}/changes/{here}")
+    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+    touched = dict(replay.operations(fresh).groupBy(bucket.alias("bucket")).agg(F.max("seq")).collect())
+    if not touched:
         return
-    touched = fresh.select(F.explode(F.array("path", "old_path")).alias("path")).where("path IS NOT NULL").distinct()
-    base = replay.view(log).join(touched, "path", "left_semi").select("path", "n_chunks", "payload")
-    entries = replay.ledger(fresh, base)
-    fresh.select(*(c.split()[0] for c in CHANGE.split(", "))).write.mode("append").parquet(f"{folder}/changes")
-    entries.select(*(c.split()[0] for c in LEDGER.split(", "))).write.mode("append").parquet(f"{folder}/ledger")
+    last = max(touched.values())
+    held = heads.where(F.col("bucket").isin(list(touched))).groupBy("bucket").agg(F.max_by(F.struct("after", "n_pages"), "seq").alias("h"))
+    paths = [f"{folder}/pages/after={r['h']['after']}/bucket={r['bucket']}" for r in held.where("h.n_pages > 0").collect()]
+    base = spark.read.schema(PAGE).parquet(*paths) if paths else spark.createDataFrame([], PAGE)
+    replay.ledger(fresh, base).select(_columns(LEDGER)).write.mode("overwrite").parquet(f"{folder}/ledger/{here}")
+    pages = replay.view(fresh, base).select(*_columns(PAGE), bucket.alias("bucket"))
+    pages.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/pages/{here}")
+    written = dict(_stored(spark, f"{folder}/pages/{here}", f"{PAGE}, bucket int").groupBy("bucket").count().collect())
+    rows = [(b, last, written.get(b, 0)) for b in touched]
+    spark.createDataFrame(rows, "bucket int, seq bigint, n_pages bigint").coalesce(1).write.mode("overwrite").parquet(f"{folder}/heads/{here}")
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger of the batches that are applied; rows of a batch that was cut off are left out."""
+    done = _stored(spark, f"{folder}/heads", HEAD).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    return _stored(spark, f"{folder}/ledger", LEDGER).select(_columns(LEDGER)).where(F.col("seq") <= done)
 
 
 def follow(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
