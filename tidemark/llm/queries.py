@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, html_main, licenses, mixing, near_dup, pii, quality, sharding, storage, token_store, tokens
+from tidemark.llm import decontaminate, html_main, licenses, mixing, near_dup, pii, quality, ranked_search, sharding, storage, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = storage.materialise(ranked_search.build(_table(spark, sf_dir, "documents")), "signatures")
+    return ranked_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op4_licenses, op5_main_text, op6_decontamination, op7_token_counts, op8_quality_rules, op9_personal_data, op10_token_store)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op4_licenses, op5_main_text, op6_decontamination, op7_token_counts, op8_quality_rules, op9_personal_data, op10_token_store, op11_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.ORACLE_SQL}
+    return {"op6_decontamination": decontaminate.ORACLE_SQL, "op11_lexical_search": ranked_search.ORACLE_SQL}
