@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, html_main, licenses, mixing, near_dup, pii, quality, ranked_search, sharding, storage, token_store, tokens
+from tidemark.llm import decontaminate, html_main, licenses, mixing, near_dup, pii, quality, ranked_search, sharding, spelling, storage, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +61,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op4_licenses, op5_main_text, op6_decontamination, op7_token_counts, op8_quality_rules, op9_personal_data, op10_token_store, op11_lexical_search)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op4_licenses, op5_main_text, op6_decontamination, op7_token_counts, op8_quality_rules, op9_personal_data, op10_token_store, op11_lexical_search, op12_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
