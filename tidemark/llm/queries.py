@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, html_main, licenses, mixing, near_dup, pii, quality, ranked_search, sharding, spelling, storage, token_store, tokens
+from tidemark.llm import decontaminate, html_main, licenses, mixing, near_dup, pii, quality, quality_knn, ranked_search, sharding, spelling, storage, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.classify(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op4_licenses, op5_main_text, op6_decontamination, op7_token_counts, op8_quality_rules, op9_personal_data, op10_token_store, op11_lexical_search, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op3_sharding, op4_licenses, op5_main_text, op6_decontamination, op7_token_counts, op8_quality_rules, op9_personal_data, op10_token_store, op11_lexical_search, op12_spelling_variants, op13_quality_votes)}
 
 
 def oracle_sql() -> dict[str, str]:
