@@ -32,7 +32,7 @@ from tidemark.llm import quality, wordhash as W
 #: Labelled documents of each label in the sample, about.
 LABELLED = 2048
 #: Hashed terms of trigrams and of text shapes, and dimensions of the latent space.
-TRIGRAMS, SHAPES, DIMENSIONS = 4096, 64, 96
+TRIGRAMS, SHAPES, DIMENSIONS = 4096, 64, 64
 TERMS = TRIGRAMS + SHAPES
 #: Neighbours that vote, and the power of the cosine that they vote with.
 NEIGHBOURS, POWER = 15, 8
