@@ -81,9 +81,11 @@ def test_outcomes(spark):
 @pytest.mark.parametrize(
     ("json", "error"),
     [
-        ('{"context_sufficiency": 4, "citations": [{"source": "a", "quote": "q"}]}', None), ('{"context_sufficiency": 2, "citations": []}', None), ('{"context_sufficiency": 3, "citations": []}', "uncited"), ('{"citations": []}', "bad sufficiency"),
+        ('{"context_sufficiency": 4, "probable_cause": "c", "suggested_fix": "f", "citations": [{"source": "a", "quote": "q"}]}', None), ('{"context_sufficiency": 2, "probable_cause": "c", "suggested_fix": "f", "citations": []}', None), ('{"context_sufficiency": 3, "citations": []}', "uncited"), ('{"citations": []}', "bad sufficiency"),
         ('{"context_sufficiency": true}', "bad sufficiency"), ('{"context_sufficiency": "4/5"}', "bad sufficiency"), ('{"context_sufficiency": 4.5}', "bad sufficiency"), ('{"context_sufficiency": 9}', "bad sufficiency"),
         ('{"context_sufficiency": 4, "citations": [{"source": "z", "quote": "q"}]}', "citation outside the context"), ("not json", "no object"),
+        ('{"context_sufficiency": 2, "probable_cause": "c", "citations": []}', "no cause or fix"), ('{"context_sufficiency": 2, "probable_cause": "", "suggested_fix": "f"}', "no cause or fix"), ('{"context_sufficiency": 2, "probable_cause": "c", "suggested_fix": null}', "no cause or fix"),
+        ('{"context_sufficiency": 2, "probable_cause": false, "suggested_fix": "f"}', "no cause or fix"), ('{"context_sufficiency": 2, "probable_cause": 0, "suggested_fix": "f"}', "no cause or fix"), ('{"context_sufficiency": 2, "probable_cause": "0", "suggested_fix": "false"}', None),
     ],
 )
 def test_draft_validation(spark, json, error):
@@ -99,14 +101,19 @@ def test_score_validation(spark, value, ok):
 
 def test_triage_validation(spark):
     f = lambda j: one(spark, scoring.valid_triage(F.lit(j), ["sig/a"]).alias("r")).r
-    r = f('{"component": "sig/a", "matched_terms": ["1","2","3","4","5","6","7"], "confidence": 1.7}')
-    assert r.error is None and len(r.terms) == 6 and r.confidence == 1.0 and f('{"component": "sig/z"}').error is not None
+    r = f('{"component": "sig/a", "severity": "high", "evidence": ["1","2","3","4","5","6","7"], "confidence": 1.7}')
+    assert r.error is None and r.severity == "high" and len(r.terms) == 6 and r.confidence == 1.0 and f('{"component": "sig/z"}').error is not None
+    r = f('{"component": "sig/a"}')
+    assert (r.error, r.severity, r.terms, r.confidence) == (None, "low", [], 0.0)
+    assert f('{"component": "sig/a", "confidence": "0.5"}').confidence == 0.5
+    assert [f(f'{{"component": "sig/a", "confidence": {x}}}').error for x in ('"sure"', "null", "[1]")] == ["confidence is no number"] * 3
+    assert f('{"component": "sig/a", "evidence": 3}').error == "evidence is no list"
 
 
 def test_percentiles(spark):
     df = spark.range(1, 16).select(F.col("id").cast("double").alias("v"))
     r = stats.report_percentiles(df, "v").first()
-    assert r.p50 == 8 and r.p95 is None and r.p99 is None
+    assert r.p50 == 8 and r.p95 is None and r.p99 is None and r.max == 15
     assert df.agg(stats.percentile("v", 95).alias("p")).first().p == pytest.approx(14.3)
     assert spark.range(1, 5).agg(stats.percentile("id", 50).alias("p")).first().p == 2.5
     with pytest.raises(ValueError):
@@ -138,6 +145,14 @@ def test_registered_bootstrap_takes_all_draws(spark, sf_dir):
     assert evaluating.bootstrap(spark, sf_dir).first() == want
 
 
+def test_bootstrap_of_equal_rows(spark):
+    ones = spark.range(1000).select((F.col("id") % 2).cast("int").alias("v"))
+    r = stats.bootstrap(ones, "v")
+    low, high = r.first()
+    assert 0.455 < low < 0.48 and 0.52 < high < 0.545 and stats.bootstrap(ones.repartition(7), "v").first() == (low, high)
+    assert stats.bootstrap(ones.limit(0), "v").first().low is None and stats.bootstrap(ones.where("v = 1"), "v").first() == (1.0, 1.0)
+
+
 def test_bootstrap_covers_the_mean(spark):
     df = spark.range(400).select(F.col("id"), (F.col("id") % 2).alias("v"))
     r = stats.bootstrap(df, "v", draws=200).first()

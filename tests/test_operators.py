@@ -357,3 +357,19 @@ def test_checks(spark):
     arts = spark.createDataFrame([("run1", '{"version": "a", "ordinal": 1, "dirty": true}'), ("run2", '{"version": "b", "ordinal": 1, "n": 2}'), ("run3", "{"), ("other", "{}")], "name string, body string")
     got = sorted((r.name, r.problem) for r in checks.artifact_problems(arts, {"run": ["n"]}).collect())
     assert got == [("*", "repeated ordinal 1"), ("*", "several versions"), ("run1", "dirty tree"), ("run1", "lacks n"), ("run3", "no JSON")]
+
+
+@pytest.mark.parametrize("sent_rows", [8192, 0])
+def test_rows_without_tenant_are_in_lists_over_all(spark, monkeypatch, sent_rows):
+    """Both ways give the lists of the single forms, whatever the size of the batch."""
+    monkeypatch.setattr(topk, "SENT_ROWS", sent_rows)
+    corpus = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0], "red red blue" if i % 2 else "blue green", None if i % 3 == 0 else i % 2) for i in range(40)], "key long, vec array<double>, text string, tenant_id int").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 1.0], ["red", "green"], 1), (2, [0.0, 1.0, 1.0], ["blue"], None), (3, [2.0, 2.0, 1.0], [], 0)], "query_id long, qvec array<double>, terms array<string>, tenant_id int")
+    lists = {"all": False, "tenant": True}
+    for many, one, value in (
+        (vector.exact_lists(asked, corpus, lists, 6), lambda same: vector.exact_top(asked, corpus, 6, same), "similarity"),
+        (fulltext.match_lists(asked, corpus, lists, 6), lambda same: fulltext.match(asked, corpus, 6, same_tenant=same), "hits"),
+    ):
+        got = sorted((r.list, r.query_id, r.key, r.rank, round(r[value], 9)) for r in many.collect())
+        want = sorted((name, r.query_id, r.key, r["rank"], round(r[value], 9)) for name, same in lists.items() for r in one(same).collect())
+        assert got == want and any(g[0] == "all" and g[2] % 3 == 0 for g in got) and not any(g[0] == "tenant" and (g[1] == 2 or g[2] % 3 == 0) for g in got)

@@ -98,14 +98,31 @@ def _integer(json: Column, path: str) -> Column:
     return F.when(_KIND(value).isin("BIGINT", "INT"), F.try_variant_get(F.try_parse_json(json), path, "int"))
 
 
+def _truthy(value: Column, path: str) -> Column:
+    """The value at a path as a text, null if it is missing, null, empty, false or zero."""
+    text = F.try_variant_get(value, path, "string")
+    kind = _KIND(F.try_variant_get(value, path, "variant"))
+    nothing = (text == "") | (kind.startswith("BOOLEAN") & (text == "false")) | (kind.rlike("INT|DECIMAL|DOUBLE|FLOAT") & (F.try_variant_get(value, path, "double") == 0)) | text.isin("[]", "{}")
+    return F.when(~nothing, text)
+
+
 def valid_triage(json: Column, components: Sequence[str]) -> Column:
-    """struct(component, terms, confidence, error): unknown components are errors, terms are cut to 6, confidence to [0, 1]."""
+    """struct(component, severity, terms, confidence, error) of a classifier's answer.
+
+    Unknown components, evidence that is no list and a confidence that is no number (a number in quotes
+    is one) are errors. A missing severity is low, missing evidence empty, a missing confidence 0. Terms
+    are cut to 6, confidence to [0, 1].
+    """
     v = F.try_parse_json(json)
     name = F.try_variant_get(v, "$.component", "string")
-    terms = F.slice(F.coalesce(F.try_variant_get(v, "$.matched_terms", "array<string>"), F.array().cast("array<string>")), 1, 6)
-    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_variant_get(v, "$.confidence", "double"), F.lit(0.0))))
+    listed, said = F.try_variant_get(v, "$.evidence", "array<string>"), F.try_variant_get(v, "$.confidence", "double")
+    given = lambda path: F.try_variant_get(v, path, "variant").isNotNull()
+    terms = F.slice(F.coalesce(listed, F.array().cast("array<string>")), 1, 6)
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(said, F.lit(0.0))))
+    severity = F.when(given("$.severity"), F.try_variant_get(v, "$.severity", "string")).otherwise("low")
     ok = F.coalesce(name.isin(*components), F.lit(False))
-    return F.struct(name.alias("component"), terms.alias("terms"), confidence.alias("confidence"), F.when(~ok, "component is not allowed").alias("error"))
+    error = F.when(~ok, "component is not allowed").when(given("$.evidence") & listed.isNull(), "evidence is no list").when(given("$.confidence") & said.isNull(), "confidence is no number")
+    return F.struct(name.alias("component"), severity.alias("severity"), terms.alias("terms"), confidence.alias("confidence"), error.alias("error"))
 
 
 def valid_scores(json: Column, names: Sequence[str]) -> Column:
@@ -116,9 +133,10 @@ def valid_scores(json: Column, names: Sequence[str]) -> Column:
 
 
 def valid_draft(json: Column, allowed: Column) -> Column:
-    """struct(sufficiency, citations, questions, error) of a drafted answer, checked against the retrieved keys.
+    """struct(sufficiency, probable_cause, suggested_fix, citations, questions, error) of a drafted answer, checked against the retrieved keys.
 
-    An uncited draft needs a sufficiency of 2 or less; quotes are cut to 140 characters, questions to three.
+    An uncited draft needs a sufficiency of 2 or less, and every draft a cause and a fix; quotes are cut
+    to 140 characters, questions to three.
     """
     v = F.try_parse_json(json)
     sufficiency = _integer(json, "$.context_sufficiency")
@@ -126,5 +144,6 @@ def valid_draft(json: Column, allowed: Column) -> Column:
     cut = F.transform(cites, lambda c: F.struct(c["source"].alias("source"), F.substring(strip(F.coalesce(c["quote"], F.lit(""))), 1, 140).alias("quote")))
     questions = F.slice(F.coalesce(F.try_variant_get(v, "$.clarifying_questions", "array<string>"), F.array().cast("array<string>")), 1, 3)
     foreign = F.exists(cites, lambda c: c["source"].isNull() | ~F.array_contains(allowed, c["source"]))
-    error = F.when(v.isNull(), "no object").when(sufficiency.isNull() | ~sufficiency.between(1, 5), "bad sufficiency").when(foreign, "citation outside the context").when((F.size(cites) == 0) & (sufficiency > 2), "uncited")
-    return F.struct(sufficiency.alias("sufficiency"), cut.alias("citations"), questions.alias("questions"), error.alias("error"))
+    cause, fix = (_truthy(v, f"$.{c}") for c in ("probable_cause", "suggested_fix"))
+    error = F.when(v.isNull(), "no object").when(sufficiency.isNull() | ~sufficiency.between(1, 5), "bad sufficiency").when(foreign, "citation outside the context").when((F.size(cites) == 0) & (sufficiency > 2), "uncited").when(cause.isNull() | fix.isNull(), "no cause or fix")
+    return F.struct(sufficiency.alias("sufficiency"), cause.alias("probable_cause"), fix.alias("suggested_fix"), cut.alias("citations"), questions.alias("questions"), error.alias("error"))

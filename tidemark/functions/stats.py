@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -13,8 +17,8 @@ def percentile(values: str, pct: float) -> Column:
 
 
 def report_percentiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, p50, p95 (from 20 values) and p99 (from 100) of each group."""
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), *(percentile(value, p).alias(f"p{p}") for p in (50, 95, 99)))
+    """n, p50, p95 (from 20 values), p99 (from 100) and max of each group."""
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"), *(percentile(value, p).alias(f"p{p}") for p in (50, 95, 99)), F.max(value).alias("max"))
     return out.withColumns({"p95": F.when(F.col("n") >= 20, F.col("p95")), "p99": F.when(F.col("n") >= 100, F.col("p99"))})
 
 
@@ -51,14 +55,24 @@ def kappa(pairs: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
 def bootstrap(values: DataFrame, value: str, draws: int = 2000, seed: int = 7) -> DataFrame:
     """(low, high): the values at 2.5 and 97.5 percent of the means of ``draws`` resamples.
 
-    Each row is drawn a Poisson(1) number of times in each resample, by a hash of row and resample, so
-    no sample is gathered anywhere; the work is rows times draws, summed before the shuffle.
+    Each row is drawn a Poisson(1) number of times in each resample. n rows of one value are drawn a
+    Poisson(n) number of times together, so equal rows stay independent and are counted first. A task
+    sums its values' draws for all resamples and hands on one row for each; the draws of a value hang on
+    the value and the seed alone, so the interval does not depend on how the rows are dealt.
     """
-    rows = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.xxhash64(*values.columns).alias("h"))
-    drawn = rows.select("v", "h", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("i"))
-    u = F.pmod(F.xxhash64("h", "i", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    limits = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
-    times = sum(((u >= x).cast("int") for x in limits[1:]), (u >= limits[0]).cast("int"))
-    means = drawn.groupBy("i").agg(F.try_divide(F.sum(times * F.col("v")), F.sum(times)).alias("m")).where("m IS NOT NULL")
+    counted = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("v", F.lit(seed)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, times = np.zeros(draws), np.zeros(draws, np.int64)
+        for batch in batches:
+            for v, n, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                drawn = np.random.Generator(np.random.Philox(key=h & ((1 << 64) - 1))).poisson(n, draws)
+                total += v * drawn
+                times += drawn
+        if times.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(total), pa.array(times)], ["i", "total", "times"])
+
+    drawn = counted.mapInArrow(run, "i long, total double, times long")
+    means = drawn.groupBy("i").agg(F.try_divide(F.sum("total"), F.sum("times")).alias("m")).where("m IS NOT NULL")
     order = means.withColumn("r", F.row_number().over(Window.orderBy("m", "i")) - 1)
     return order.agg(F.max(F.when(F.col("r") == draws * 25 // 1000, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == draws * 975 // 1000, F.col("m"))).alias("high"))

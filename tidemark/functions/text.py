@@ -10,7 +10,7 @@ IMAGE_REFS = (r"!\[[^\]]*\]\(([^)\s]+)", r'\{\{<\s*figure\b[^>]*src="([^"]+)"',
 #: What shows that a ticket holds an image.
 TICKET_IMAGES = (r"!\[[^\]]*\]\(", r"user-images\.githubusercontent\.com/", r"github\.com/user-attachments/", r"<img\b")
 #: Addresses of ticket images.
-IMAGE_URLS = (r"!\[[^\]]*\]\((https?://[^)\s]+)", r"""<img\b[^>]*src=["'](https?://[^"']+)["']""", r"(https://(?:user-images\.githubusercontent\.com|github\.com/user-attachments)/[^\s)\"'>]+)")
+IMAGE_URLS = (r"(?U)!\[[^\]]*\]\((https?://[^\s)]+)\)", r"""(?iU)<img\b[^>]*?src=["'](https?://[^"']+)["']""", r"""(?U)(https://(?:user-images\.githubusercontent\.com|github\.com/user-attachments/assets)[^\s)"'<>\]]+)""")
 
 
 def strip(c: Column) -> Column:

@@ -127,13 +127,13 @@ def match(queries: DataFrame, corpus: DataFrame, k: int = K, mode: str = "any",
 
 
 def match_lists(queries: DataFrame, corpus: DataFrame, lists: Mapping[str, bool], k: int = K, mode: str = "any") -> DataFrame:
-    """(list, query_id, key, hits, rank): ``match`` for several named lists, with and without same_tenant, over one pass of the texts."""
+    """(list, query_id, key, hits, rank): ``match`` for several named lists, with and without same_tenant, over one pass of the texts. Texts and queries without a tenant are in the lists over all."""
     rows = sent(queries.select("query_id", F.col("tenant_id").cast("long").alias("tenant"), "terms"))
     if rows is None:
         return reduce(DataFrame.unionByName, (match(queries, corpus, k, mode, same).withColumn("list", F.lit(name)) for name, same in lists.items()))
     zero = pa.array(np.zeros(len(rows), np.int64))
     sides = {name: rows.select(["query_id", "terms"]).append_column("g", rows.column("tenant") if same else zero) for name, same in lists.items()}
-    texts = corpus.where("tenant_id IS NOT NULL").select("key", "text", *((F.col("tenant_id").cast("long") if same else F.lit(0).cast("long")).alias(name) for name, same in lists.items()))
+    texts = corpus.select("key", "text", *((F.col("tenant_id").cast("long") if same else F.lit(0).cast("long")).alias(name) for name, same in lists.items()))
     return ranked(_scanned(sides, texts, k, mode), "hits", k, "list").select("list", "query_id", "key", "hits", "rank")
 
 
@@ -147,7 +147,12 @@ def _scanned(asked: dict[str, pa.Table], corpus: DataFrame, k: int, mode: str) -
                 part = batch.slice(at, TEXTS)
                 found, keys = pc.split_pattern_regex(part.column("text"), "[^a-z0-9_]+"), part.column("key").to_numpy()
                 for name, terms, best in lists:
-                    terms.meet(found, keys, part.column(name).to_numpy(), mode == "all", best)
+                    groups = part.column(name)
+                    if not groups.null_count:
+                        terms.meet(found, keys, groups.to_numpy(), mode == "all", best)
+                    elif groups.null_count < len(groups):
+                        held = pc.is_valid(groups)
+                        terms.meet(found.filter(held), keys[held.to_numpy(zero_copy_only=False)], groups.drop_null().to_numpy(), mode == "all", best)
         for name, terms, best in lists:
             columns = [pa.array([name] * len(best.key), pa.string()), pa.array(terms.ids[best.query], pa.int64()), pa.array(best.key, pa.int64()), pa.array(best.value.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["list", "query_id", "key", "hits"])

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -33,6 +34,7 @@ class _Asked:
     """Queries, each with the groups in which it looks for rows."""
 
     def __init__(self, rows: pa.Table):
+        rows = rows.filter(pc.is_valid(rows.column("g")))
         self.ids, self.query = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
         self.unit = _unit(rows, "qvec") if len(rows) else np.zeros((0, 0))
         groups = rows.column("g").to_numpy()
@@ -70,7 +72,8 @@ def _scanned(asked: dict[str, pa.Table], corpus: DataFrame, k: int) -> DataFrame
             for at in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(at, ROWS)
                 for name, queries, best in lists:
-                    queries.meet(rows.select(["key", "vec", name]).rename_columns(["key", "vec", "g"]), best)
+                    own = rows.select(["key", "vec", name]).rename_columns(["key", "vec", "g"])
+                    queries.meet(own.filter(pc.is_valid(own.column("g"))) if own.column("g").null_count else own, best)
         for name, queries, best in lists:
             found = queries.found(best)
             yield pa.RecordBatch.from_arrays([pa.array([name] * found.num_rows, pa.string()), *found.columns], ["list", *found.schema.names])
@@ -122,11 +125,11 @@ def exact_top(queries: DataFrame, corpus: DataFrame, k: int = K, same_tenant: bo
 
 
 def exact_lists(queries: DataFrame, corpus: DataFrame, lists: Mapping[str, bool], k: int = K) -> DataFrame:
-    """(list, query_id, key, similarity, rank): ``exact_top`` for several named lists, with and without same_tenant, over one pass of the corpus."""
-    asked = sent(queries.select("query_id", "qvec", F.col("tenant_id").cast("long").alias("tenant")).where("qvec IS NOT NULL AND tenant IS NOT NULL"))
+    """(list, query_id, key, similarity, rank): ``exact_top`` for several named lists, with and without same_tenant, over one pass of the corpus. Rows and queries without a tenant are in the lists over all."""
+    asked = sent(queries.select("query_id", "qvec", F.col("tenant_id").cast("long").alias("tenant")).where("qvec IS NOT NULL"))
     if asked is None:
         return reduce(DataFrame.unionByName, (exact_top(queries, corpus, k, same).withColumn("list", F.lit(name)) for name, same in lists.items()))
-    rows = corpus.where("vec IS NOT NULL AND tenant_id IS NOT NULL").select("key", "vec", *(_group(same).alias(name) for name, same in lists.items()))
+    rows = corpus.where("vec IS NOT NULL").select("key", "vec", *(_group(same).alias(name) for name, same in lists.items()))
     zero = pa.array(np.zeros(len(asked), np.int64))
     sides = {name: asked.select(["query_id", "qvec"]).append_column("g", asked.column("tenant") if same else zero) for name, same in lists.items()}
     return ranked(_scanned(sides, rows, k), "similarity", k, "list")

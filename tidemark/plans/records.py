@@ -142,9 +142,22 @@ def _illustrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "documents").select(n.alias("number"), "source", F.concat(F.lit("see ![a]("), own, F.lit(') and <img src="'), shared, F.lit('"> ![again]('), own, F.lit(")")).alias("body"))
 
 
-@register("image_urls", "SELECT doc_id AS number, CASE WHEN doc_id < 10 THEN ['https://x.org/' || doc_id || '.png'] ELSE ['https://x.org/' || doc_id || '.png', 'https://x.org/' || (doc_id % 10) || '.png'] END AS urls FROM documents")
+#: Ways to show or name a picture, each with what must be found in it; # stands for the number.
+_SHOWN = (
+    ("![own](https://x.org/#.png) and ![own](https://x.org/#.png)", "https://x.org/#.png"), ("![open](https://x.org/#/open.png and ![titled](https://x.org/#/titled.png 'a')", None), ("<IMG alt='x' SRC='https://x.org/#/upper.png'>", "https://x.org/#/upper.png"),
+    ("<img alt=none data-src=\"x\" src=\"http://x.org/#/tag.png\">", "http://x.org/#/tag.png"), ("[see https://github.com/user-attachments/assets/#]", "https://github.com/user-attachments/assets/#"),
+    ("https://github.com/user-attachments/files/#/log.txt", None), ("https://user-images.githubusercontent.com/#/bare.png<br>", "https://user-images.githubusercontent.com/#/bare.png"), ("![no address](img/#.png)", None),
+)
+#: Markdown images come first, then tags, then bare addresses, each in order of the text, which is that of falling bits; three at most.
+_URL_ORDER = (0, 3, 2, 6, 4)
+
+
+@register("image_urls", "SELECT doc_id AS number, list_slice(list_filter([" + ", ".join(f"""CASE WHEN (doc_id >> {i}) & 1 = 1 THEN replace('{_SHOWN[i][1]}', '#', doc_id::VARCHAR) END""" for i in _URL_ORDER) + "], lambda u: u IS NOT NULL), 1, 3) AS urls FROM documents")
 def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _illustrated(spark, sf_dir).select("number", text.image_urls(F.col("body")).alias("urls"))
+    """Tickets that show pictures in the ways that the bits of their number name."""
+    n = F.col("doc_id")
+    shown = [F.when(F.shiftright(n, i).bitwiseAND(F.lit(1)) == 1, F.replace(F.lit(said), F.lit("#"), n.cast("string"))) for i, (said, _) in reversed(list(enumerate(_SHOWN)))]
+    return T.table(spark, sf_dir, "documents").select(n.alias("number"), text.image_urls(F.concat_ws("\n", *shown)).alias("urls"))
 
 
 @register("image_captions", """WITH u AS (SELECT doc_id AS number, 1 AS i, doc_id AS pic FROM documents UNION ALL SELECT doc_id, 2, doc_id % 10 FROM documents WHERE doc_id >= 10), c AS (SELECT doc_id AS pic, source AS caption FROM documents WHERE doc_id % 2 = 0)
@@ -227,32 +240,38 @@ def corpus_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.fingerprint(pages, "doc_id", "text").withColumn("n_ledger", F.lit(left).cast("int"))
 
 
-@register("checked_triage", """WITH e AS (SELECT event_id, event_id % 4 AS c, event_id % 9 AS n, event_id % 15 AS k FROM events)
-SELECT event_id, CASE c WHEN 3 THEN NULL ELSE 'sig/' || c END AS component, CASE WHEN c = 3 THEN 0 ELSE least(6, n) END::INT AS n_terms, CASE WHEN c = 3 THEN 0.0 ELSE least(1.0, k / 10.0) END::DOUBLE AS confidence, c >= 2 AS failed FROM e""")
+@register("checked_triage", """WITH e AS (SELECT event_id, event_id % 4 AS c, event_id % 9 AS n, event_id % 15 AS k, event_id % 7 AS s FROM events)
+SELECT event_id, CASE c WHEN 3 THEN NULL ELSE 'sig/' || c END AS component, CASE WHEN c = 3 THEN 'low' WHEN s = 0 THEN 'low' WHEN s < 4 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN c = 3 OR n = 8 THEN 0 ELSE least(6, n) END::INT AS n_terms,
+  CASE WHEN c = 3 OR k IN (0, 1, 2) THEN 0.0 ELSE least(1.0, k / 10.0) END::DOUBLE AS confidence, c >= 2 OR n = 8 OR k IN (1, 2) AS failed FROM e""")
 def checked_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a classifier made from events: every fourth is cut off, every fourth names an unknown component."""
+    """Answers of a classifier made from events: cut off, with an unknown component, evidence that is no list, a confidence that is missing, a word, null or a number in quotes, a severity that is missing."""
     e = F.col("event_id")
-    terms = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('"t"'), (e % 9).cast("int")), ","), F.lit("]"))
-    said = F.concat(F.lit('{"component": "sig/'), e % 4, F.lit('", "matched_terms": '), terms, F.lit(', "confidence": '), F.format_string("%.1f", (e % 15) / 10.0), F.when(e % 4 == 3, "").otherwise("}"))
+    terms = F.when(e % 9 == 8, "7").otherwise(F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('"t"'), (e % 9).cast("int")), ","), F.lit("]")))
+    number = F.format_string("%.1f", (e % 15) / 10.0)
+    confidence = F.when(e % 15 == 0, "").when(e % 15 == 1, ', "confidence": "sure"').when(e % 15 == 2, ', "confidence": null').when(e % 15 == 3, F.concat(F.lit(', "confidence": "'), number, F.lit('"'))).otherwise(F.concat(F.lit(', "confidence": '), number))
+    severity = F.when(e % 7 == 0, "").when(e % 7 < 4, ', "severity": "high"').otherwise(', "severity": "medium"')
+    said = F.concat(F.lit('{"component": "sig/'), e % 4, F.lit('", "matched_terms": ["not", "these"], "evidence": '), terms, confidence, severity, F.when(e % 4 == 3, "").otherwise("}"))
     v = scoring.valid_triage(said, ["sig/0", "sig/1"])
-    return T.table(spark, sf_dir, "events").select("event_id", v.alias("v")).select("event_id", "v.component", F.size("v.terms").alias("n_terms"), "v.confidence", F.col("v.error").isNotNull().alias("failed"))
+    return T.table(spark, sf_dir, "events").select("event_id", v.alias("v")).select("event_id", "v.component", "v.severity", F.size("v.terms").alias("n_terms"), "v.confidence", F.col("v.error").isNotNull().alias("failed"))
 
 
 SQL_CHECKED = """e AS (SELECT event_id, user_id % 7 AS s, event_id % 3 <> 0 AS cites, event_id % 4 AS k FROM events),
-cd AS (SELECT event_id, s::INT AS sufficiency, CASE WHEN cites THEN 1 ELSE 0 END AS n_citations, CASE WHEN s NOT BETWEEN 1 AND 5 THEN 'bad sufficiency' WHEN cites AND k = 3 THEN 'citation outside the context' WHEN NOT cites AND s > 2 THEN 'uncited' END AS error FROM e)"""
+cd AS (SELECT event_id, s::INT AS sufficiency, CASE WHEN cites THEN 1 ELSE 0 END AS n_citations, CASE WHEN s NOT BETWEEN 1 AND 5 THEN 'bad sufficiency' WHEN cites AND k = 3 THEN 'citation outside the context' WHEN NOT cites AND s > 2 THEN 'uncited' WHEN event_id % 10 IN (1, 2, 3) THEN 'no cause or fix' END AS error, CASE WHEN event_id % 10 NOT IN (1, 2) THEN 'c' || event_id END AS probable_cause, CASE WHEN event_id % 10 <> 3 THEN 'f' END AS suggested_fix FROM e)"""
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, said, v): drafted answers made from events, checked against three keys."""
     e = F.col("event_id")
     cites = F.when(e % 3 != 0, F.concat(F.lit('[{"source": "k'), e % 4, F.lit('", "quote": " q "}]'))).otherwise("[]")
-    said = F.concat(F.lit('{"context_sufficiency": '), F.col("user_id") % 7, F.lit(', "citations": '), cites, F.lit(', "clarifying_questions": ["a", "b", "c", "d"]}'))
+    cause = F.when(e % 10 == 1, "").when(e % 10 == 2, ', "probable_cause": ""').otherwise(F.concat(F.lit(', "probable_cause": "c'), e, F.lit('"')))
+    fix = F.when(e % 10 == 3, ', "suggested_fix": null').otherwise(', "suggested_fix": "f"')
+    said = F.concat(F.lit('{"context_sufficiency": '), F.col("user_id") % 7, F.lit(', "citations": '), cites, cause, fix, F.lit(', "clarifying_questions": ["a", "b", "c", "d"]}'))
     return T.table(spark, sf_dir, "events").select("*", said.alias("said")).withColumn("v", scoring.valid_draft(F.col("said"), F.array(*(F.lit(f"k{i}") for i in range(3)))))
 
 
-@register("checked_drafts", f"WITH {SQL_CHECKED} SELECT event_id, sufficiency, n_citations::INT AS n_citations, 3 AS n_questions, error FROM cd")
+@register("checked_drafts", f"WITH {SQL_CHECKED} SELECT event_id, sufficiency, probable_cause, suggested_fix, n_citations::INT AS n_citations, 3 AS n_questions, error FROM cd")
 def checked_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).select("event_id", "v.sufficiency", F.size("v.citations").alias("n_citations"), F.size("v.questions").alias("n_questions"), "v.error")
+    return _answers(spark, sf_dir).select("event_id", "v.sufficiency", "v.probable_cause", "v.suggested_fix", F.size("v.citations").alias("n_citations"), F.size("v.questions").alias("n_questions"), "v.error")
 
 
 @register("degrade_latches", f"""WITH {SQL_CHECKED}, r AS (SELECT event_id, error, event_id % 5 = 0 AS triage, user_id % 11 = 0 AS retrieval FROM cd JOIN events USING (event_id))

@@ -115,10 +115,10 @@ def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).withColumn("class", scoring.outcome(F.col("status"), F.col("error"), F.col("degraded")))
 
 
-@register("outcome_latency", f"WITH {SQL_LOG} SELECT class, count(*) AS n, round(quantile_cont(duration_ms, 0.5), 6) AS p50, CASE WHEN count(*) >= 20 THEN round(quantile_cont(duration_ms, 0.95), 6) END AS p95, CASE WHEN count(*) >= 100 THEN round(quantile_cont(duration_ms, 0.99), 6) END AS p99 FROM c GROUP BY class")
+@register("outcome_latency", f"WITH {SQL_LOG} SELECT class, count(*) AS n, round(quantile_cont(duration_ms, 0.5), 6) AS p50, CASE WHEN count(*) >= 20 THEN round(quantile_cont(duration_ms, 0.95), 6) END AS p95, CASE WHEN count(*) >= 100 THEN round(quantile_cont(duration_ms, 0.99), 6) END AS p99, round(max(duration_ms), 6) AS max FROM c GROUP BY class")
 def outcome_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats.report_percentiles(_classed(spark, sf_dir), "duration_ms", "class")
-    return rows.select("class", "n", *(F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")))
+    return rows.select("class", "n", *(F.round(p, 6).alias(p) for p in ("p50", "p95", "p99", "max")))
 
 
 @register("protocol_checks", f"WITH {SQL_LOG} SELECT count_if(status = 200) AS n_status_ok, count_if(route IN ('auto_attach', 'escalate', 'request_info')) AS n_route_ok, count_if(degraded = false) AS n_arm_ok, count(*) AS n FROM l")
