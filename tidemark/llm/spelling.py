@@ -34,6 +34,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Code points of a block's index and words that ask it at a time, at most (a longer word is a block of its own).
 INDEX_POINTS, ASKED = 100_000, 8192
 KEY = 3
+#: Pairs of blocks in a task.
+PAIRS = 2
 
 
 def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,7 +207,9 @@ def near(words: DataFrame) -> DataFrame:
     own = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  each side of the cogroup has columns of its own
     asked = dealt.select(*own("side", "bucket", "word"), block("n_q", 1).alias("qb"), each("n_c").alias("cb"))
     index = dealt.select(*own("side", "bucket", "word", "n"), each("n_q").alias("qb"), block("n_c", 2).alias("cb"))
-    found = asked.groupBy(*key).cogroup(index.groupBy(*key)).applyInArrow(_search, _NEAR)
+    # a pair of blocks is little data and much work, so tasks are counted by pairs, not by bytes
+    tasks = max(1, -(-(sizes.agg(F.sum(F.col("n_c") * F.col("n_q"))).first()[0] or 0) // PAIRS))
+    found = asked.repartition(tasks, *key).groupBy(*key).cogroup(index.repartition(tasks, *key).groupBy(*key)).applyInArrow(_search, _NEAR)
     found = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
     return found.select("word", "n_near", F.col("best.word").alias("near"), (-F.col("best.minus_n")).alias("near_n"))
 
