@@ -7,14 +7,14 @@ labelled sample. Every document meets every labelled vector in blocked products,
 nearest ones vote with a power of their cosine, and each class's votes count for as many labelled
 documents as its sample stands for.
 
-The sample has at most about LABELLED documents of each label, drawn by a hash of the text, so what is
-broadcast (vectors of DIMENSIONS and a projection of TERMS rows) has a fixed size. Labels, language,
-source and id never enter a score.
+The sample has at most about LABELLED documents of each label, drawn by a hash of the id, so what is
+broadcast (their ids, vectors of DIMENSIONS and a projection of TERMS rows) has a fixed size. Labels,
+language, source and id never enter a score.
 
 Defined cases: a null or empty text scores 0; equal texts score alike; a labelled text that is scored
 is its own neighbour only if it is in the sample; labels without document, null labels and labelled
-null texts are not learnt from; several labels of one document are all learnt from, repeated rows as
-often as they stand; without any label every score is 0; an empty table gives an empty result; other
+null texts are not learnt from; both labels of one document are learnt from, repeated rows once (of
+rows of one id the smallest text); without any label every score is 0; an empty table gives an empty result; other
 columns, clashing names included, are not read.
 """
 
@@ -158,13 +158,15 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """The model of a sample of the labelled documents that are not held out, with term frequencies of all documents."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & ~held_out(F.col("id"))).join(known, "id")
-    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0)
     for y, count in n.items():
         share = F.when(F.col("label") == y, min(1 << 20, math.ceil((1 << 20) * LABELLED / count))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).select("text", "label").mapInArrow(_sampled, "label int, terms array<int>, counts array<float>").toArrow()
+    # about LABELLED ids of each label, so they are sent to the texts; a repeated id is learnt once
+    drawn = F.broadcast(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(drawn, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    sample = rows.select("text", "label").mapInArrow(_sampled, "label int, terms array<int>, counts array<float>").toArrow()
     counts, drawn = np.zeros((len(sample), TERMS), np.float32), sample.column("label").to_numpy()
     for k, (terms, found) in enumerate(zip(sample.column("terms"), sample.column("counts"), strict=True)):
         counts[k, terms.values.to_numpy()] = found.values.to_numpy()
