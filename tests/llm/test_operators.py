@@ -349,7 +349,7 @@ def test_names_count_whole():
         assert "gone" not in html_main.extract(f"<p>one two three</p><div class='x {name}'>gone</div><p>four five six</p>", weights)
 
 
-@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<div>x ", "<a \"'>", "<b>x<p></p>", "</q><i>y", "<script ", "<!x ", "<p class='a'>z</b>", "<li><b>", "<textarea x='"])
+@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<div>x ", "<a \"'>", "<b>x<p></p>", "</q><i>y", "<script ", "<!x ", "<p class='a'>z</b>", "<li><b>", "<textarea x='", "<a x='>\"<", "<a \"b'c\" d='", "<div><section><td>x"])
 def test_broken_pages_take_linear_time(unit):
     weights = html_main.Weights({})
 
@@ -364,6 +364,36 @@ def test_broken_pages_take_linear_time(unit):
     assert large < 9 * small + 0.2
 
 
+@pytest.mark.parametrize(("open_", "close"), [("<article>", "</article>"), ("<main>", "</main>"), ("<div class=story>", "</div>"), ("<section>", "</section>"), ("<body>", "</body>"), ("", "")])
+def test_boilerplate_inside_an_article_costs_nothing_of_it(open_, close):
+    weights, long = html_main.Weights({}), " ".join(["word"] * 50)
+    share = "<div class='share'><a href=a>one</a> <a href=b>two</a> <a href=c>three</a></div>"
+    adverts = "".join(f"<div class=ad><a href=x><b>buy {i}</b></a></div>" for i in range(10))
+    around = f"<nav><ul><li><a href=/>home</a></ul></nav>{open_}%s{close}<footer>bye now</footer>"
+    for inner, want in (
+        (f"<h1>Storm</h1>{share}<p>{long}</p>", f"Storm\n{long}"),
+        (f"<p>{long}</p><div class=related><h3>More</h3><ul><li><a href=1>a b c</a><li><a href=2>d e f</a></ul></div><p>Ends here.</p>", f"{long}\nEnds here."),
+        (f"<p>Five words open this text.</p>{adverts}<p>{long}</p>", f"Five words open this text.\n{long}"),
+        (f"<h1>Title</h1><table><tr><td>{adverts}</td></tr></table><p>{long}</p><p>x</p>{adverts}{share}<p>y</p>", f"Title\n{long}\nx\ny"),
+    ):
+        assert html_main.extract(around % inner, weights) == want
+
+
+def test_marked_containers_leave_other_text_out():
+    weights, long = html_main.Weights({}), " ".join(["word"] * 50)
+    assert html_main.extract(f"<main><article><h1>T</h1><div><p>{long}</p></div></article><section class=comments><p>first</p></section><ul><li>other</ul></main>", weights) == f"T\n{long}"
+    pieces = "".join(f"<article><p>{long} {k}</p></article>" for k in range(3))
+    assert html_main.extract(f"<nav>n</nav>{pieces}<footer>f</footer>", weights) == "\n".join(f"{long} {k}" for k in range(3))
+
+
+def test_attribute_values_of_any_length():
+    weights = html_main.Weights({})
+    for quote in "\"'":
+        for value in ("x" * 5000 + " <b> secret attr", "<" * 9000, ">" * 9000, "a>" * 70_000 + "<p>no</p>"):
+            assert html_main.extract(f"<p>one</p><div title={quote}{value}{quote} class=a>two</div><p>three</p>", weights) == "one\ntwo\nthree"
+    assert html_main.extract('<p>one</p><div title="never closed>two</div><p>three</p>', weights) == "one\ntwo\nthree"
+
+
 def test_attributes_may_hold_angle_brackets(spark):
     weights = html_main.Weights({})
     assert html_main.extract("<p title='a < b > c'>one two</p><p data-x=\"<i>\">three</p>", weights) == "one two\nthree"

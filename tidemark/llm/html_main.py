@@ -2,7 +2,12 @@
 
 A page is a sequence of tags and words. Words score positive, unless an element around them is
 typical of what surrounds main text; tags score negative. One linear scan finds the contiguous region
-with the greatest sum. Inside it, words in such elements are left out (an advert amid an article).
+with the greatest sum. The region tells which container holds the main text: the least ``div``,
+``section``, ``td`` or the like with nearly all of its words, or the ``article`` (else ``main``) around
+that. All text of the container is main text but for words in boilerplate elements, so a share bar
+below a heading or an advert before the last paragraph costs nothing of the article. Where only the
+page itself holds the region, text of the page outside the region counts too unless elements around it
+speak against it.
 
 The weights come from labelled pages: pages whose author marks the main text with an ``article`` or
 ``main`` element. For each tag name and each class, id or role name, Spark counts words inside and
@@ -13,8 +18,8 @@ whole: ``share-price`` is not ``share``.
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by a line break; empty blocks vanish. Defined cases: null html counts as empty, an
 empty page gives an empty text, repeated pages are extracted each, an empty table gives an empty
-result; very long pages, deep nesting and broken tags included, are scanned whole
-in linear time; a tag that is cut off by another one ends there. Other columns, clashing names
+result; very long pages, deep nesting, attribute values of any length and broken tags included, are
+scanned whole in linear time; a tag that is cut off by another one ends there. Other columns, clashing names
 included, are not read.
 """
 
@@ -41,6 +46,8 @@ PRIOR_NAMES = {
     "login", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 MAIN = {"article", "main"}
+#: Elements that can be the container of main text, and the share of the region's words that it must hold.
+_BOXES, BOX_SHARE = {"div", "section", "article", "main", "td", "center", "body"}, 0.9
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label",
@@ -49,14 +56,11 @@ _INLINE = {
 _SOFT = {f"<{t}>" for t in (*_INLINE, "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tr", "td", "th", "figure", "figcaption", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6") if t != "label"}
 #: An open element of the same name is closed by the next one.
 _SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
-_RAW = "script|style|noscript|template|iframe|textarea|svg"
-#: A quoted value holds a "<" only if it ends soon, so that no attempt at a tag runs on over the page.
-_VALUE = r"""\"(?:[^"<]*+|[^"]{0,4096})\"|'(?:[^'<]*+|[^']{0,4096})'"""
-#: A tag ends at its ">", or where the next "<" or the end of the page cuts it off.
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^<>\"']|{_VALUE})*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-z][^\s/<>]*+)((?:[^<>\"']|{_VALUE})*+(?=>)|[^<>]*+)(?:>|(?=<)|\Z)",
-    re.I | re.S,
-)
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "textarea", "svg")}
+_BEGIN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-z][^\s/<>]*+))", re.I)
+#: The rest of a tag whose quoted values hold no angle brackets, and of a tag that is cut off.
+_PLAIN, _CUT = re.compile(r"""((?:[^<>"']|"[^"<>]*+"|'[^'<>]*+')*+)>"""), re.compile(r"([^<>]*+)>?")
+_STOP = re.compile(r"""["'<>]""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 #: Words of layout, which say nothing about what an element holds.
@@ -81,18 +85,50 @@ def features(tag: str, attributes: str) -> tuple[str, ...]:
 
 def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
     """(kind, value, features): "text" with the raw text, "open" and "close" with the tag name. Comments and raw elements vanish."""
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, n = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    dead: set[int] = set()
+    while m := _BEGIN.search(page, at):
         if m.start() > at:
             yield "text", page[at : m.start()], ()
-        at = m.end()
-        if m[3]:
-            tag = m[3].lower()
-            yield ("close", tag, ()) if m[2] else ("open", tag, features(tag, m[4]))
-    if at < len(page):
+        if m[3] is None:
+            end = page.find("-->" if m[1] else ">", m.end())
+            at = n if end < 0 else end + (3 if m[1] else 1)
+            continue
+        tag, begin = m[3].lower(), m.end()
+        plain = _PLAIN.match(page, begin)
+        stop = plain.end(1) if plain else _tag_stop(page, begin, last, dead)
+        if stop >= 0 and not m[2] and tag in _RAW:
+            end = _RAW[tag].search(page, stop + 1)
+            at = end.end() if end else n
+            continue
+        cut = None if stop >= 0 else _CUT.match(page, begin)
+        at = cut.end() if cut else stop + 1
+        yield ("close", tag, ()) if m[2] else ("open", tag, features(tag, page[begin : cut.end(1) if cut else stop]))
+    if at < n:
         yield "text", page[at:], ()
 
 
+def _tag_stop(page: str, at: int, last: dict[str, int], dead: set[int]) -> int:
+    """Where the ">" of a tag stands whose attributes begin at a place; -1 if an unquoted "<" or the end comes first.
+
+    ``last`` has the last place of each quote. What follows the end of a quoted value is the same for every
+    tag that gets there, so ``dead`` keeps the ends from which no ">" is reached, and a page takes linear time.
+    """
+    passed = []
+    while (m := _STOP.search(page, at)) and m[0] != "<":
+        if m[0] == ">":
+            return m.start()
+        if m.start() == last[m[0]]:
+            break
+        at = page.index(m[0], m.end()) + 1
+        if at in dead:
+            break
+        passed.append(at)
+    dead.update(passed)
+    return -1
+
+
 class Element(NamedTuple):
     tag: str
     names: tuple[str, ...]
@@ -102,6 +138,8 @@ class Element(NamedTuple):
     #: The least weight of this element and those around it, and whether one of them makes boilerplate.
     least: float
     hard: bool
+    #: The innermost container, by its number.
+    box: int
 
 
 class Path:
@@ -109,6 +147,8 @@ class Path:
 
     def __init__(self, weights: Weights | None = None) -> None:
         self.weights, self.open, self.count = weights, [], Counter()
+        #: (tag, number of the container around it) of each container; the first is the page itself.
+        self.boxes: list[tuple[str, int]] = [("", 0)]
 
     @property
     def top(self) -> Element:
@@ -136,12 +176,16 @@ class Path:
             up = self.top
             in_main = up.in_main or tag in MAIN
             least, hard = self.weights.element_score(names, in_main) if self.weights else (0.0, False)
-            self.open.append(Element(tag, names, in_main, up.solid if tag in _INLINE else len(self.open), min(up.least, least), up.hard or hard))
+            box = up.box
+            if tag in _BOXES:
+                box = len(self.boxes)
+                self.boxes.append((tag, up.box))
+            self.open.append(Element(tag, names, in_main, up.solid if tag in _INLINE else len(self.open), min(up.least, least), up.hard or hard, box))
             self.count[tag] += 1
         return gone
 
 
-_NOTHING = Element("", (), False, -1, 0.0, False)
+_NOTHING = Element("", (), False, -1, 0.0, False, 0)
 
 
 def label_counts(page: str) -> Counter:
@@ -232,7 +276,7 @@ def word_score(e: Element) -> float:
 def extract(page: str, weights: Weights) -> str:
     """The main text of a page."""
     path, blocks = Path(weights), 0
-    parts: list[tuple[int, int, str]] = []  # (token, block, text) of words outside boilerplate
+    parts: list[tuple[int, int, str, Element, int]] = []  # (token, block, text, element, words) outside boilerplate
     best, best_from, best_to = 0.0, 0, -1
     total, begin = 0.0, 0
     for i, (kind, value, names) in enumerate(tokens(page)):
@@ -243,29 +287,52 @@ def extract(page: str, weights: Weights) -> str:
                 each = word_score(path.top)
                 score = max(-3.0, n * each) if path.top.hard else n * each
                 if not path.top.hard:
-                    parts.append((i, blocks, value))
+                    parts.append((i, blocks, value, path.top, n))
             elif value:
-                parts.append((i, blocks, value))
+                parts.append((i, blocks, value, path.top, 0))
         else:
             score = weights.tag.get(value, -0.1)
             path.step(kind, value, names)
             if value not in _INLINE:
                 blocks += 1
             elif value == "br":
-                parts.append((i, blocks, " "))
+                parts.append((i, blocks, " ", path.top, 0))
         if total <= 0:
             total, begin = 0.0, i
         total += score
         if total > best:
             best, best_from, best_to = total, begin, i
+    if best_to < 0:
+        return ""
+    held, marked, whole_page = _container(path.boxes, [(e.box, n) for i, _, _, e, n in parts if best_from <= i <= best_to])
     lines: dict[int, list[str]] = {}
-    for i, block, text in parts:
-        if best_from <= i <= best_to:
+    for i, block, text, e, _ in parts:
+        if (held[e.box] and (not whole_page or e.least > LIMIT)) or (not marked and best_from <= i <= best_to):
             lines.setdefault(block, []).append(text)
     done = (" ".join(html.unescape("".join(x)).split()) for x in lines.values())
     return "\n".join(x for x in done if x)
 
 
+def _container(boxes: list[tuple[str, int]], words: list[tuple[int, int]]) -> tuple[list[bool], bool, bool]:
+    """For each container whether it lies in that of the main text; whether the author marked that; whether it is the whole page."""
+    counts = [0] * len(boxes)
+    for box, n in words:
+        counts[box] += n
+    for k in range(len(boxes) - 1, 0, -1):  # a container comes after the one around it
+        counts[boxes[k][1]] += counts[k]
+    chosen = max(k for k, n in enumerate(counts) if n >= BOX_SHARE * counts[0])
+    around = [chosen]
+    while around[-1]:
+        around.append(boxes[around[-1]][1])
+    marks = [next((k for k in around if boxes[k][0] == tag), None) for tag in ("article", "main")]
+    marked = next((k for k in marks if k is not None), None)
+    chosen = chosen if marked is None else marked
+    held = [k == chosen for k in range(len(boxes))]
+    for k in range(1, len(boxes)):
+        held[k] = held[k] or held[boxes[k][1]]
+    return held, marked is not None, boxes[chosen][0] in ("", "body")
+
+
 def fit(pages: DataFrame) -> Weights:
     """Weights from a sample of the pages that mark their main text. The driver sees a row for each name in the sample."""
     marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
