@@ -406,22 +406,26 @@ def test_attributes_may_hold_angle_brackets(spark):
 
 
 def test_containment_matches_brute_force(spark, docs, none):
-    items = [(i, " ".join(prose(i, 60).split(" ")[5 : 25 + i])) for i in range(0, 20, 3)] + [(50, None), (51, "too few words"), (52, prose(31, 30_000)), (53, prose(424242, 40)), (None, prose(1000, 300)), (54, prose(1000, 300)), (54, prose(1000, 300))]
+    items = [(i, " ".join(prose(i, 60).split(" ")[5 : 25 + i])) for i in range(0, 20, 3)] + [(50, None), (51, "too few words"), (55, "Two  WORDS!"), (56, "w7"), (57, "words two"), (58, ". w1 ?"), (59, " - "), (60, " ".join(prose(3, 80).split(" ")[10:14])), (61, " ".join(prose(31, 30_000).split(" ")[20_000:20_003])), (52, prose(31, 30_000)), (53, prose(424242, 40)), (None, prose(1000, 300)), (54, prose(1000, 300)), (54, prose(1000, 300))]
     items = spark.createDataFrame(items, "item_id bigint, text string")
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    grams = lambda t: {tuple(w[i : i + 5]) for w in [split(t)] for i in range(len(w) - 4)}
+    grams = lambda t, k=5: {tuple(w[i : i + k]) for w in [split(t)] for i in range(len(w) - k + 1)}
+    size = lambda t: min(5, len(split(t)))
     want = set()
     for i in items.collect():
-        g = grams(i.text)
+        g = grams(i.text, size(i.text)) if size(i.text) else set()
         for r in rows():
-            if g and len(g & grams(r[1])) >= 0.8 * len(g):
-                want.add((r[0], i.item_id, len(g), len(g & grams(r[1]))))
+            if g and len(g & grams(r[1], size(i.text))) >= 0.8 * len(g):
+                want.add((r[0], i.item_id, len(g), len(g & grams(r[1], size(i.text)))))
     got = decontaminate.search(docs, items).select("doc_id", "item_id", "n_shingles", "n_found").distinct().collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and want
     assert decontaminate.search(none, items).count() == decontaminate.search(docs, items.limit(0)).count() == 0
+    assert {w[1] for w in want} >= {55, 56, 58, 60, 61} and (203, 55, 1, 1) in want
+    items = items.where("item_id is null or item_id not between 55 and 59")
+    want = {w for w in want if w[1] is None or not 55 <= w[1] <= 59}
     clean = decontaminate.drop_contaminated(docs, items)
     assert clean.columns == docs.columns and not {r.doc_id for r in clean.collect()} & {r[0] for r in want if r[0] is not None}
-    assert clean.count() == docs.count() - sum(any(len(grams(i.text) & grams(r[1])) >= 0.8 * len(grams(i.text)) for i in items.collect() if grams(i.text)) for r in rows())
+    assert clean.count() == docs.count() - sum(any(len(grams(i.text, size(i.text)) & grams(r[1], size(i.text))) >= 0.8 * len(grams(i.text, size(i.text))) for i in items.collect() if size(i.text)) for r in rows())
 
 
 @pytest.mark.parametrize("most", [decontaminate.MOST_BROADCAST, 0])
