@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import hashing
-from tidemark.operators import fulltext, fusion, hybrid, vector
+from tidemark.operators import fulltext, fusion, hybrid, posindex, vector
 from tidemark.plans import tables as T
 from tidemark.plans.registry import register
-from tidemark.sources.shared import materialise
+from tidemark.sources.shared import materialise, table_path
 
 
 def _sim(condition: str, k: int = 20) -> str:
@@ -114,6 +114,63 @@ def fts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.match(asked, T.texts(spark, sf_dir), mode="all")
 
 
+def text_index(spark: SparkSession, sf_dir: str, stem: bool = False) -> posindex.KeptIndex:
+    """An index of all documents with their tenants, kept in two generations: every third document is added later."""
+    index, docs = posindex.KeptIndex(spark, table_path(spark, "text-index"), stem), T.texts(spark, sf_dir)
+    return index.append(docs.where("key % 3 <> 0"), 0, "tenant_id").append(docs.where("key % 3 = 0"), 1, "tenant_id")
+
+
+@register("fts_index_any", _text_search())
+def fts_index_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fts_any`` by a kept index: only zones whose bound reaches the k best are read."""
+    return text_index(spark, sf_dir).search(T.text_queries(spark, sf_dir))
+
+
+@register("fts_index_all_tenant", _text_search("AND t.tenant_id = idx.tenant_id", having="k = n").replace("<= 15)", "<= 2)"))
+def fts_index_all_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of two terms, both in a document of the query's tenant."""
+    asked = T.text_queries(spark, sf_dir).withColumn("terms", F.slice("terms", 1, 2))
+    return text_index(spark, sf_dir).search(asked, mode="all", same_tenant=True)
+
+
+#: Typed queries of benchmark items by the places of their tokens: a word, a phrase, a negated word, or two words, or a phrase and a word.
+_TYPED = ((0, 0, False, (1,)), (0, 1, False, (2, 3, 4)), (0, 2, True, (12,)), (1, 3, False, (6,)), (1, 4, False, (7,)), (2, 5, False, (20, 21)), (2, 6, False, (8,)))
+
+
+def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text): queries as a user types them, of the words of each benchmark item."""
+    token = lambda i: F.coalesce(F.get(fulltext.tokens(F.col("text")), i - 1), F.lit("zz"))
+    said, before = [], 0
+    for alternative, _, negated, places in _TYPED:
+        words = F.concat_ws(" ", *map(token, places))
+        part = F.concat(F.lit('"'), words, F.lit('"')) if len(places) > 1 else words
+        said += [F.lit("OR")] * (alternative - before) + [F.concat(F.lit("-"), part) if negated else part]
+        before = alternative
+    return T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", *said).alias("text"))
+
+
+SQL_TYPED = rf"""bt AS (SELECT item_id AS query_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS l FROM benchmark),
+u0 AS ({' UNION ALL '.join(f"SELECT query_id, {a} AS alt, {n} AS unit, {neg} AS negated, {k} AS place, coalesce(l[{i}], 'zz') AS token FROM bt" for a, n, neg, places in _TYPED for k, i in enumerate(places))}),
+u AS (SELECT * FROM u0 WHERE NOT list_contains({T.SQL_STOPS}, token)), un AS (SELECT query_id, alt, unit, negated, count(*) AS words, min(place) AS lo, max(place) AS hi FROM u GROUP BY ALL),
+d AS (SELECT doc_id AS key, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS l FROM documents), ps AS (SELECT key, unnest(l) AS token, generate_subscripts(l, 1) AS p FROM d),
+oc AS (SELECT query_id, alt, unit, negated, key, s + lo AS a, s + hi AS z FROM (SELECT u.query_id, u.alt, u.unit, ps.key, ps.p - u.place AS s, count(*) AS c FROM u JOIN ps USING (token) GROUP BY ALL) JOIN un USING (query_id, alt, unit) WHERE c = words),
+nc AS (SELECT query_id, alt, count_if(NOT negated) AS units FROM un GROUP BY ALL),
+ok AS (SELECT query_id, alt, key FROM (SELECT query_id, alt, key, count(DISTINCT CASE WHEN NOT negated THEN unit END) AS c, bool_or(negated) AS bad FROM oc GROUP BY ALL) JOIN nc USING (query_id, alt) WHERE c = units AND NOT bad),
+po AS (SELECT oc.* FROM oc JOIN ok USING (query_id, alt, key)), en AS (SELECT DISTINCT query_id, alt, key, z FROM po),
+la AS (SELECT en.query_id, en.alt, en.key, en.z, po.unit, max(po.a) AS a FROM en JOIN po ON po.query_id = en.query_id AND po.alt = en.alt AND po.key = en.key AND po.z <= en.z GROUP BY ALL),
+sp AS (SELECT query_id, key, a, min(z) AS z FROM (SELECT query_id, alt, key, z, min(a) AS a, count(*) AS c FROM la GROUP BY ALL) JOIN nc USING (query_id, alt) WHERE c = units GROUP BY query_id, key, a),
+mi AS (SELECT DISTINCT * FROM sp WHERE NOT EXISTS (SELECT 1 FROM sp o WHERE o.query_id = sp.query_id AND o.key = sp.key AND o.a >= sp.a AND o.z <= sp.z AND (o.a > sp.a OR o.z < sp.z))),
+ak AS (SELECT DISTINCT query_id, key, p FROM u JOIN ps USING (token) WHERE NOT negated),
+ns AS (SELECT mi.query_id, mi.key, mi.a, mi.z, (mi.z - mi.a + 1) - count(*) AS noise FROM mi JOIN ak ON ak.query_id = mi.query_id AND ak.key = mi.key AND ak.p BETWEEN mi.a AND mi.z GROUP BY mi.query_id, mi.key, mi.a, mi.z),
+sc AS (SELECT query_id, key, round(sum(1.0 / (1 + noise)), 9) AS score FROM ns GROUP BY ALL)"""
+
+
+@register("fts_cover", f"WITH {SQL_TYPED} SELECT query_id, key, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key))::INT AS rank FROM sc QUALIFY rank <= 20")
+def fts_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed queries with phrases, negation and alternatives, ranked by cover density over the kept index."""
+    return text_index(spark, sf_dir).cover(typed_queries(spark, sf_dir))
+
+
 def _sql_stem(word: str) -> str:
     """``fulltext.stem`` as a CASE: the first ending that leaves three letters and a vowel goes."""
     arms = []
