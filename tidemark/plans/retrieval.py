@@ -226,10 +226,10 @@ def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, docs, tickets): documents with vectors; odd ids are docs, even ids tickets, and the held-out tickets ask."""
-    rows = T.vectors(spark, sf_dir).join(T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), "key").withColumn("is_held_out", hashing.is_held_out(F.col("key")))
+    """(queries, docs, tickets): all documents, those with vectors have them; odd ids are docs, even ids tickets, and the held-out tickets with a vector ask."""
+    rows = T.texts(spark, sf_dir).join(T.vectors(spark, sf_dir).drop("tenant_id"), "key", "left").withColumn("is_held_out", hashing.is_held_out(F.col("key")))
     held = rows.where("key % 2 = 0")
-    asked = held.where("is_held_out").select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"), fulltext.query_terms(F.col("text")).alias("terms"), "tenant_id")
+    asked = held.where("is_held_out AND vec IS NOT NULL").select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"), fulltext.query_terms(F.col("text")).alias("terms"), "tenant_id")
     return asked, rows.where("key % 2 = 1"), held
 
 
@@ -239,21 +239,33 @@ def _sql_list(name: str, score: str, source: str, on: str) -> str:
 
 
 _HELD = "('0x' || substr(sha256('heldout:' || key), 1, 16))::UBIGINT % 10 = 0"
-SQL_CORPORA = rf"""{T.SQL_VECTORS.split(', q AS (')[0]}, r AS (SELECT v.*, text, {_HELD} AS held FROM v JOIN documents ON doc_id = key), q AS (SELECT key AS query_id, vec AS qvec, tenant_id, text FROM r WHERE key % 2 = 0 AND held),
-docs AS (SELECT * FROM r WHERE key % 2 = 1), tick AS (SELECT * FROM r WHERE key % 2 = 0 AND NOT held),
+SQL_CORPORA = rf"""{T.SQL_VECTORS.split(', q AS (')[0]}, r AS (SELECT key, vec, tenant_id, text, {_HELD} AS held FROM (SELECT doc_id AS key, {T.SQL_TENANT.format('doc_id')} AS tenant_id, text FROM documents) LEFT JOIN (SELECT key, vec FROM v) USING (key)), q AS (SELECT key AS query_id, vec AS qvec, tenant_id, text FROM r WHERE key % 2 = 0 AND held AND vec IS NOT NULL),
+docs AS (SELECT * FROM r WHERE key % 2 = 1), tick AS (SELECT * FROM r WHERE key % 2 = 0 AND NOT held AND vec IS NOT NULL),
 b AS (SELECT query_id, tenant_id, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1, 2000) ELSE '' END AS body FROM q), {SQL_TERMS.split('FROM benchmark),', 1)[1]}, {SQL_POSTINGS},
 hits AS (SELECT t.query_id, idx.key, any_value(t.tenant_id) AS qt, sum(tf) AS hits FROM terms t JOIN idx ON t.token = idx.token GROUP BY t.query_id, idx.key),
-{_sql_list('dv', 'round(list_cosine_similarity(q.qvec, c.vec), 9)', 'docs', 'q JOIN docs c ON true')}, {_sql_list('tv', 'round(list_cosine_similarity(q.qvec, c.vec), 9)', 'tickets', 'q JOIN tick c ON q.tenant_id = c.tenant_id')},
+{_sql_list('dv', 'round(list_cosine_similarity(q.qvec, c.vec), 9)', 'docs', 'q JOIN docs c ON c.vec IS NOT NULL')}, {_sql_list('tv', 'round(list_cosine_similarity(q.qvec, c.vec), 9)', 'tickets', 'q JOIN tick c ON q.tenant_id = c.tenant_id')},
 {_sql_list('df', 'q.hits', 'docs', 'hits q JOIN docs c ON q.key = c.key')}, {_sql_list('tf', 'q.hits', 'tickets', 'hits q JOIN tick c ON q.key = c.key AND q.qt = c.tenant_id')},
 {_fused('SELECT * FROM dv UNION ALL SELECT * FROM tv UNION ALL SELECT * FROM df UNION ALL SELECT * FROM tf')}"""
 
 
-@register("hybrid_two_corpora", f"WITH {SQL_CORPORA} SELECT query_id, p.key, split_part(p.key, ':', 1) AS corpus, round(score, 9) AS score, position, length(text)::INT AS n_chars FROM p JOIN r ON r.key = split_part(p.key, ':', 2)::BIGINT WHERE position <= 8")
+SQL_TWO_CORPORA = f"WITH {SQL_CORPORA} SELECT query_id, p.key, split_part(p.key, ':', 1) AS corpus, round(score, 9) AS score, position, length(text)::INT AS n_chars FROM p JOIN r ON r.key = split_part(p.key, ':', 2)::BIGINT WHERE position <= 8"
+
+
+@register("hybrid_two_corpora", SQL_TWO_CORPORA)
 def hybrid_two_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four lists over two corpora under the tenant filter."""
     return hybrid.hybrid_search(*hybrid_corpora(spark, sf_dir)).select("query_id", "key", "corpus", F.round("score", 9).alias("score"), "position", F.length("text").alias("n_chars"))
 
 
+@register("hybrid_indexed", SQL_TWO_CORPORA)
+def hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by kept full-text indexes of both corpora."""
+    asked, docs, held = hybrid_corpora(spark, sf_dir)
+    index = lambda name: posindex.KeptIndex(spark, table_path(spark, f"{name}-index"))
+    kept = {"docs": index("docs").append(docs, 0), "tickets": hybrid.ticket_index(index("tickets"), held)}
+    return hybrid.hybrid_search(asked, docs, held, indexes=kept).select("query_id", "key", "corpus", F.round("score", 9).alias("score"), "position", F.length("text").alias("n_chars"))
+
+
 @register("hashed_vectors")
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.texts(spark, sf_dir).select("key", fulltext.tokens(F.col("text")).alias("tokens"))
