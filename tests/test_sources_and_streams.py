@@ -36,12 +36,19 @@ def test_caches_sheets_artifacts_and_feeds(spark, tmp_path):
 
 
 def test_batch_equals_stream(spark, sf_dir):
+    """Closed windows of the rows in time are those of a batch over them."""
     from tidemark.plans.live import _events
 
-    names = __spark_entry__.queries()
-    streamed = names["stream_counts"](spark, sf_dir)
-    batch = telemetry.counts(telemetry.timed(_events(spark, sf_dir)), ["route", "degraded"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    assert streamed.exceptAll(batch).count() == batch.exceptAll(streamed).count() == 0
+    streamed = __spark_entry__.queries()["stream_counts"](spark, sf_dir)
+    rows = _events(spark, sf_dir)
+    mark = {k: rows.where(F.col("arrival") < k).agg(F.max("ts")).first()[0] for k in (1, 2)}
+    late = F.lit(False)
+    for k, at in mark.items():
+        late = F.when(F.col("arrival") == k, F.col("ts") < F.lit(at) - F.expr("INTERVAL 10 minutes")).otherwise(late)
+    batch = telemetry.counts(telemetry.timed(rows.where(~late)), ["route", "degraded"])
+    last = F.date_trunc("minute", F.lit(rows.where(~late).agg(F.max("ts")).first()[0]))
+    batch = batch.where(F.col("window_start") + F.expr("INTERVAL 11 minutes") <= last).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    assert streamed.exceptAll(batch).count() == batch.exceptAll(streamed).count() == 0 and 0 < batch.count() < rows.count()
 
 
 def test_late_rows_are_dropped(spark, tmp_path):

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.streaming.closing import Measure
+
 LATE = "10 minutes"
 #: Upper bounds of the latency buckets, in seconds.
-BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 20.0, 30.0, 60.0)
+BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 
 
 def timed(events: DataFrame, ts: str = "ts", late: str = LATE) -> DataFrame:
@@ -61,3 +63,43 @@ def token_rates(events: DataFrame, length: str = "1 minute", ts: str = "ts") ->
     """Input and output tokens of each window, one row a direction."""
     rows = events.select(ts, F.explode(F.array(*(F.struct(F.lit(d).alias("direction"), F.col(f"{d}_tokens").alias("tokens")) for d in ("input", "output")))).alias("t")).select(ts, "t.*")
     return _flat(rows.groupBy(F.window(ts, length), "direction").agg(F.sum("tokens").alias("tokens")))
+
+
+def ticket_counts(by: Sequence[str] = ("route", "degraded")) -> Measure:
+    """What ``counts`` counts, for windows that close."""
+    return Measure(by, {"n": F.count("*")})
+
+
+def flagged(flag: str) -> Measure:
+    """Rows and flagged rows, the parts of ``share``."""
+    return Measure([], {"n": F.count("*"), "n_flagged": F.count_if(F.col(flag))})
+
+
+def stage_times(tickets: DataFrame, timings: str = "timings_ms", ts: str = "ts") -> DataFrame:
+    """(ts, stage, seconds): a row for each stage that a ticket's map of milliseconds names."""
+    return tickets.select(ts, F.explode(timings).alias("stage", "ms")).select(ts, "stage", (F.col("ms") / 1000).alias("seconds"))
+
+
+def stage_latency(bounds: Sequence[float] = BOUNDS) -> Measure:
+    """Rows up to each bound, and all, by stage."""
+    return Measure(["stage"], {**{f"le_{i}": F.count_if(F.col("seconds") <= b) for i, b in enumerate(bounds)}, "n": F.count("*")})
+
+
+def cumulative(bounds: Sequence[float] = BOUNDS) -> Column:
+    """The sums of ``stage_latency`` as the array that ``bucket_quantile`` takes."""
+    return F.array(*(F.col(f"le_{i}") for i in range(len(bounds))), F.col("n"))
+
+
+def degraded_stages(events: DataFrame, stages: str = "stages", reason: str = "reason", ts: str = "ts") -> DataFrame:
+    """(ts, stage, reason): a row for each degraded stage."""
+    return events.select(ts, F.explode(stages).alias("stage"), F.col(reason).alias("reason"))
+
+
+def admission(rejected: str = "rejected") -> Measure:
+    """Calls by stage, and those that admission control turned away."""
+    return Measure(["stage"], {"n_rejected": F.count_if(F.col(rejected)), "n": F.count("*")})
+
+
+def token_flow(events: DataFrame, ts: str = "ts") -> DataFrame:
+    """(ts, direction, tokens), one row a direction."""
+    return events.select(ts, F.explode(F.array(*(F.struct(F.lit(d).alias("direction"), F.col(f"{d}_tokens").alias("tokens")) for d in ("input", "output")))).alias("t")).select(ts, "t.*")
