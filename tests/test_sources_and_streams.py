@@ -98,6 +98,31 @@ def test_batch_cut_off_is_replayed(spark, tmp_path, monkeypatch):
     assert got == [(0, "a", 0, 3), (1, "b", 0, 2), (2, "a", 3, 0), (3, "c", 2, 5), (4, "a", 0, 1), (5, "c", 5, 4)]
 
 
+def test_shuffled_feed_gives_the_ordered_ledger(spark, sf_dir, tmp_path):
+    """Changes in any order, some twice, some without effect: none is lost, and what waits can be seen."""
+    import random
+
+    from tidemark.operators import replay
+
+    rows = [tuple(r) for r in tables.changes(spark, sf_dir).where("seq < 80").select(*feed._columns(feed.CHANGE)).collect()]
+    rows = [(r[0], None, None, None, None, None) if r[0] % 17 == 4 else r for r in rows]
+    want = replay.ledger(spark.createDataFrame([r for r in rows if r[1]], feed.CHANGE)).select("seq", "path", "chunks_before", "chunks_after")
+    shuffled = rows + rows[5:12]
+    random.Random(4).shuffle(shuffled)
+    log, seen = str(tmp_path / "log"), []
+    for k in range(0, len(shuffled), 22):
+        feed.apply_batch(spark.createDataFrame(shuffled[k : k + 22], feed.CHANGE), log)
+        seen += shuffled[k : k + 22]
+        numbers = {r[0] for r in seen}
+        done = next(i for i in range(81) if i not in numbers)
+        assert {r.seq for r in feed.read_waiting(spark, log).collect()} == {n for n in numbers if n > done}
+        assert feed.read_ledger(spark, log).count() == sum(1 for r in rows if r[0] < done and r[1])
+    got = feed.read_ledger(spark, log).select("seq", "path", "chunks_before", "chunks_after")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and feed.read_waiting(spark, log).isEmpty()
+    feed.apply_batch(spark.createDataFrame(rows[:3], feed.CHANGE), log)
+    assert {r.seq for r in spark.read.parquet(f"{log}/repeated").collect()} >= {0, 1, 2} and feed.read_ledger(spark, log).count() == want.count()
+
+
 def test_arriving_tickets(spark, tmp_path):
     spark.createDataFrame([("dns fails", "conntrack")], "title string, body string").write.json(str(tmp_path / "in"))
     seen = []
