@@ -65,10 +65,9 @@ def test_splitting_keeps_quotas_exact():
     assert split.shape == (7, 4) and (split.sum(0) == q).all() and np.ptp(split.sum(1)) <= 3
 
 
-@pytest.mark.parametrize("planned", [mixing.PLANNED_SOURCES, 0])
-def test_mixing(docs, none, planned, monkeypatch):
-    monkeypatch.setattr(mixing, "PLANNED_SOURCES", planned)
-    monkeypatch.setattr(mixing, "TABLE_ROWS", 16)
+@pytest.mark.parametrize("block_rows", [mixing.BLOCK_ROWS, 4])
+def test_mixing(docs, none, block_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
     got = mixing.shares(docs).collect()
     assert len(got) == docs.count() and mixing.shares(none).count() == 0
     sizes = Counter()
@@ -87,14 +86,21 @@ def test_mixing(docs, none, planned, monkeypatch):
     assert sorted(map(tuple, mixing.shares(docs).select("doc_id", "size", "taken").collect()), key=str) == sorted(((r.doc_id, r.size, r.taken) for r in got), key=str)
 
 
-def test_planned_in_tables_every_shard_takes_as_much(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(mixing, "PLANNED_SOURCES", 0)
-    monkeypatch.setattr(mixing, "TABLE_ROWS", 1)
+def test_trees_in_groups_keep_quotas_and_totals():
+    rng = np.random.default_rng(3)
+    totals = mixing.split_quotas(np.array([40, 0, 7]), 5, rng)
+    for g, quotas in enumerate(([10, 25, 5], [0], [7])):
+        dealt = mixing.deal_quotas(np.array(quotas), totals[:, g], rng)
+        assert (dealt.sum(0) == quotas).all() and (dealt.sum(1) == totals[:, g]).all()
+
+
+def test_every_shard_takes_as_many_blocks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 1)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     narrow = mixing.materialise(mixing._narrow(docs, []), "sizes")
-    _, plan, _ = mixing._plan_tables(narrow, 11)
+    _, plan = mixing._plan(narrow, 11)
     dealt = Counter(s for r in plan.collect() for s in (*r["mix·shards"], *([] if r["mix·last"] is None else [r["mix·last"]])))
-    assert set(dealt) == set(range(mixing.SHARDS)) and max(dealt.values()) - min(dealt.values()) <= 1
+    assert set(dealt) == set(range(mixing.SHARDS)) and max(dealt.values()) - min(dealt.values()) <= 3
     want = {r.source: r for r in docs.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()}
     order = sorted(want)
     aims = mixing.targets([want[s].n for s in order], [1.0 + i % 3 for i in range(len(order))])
@@ -102,6 +108,23 @@ def test_planned_in_tables_every_shard_takes_as_much(spark, sf_dir, monkeypatch)
     assert all(got[s] == pytest.approx(a) for s, a in zip(order, aims, strict=True))
 
 
+def test_mixing_of_many_sources(spark):
+    """30,000 sources, one of them with a third of all rows: each comes as near to its target as a row allows."""
+    table = [(i, "w " * (1 + i % 7), f"s{i % 30_000:05d}") for i in range(60_000)] + [(100_000 + i, "w x y", "s00007") for i in range(30_000)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(8)
+    got = mixing.shares(docs).groupBy("source_size", "target").agg(F.count("*")).count()
+    sizes, longest = Counter(), Counter()
+    for _, t, s in table:
+        sizes[s] += len(words(t))
+        longest[s] = max(longest[s], len(words(t)))
+    order = sorted(sizes)
+    want = dict(zip(order, mixing.targets([sizes[s] for s in order], [1 + i % 3 for i in range(len(order))]), strict=True))
+    taken = mixing.draw(docs, []).groupBy("mix·source").agg(F.sum(F.col("mix·size") * F.size("mix·draws")).alias("n"), F.max("mix·target").alias("t")).collect()
+    assert got > 3 and len(taken) == 30_000
+    for r in taken:
+        assert r.t == pytest.approx(want[r["mix·source"]]) and abs(r.n - want[r["mix·source"]]) <= longest[r["mix·source"]] / 2 + 0.5
+
+
 def test_mixture_repeats_whole_rows(docs, none):
     out = mixing.mixture(docs)
     assert out.columns == docs.columns and mixing.mixture(none).count() == 0

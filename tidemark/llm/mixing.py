@@ -1,20 +1,20 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Sources are cut into blocks of about equal words by a hash of the row. A source whose target is r
-times its words gives all its blocks floor(r) times and, in a last pass, permuted blocks up to the
-rest; the block in which the rest ends is cut into sub-blocks, of which those that fit are taken.
-So every row has a number of draws that depends on the row, the seed and the statistics alone.
+Sources are cut into blocks by a hash of the row, about BLOCKS of all words and rows together and one at
+least a source. A source whose target is r times its words gives all its blocks floor(r) times and, in a
+last pass, blocks in permuted order up to the rest. The block in which the rest ends gives its sub-blocks
+in permuted order up to what is missing, and the sub-block in which that ends its rows, so a source
+misses its target by half a row (or half a group of equal rows) at most, whatever other sources there are.
 
 The block draws of all sources are dealt to the output shards by a splitting tree: a node over some
-shards holds exact quotas for each source; its left half gets a multivariate-hypergeometric draw of
-them, the right half what is left. Each shard then takes the next blocks of every source's permuted
-list, disjoint from the other shards', and a shard's rows are ordered by a hash.
+shards holds exact quotas; its left half gets a multivariate-hypergeometric draw of them, the right half
+what is left. The tree runs over GROUPS groups of sources first, on the driver, then inside each group
+over its sources, in a task, which is the same law. Each shard then takes the next blocks of every
+source's permuted list, disjoint from the other shards', and a shard's rows are ordered by a hash.
 
-Spark sums words and writes the mixture. The driver sees one row for each source, for each block (BLOCKS
-plus the sources) and for each sub-block of a source's last block; the plan that is broadcast has a row
-for each block. Where there are more than PLANNED_SOURCES, the plan is made by Spark as tables instead,
-joined by source and block: all block draws are permuted by a hash and cut into equal runs, one a shard,
-which deals them by the same law as the tree; a last block is filled by its rows in order of a hash.
+Spark sums words, plans and writes the mixture; the plan is a table with a row for each block, joined by
+source and block, and the driver sees sums of groups only. Sources of more than one block are at most
+2 BLOCKS, so the table that tells a row its block is small. This holds up to some hundred million sources.
 
 Defined cases: a null text has size 0; null is a source of its own, the last; repeated rows are drawn
 alike; a source without words is drawn as often as its target of 0 words says, so not at all; an
@@ -23,9 +23,6 @@ empty table gives an empty mixture. Other columns, clashing names included, pass
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -33,13 +30,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tidemark.llm import wordhash as W
 from tidemark.llm.storage import materialise
 
-PLANNED_SOURCES, SHARDS, BLOCKS, MOST = 20_000, 16, 1024, 3.0
-#: Rows that a block holds at least on average, so that its sub-blocks fill a rest closely.
-BLOCK_ROWS = 32
-#: Rows of a block, about, where the plan is a table.
-TABLE_ROWS = 4096
-#: Sub-blocks of all sources' last blocks together.
-SUB_BLOCKS = 1 << 17
+SHARDS, BLOCKS, MOST = 16, 1024, 3.0
+#: Rows that a block holds at least on average, and sub-blocks of a block.
+BLOCK_ROWS, SUB_BLOCKS = 32, 4096
+#: Groups of sources whose quotas the driver splits.
+GROUPS = 1024
 
 
 @F.arrow_udf(T.LongType())
@@ -82,93 +77,21 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_quotas(left, half, rng), split_quotas(quotas - left, shards - half, rng)])
 
 
-def _fill(sizes: dict[int, int], rest: float, order: np.ndarray) -> list[int]:
-    """Sub-blocks, in the given order, that fit into the rest; one more if that comes nearer."""
-    taken, over = [], None
-    for b in order.tolist():
-        size = sizes.get(b, 0)
-        if not size:
-            continue
-        if size <= rest:
-            taken.append(b)
-            rest -= size
-        elif over is None or size < sizes[over]:
-            over = b
-    if over is not None and over not in taken and sizes[over] - rest < rest:
-        taken.append(over)
-    return sorted(taken)
+def deal_quotas(quotas: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """``quotas`` split so that row k adds up to ``totals[k]``: the tree below a node whose shards' totals are drawn."""
+    if len(totals) == 1:
+        return quotas[None, :]
+    half = len(totals) // 2
+    left = rng.multivariate_hypergeometric(quotas, int(totals[:half].sum()), method="marginals")
+    return np.concatenate([deal_quotas(left, totals[:half], rng), deal_quotas(quotas - left, totals[half:], rng)])
 
 
 def _narrow(docs: DataFrame, extra: list[F.Column]) -> DataFrame:
     return docs.select(F.col("source").alias("mix·source"), word_count("text").alias("mix·size"), F.xxhash64("doc_id", "text").alias("mix·hash"), *extra)
 
 
-def _block(of: str) -> F.Column:
-    return F.pmod("mix·hash", F.col(of)).cast("int")
-
-
-def _sub(of: str) -> F.Column:
-    return F.pmod(F.xxhash64("mix·hash"), F.col(of)).cast("int")
-
-
-_PLAN = "`mix·name` string, `mix·at` int, `mix·source_size` long, `mix·target` double, `mix·shards` array<int>, `mix·last` int, `mix·subs` array<int>"
-
-
-def _plan(narrow: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(source, its numbers of blocks and sub-blocks), (for each block: source, size and target of the source, shard of each full draw, shard of the last draw, sub-blocks in it)."""
-    spark = narrow.sparkSession
-    name = F.col("mix·source")
-    found = narrow.groupBy("mix·source").agg(F.sum("mix·size").alias("size"), F.count("*").alias("rows")).collect()
-    found.sort(key=lambda r: (r["mix·source"] is None, r["mix·source"] or ""))
-    names, sizes = [r["mix·source"] for r in found], [r["size"] for r in found]
-    aims = targets(sizes, [1.0 + i % 3 for i in range(len(names))])
-    total, subs = sum(sizes), max(8, SUB_BLOCKS // max(1, len(names)))
-    subs = min(subs, 4096)
-    blocks = [max(1, min(math.ceil(BLOCKS * r["size"] / total), r["rows"] // BLOCK_ROWS)) if total else 1 for r in found]
-    shape = spark.createDataFrame([(n, b, subs) for n, b in zip(names, blocks, strict=True)], "`mix·name` string, `mix·blocks` int, `mix·sub_blocks` int")
-    dealt = narrow.join(F.broadcast(shape), name.eqNullSafe(F.col("mix·name")))
-    words: dict[str | None, dict[int, int]] = defaultdict(dict)
-    for r in dealt.groupBy("mix·source", _block("mix·blocks").alias("b")).agg(F.sum("mix·size").alias("n")).collect():
-        words[r["mix·source"]][r["b"]] = r["n"]
-
-    draws: list[list[int]] = []  # of each source: the blocks of its draws, in permuted order
-    last: list[tuple[int, float] | None] = []  # the block in which the target ends, and the words still missing
-    for i, n in enumerate(names):
-        rng = np.random.default_rng([seed, 1, i])
-        full = int(aims[i] / sizes[i] + 1e-9) if sizes[i] else 0
-        rest, row = max(0.0, aims[i] - full * sizes[i]), []
-        for _ in range(full):
-            row += rng.permutation(blocks[i]).tolist()
-        end = None
-        if rest >= 0.5:
-            for b in rng.permutation(blocks[i]).tolist():
-                row.append(b)
-                if words[n].get(b, 0) > rest:
-                    end = (b, rest)
-                    break
-                rest -= words[n].get(b, 0)
-        draws.append(row)
-        last.append(end)
-
-    ends = spark.createDataFrame([(n, e[0]) for n, e in zip(names, last, strict=True) if e], "`mix·end_name` string, `mix·end` int")
-    inner: dict[str | None, dict[int, int]] = defaultdict(dict)
-    cut = dealt.join(F.broadcast(ends), name.eqNullSafe(F.col("mix·end_name")) & (_block("mix·blocks") == F.col("mix·end")))
-    for r in cut.groupBy("mix·source", _sub("mix·sub_blocks").alias("b")).agg(F.sum("mix·size").alias("n")).collect():
-        inner[r["mix·source"]][r["b"]] = r["n"]
-
-    quotas = split_quotas(np.array([len(d) for d in draws], np.int64), SHARDS, np.random.default_rng([seed, 2])) if names else np.zeros((SHARDS, 0), np.int64)
-    rows = []
-    for i, n in enumerate(names):
-        to, at = np.repeat(np.arange(SHARDS), quotas[:, i]).tolist(), defaultdict(list)
-        for b, shard in zip(draws[i], to, strict=True):
-            at[b].append(shard)
-        for b in range(blocks[i]):
-            ending, taken = None, None
-            if last[i] and last[i][0] == b:
-                ending = at[b].pop()
-                taken = _fill(inner[n], last[i][1], np.random.default_rng([seed, 3, i]).permutation(subs))
-            rows.append((n, b, sizes[i], aims[i], at[b], ending, taken))
-    return shape, spark.createDataFrame(rows, _PLAN)
+def _sub() -> F.Column:
+    return F.pmod(F.xxhash64("mix·hash"), F.lit(SUB_BLOCKS)).cast("int")
 
 
 def _in_order(rows: DataFrame, *order: str) -> DataFrame:
@@ -181,12 +104,14 @@ def _in_order(rows: DataFrame, *order: str) -> DataFrame:
 
 def _target_table(narrow: DataFrame) -> DataFrame:
     """(mix·name, mix·source_size, mix·blocks, mix·target) of each source: ``targets`` as a table. Each round is one sum over the sources."""
-    sizes = narrow.groupBy(F.col("mix·source").alias("mix·name")).agg(F.sum("mix·size").alias("mix·source_size"), (F.floor(F.count("*") / TABLE_ROWS) + 1).cast("int").alias("mix·blocks"))
+    sizes = narrow.groupBy(F.col("mix·source").alias("mix·name")).agg(F.sum("mix·size").alias("mix·source_size"), F.count("*").alias("n"))
     named = _in_order(sizes.where("`mix·name` IS NOT NULL"), "mix·name")
     last = sizes.where("`mix·name` IS NULL").withColumn("mix·rank", F.lit(named.count()))
     rows = materialise(named.unionByName(last).withColumn("w", 1.0 + F.col("mix·rank") % 3).drop("mix·rank"), "mix-sources")
     cap, share, stopped = MOST * F.col("mix·source_size"), 0.0, -1
-    total = rows.agg(F.sum("mix·source_size")).first()[0] or 0
+    total, n = (x or 0 for x in rows.agg(F.sum("mix·source_size"), F.sum("n")).first())
+    blocks = F.least(F.greatest(F.ceil(BLOCKS * F.col("mix·source_size") / max(1, total)), F.ceil(BLOCKS * F.col("n") / max(1, n))), F.floor(F.col("n") / BLOCK_ROWS))
+    rows = rows.withColumn("mix·blocks", F.greatest(blocks, F.lit(1)).cast("int")).drop("n")
     while True:
         above = F.lit(share) * F.col("w") > cap
         got = rows.agg(F.count_if(above), F.sum(F.when(above, cap).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("w")))).first()
@@ -195,13 +120,60 @@ def _target_table(narrow: DataFrame) -> DataFrame:
         stopped, share = got[0], (total - got[1]) / got[2]
 
 
-def _plan_tables(narrow: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(source, its blocks), (for each block: source, size and target of the source, shards of its full draws, shard of its last draw), (source and hash of the rows that a last draw takes)."""
+def _placed(narrow: DataFrame, sources: DataFrame) -> DataFrame:
+    """``narrow`` with mix·place, the block of each row. Only sources of several blocks are looked up, at most 2 BLOCKS."""
+    several = F.broadcast(sources.where("`mix·blocks` > 1").select(F.col("mix·name").alias("mix·of"), F.col("mix·blocks").alias("mix·n")))
+    rows = narrow.join(several, F.col("mix·source").eqNullSafe(F.col("mix·of")), "left")
+    return rows.withColumn("mix·place", F.pmod("mix·hash", F.coalesce("mix·n", F.lit(1))).cast("int")).drop("mix·of", "mix·n")
+
+
+def _before(order: str, key: str, cut_order: str, cut_key: str) -> F.Column:
+    return (F.col(order) < F.col(cut_order)) | ((F.col(order) == F.col(cut_order)) & (F.col(key) < F.col(cut_key)))
+
+
+def _ends(dealt: DataFrame, ending: DataFrame, seed: int) -> DataFrame:
+    """(name, sub_order, sub, row_order, row_hash) of each source of ``ending`` (name, at, left): its block gives the sub-blocks before ``sub`` in the permuted order and, in that, the rows up to ``row_hash`` (null: none)."""
+    of = lambda w, *by: Window.partitionBy(*by).orderBy(*w)
+    rows = dealt.join(ending, F.col("mix·source").eqNullSafe(F.col("name")) & (F.col("mix·place") == F.col("at"))).select("name", "left", "mix·size", "mix·hash", _sub().alias("sub")).withColumn("sub_order", F.xxhash64(F.lit(seed + 1), "sub"))
+    rows = materialise(rows, "mix-ends")
+    subs = rows.groupBy("name", "left", "sub_order", "sub").agg(F.sum("mix·size").alias("n")).withColumn("upto", F.sum("n").over(of(("sub_order", "sub"), "name")))
+    cut = subs.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left"))).select(F.col("name").alias("cut_name"), "sub_order", "sub", (F.col("left") - F.col("upto") + F.col("n")).alias("still"))
+    inner = rows.drop("sub_order").withColumnRenamed("sub", "own_sub").join(cut, F.col("name").eqNullSafe(F.col("cut_name")) & (F.col("own_sub") == F.col("sub")))
+    inner = inner.groupBy("name", "sub_order", "sub", "still", "mix·hash").agg(F.sum("mix·size").alias("n")).withColumn("row_order", F.xxhash64(F.lit(seed + 3), "mix·hash"))
+    inner = inner.withColumn("upto", F.sum("n").over(of(("row_order", "mix·hash"), "name")))
+    # one row more if that comes nearer
+    fits = (F.col("upto") <= F.col("still")) | ((F.col("upto") - F.col("n") <= F.col("still")) & (F.col("upto") - F.col("still") < F.col("still") - F.col("upto") + F.col("n")))
+    found = inner.groupBy("name", "sub_order", "sub").agg(F.max(F.when(fits, F.struct("row_order", "mix·hash"))).alias("last"))
+    return found.select("name", "sub_order", "sub", F.col("last.row_order").alias("row_order"), F.col("last.`mix·hash`").alias("row_hash"))
+
+
+def _dealt(blocks: DataFrame, seed: int) -> DataFrame:
+    """(name, at, shards): the shards of each block's draws, in order, by the tree over groups and over their sources."""
+    group = F.pmod(F.xxhash64("mix·name"), F.lit(GROUPS)).cast("int")
+    draws = materialise(blocks.where("draws > 0").groupBy("mix·name").agg(F.sum("draws").cast("long").alias("q")).withColumn("g", group), "mix-draws")
+    sums = np.zeros(GROUPS, np.int64)
+    for r in draws.groupBy("g").agg(F.sum("q").alias("q")).collect():  # at most GROUPS rows
+        sums[r["g"]] = r["q"]
+    totals = split_quotas(sums, SHARDS, np.random.default_rng([seed, 2]))
+
+    def split(rows: pa.Table) -> pa.Table:
+        g, rows = rows.column("g")[0].as_py(), rows.sort_by([("mix·name", "ascending")])
+        quotas = deal_quotas(rows.column("q").to_numpy(), totals[:, g], np.random.default_rng([seed, 2, g]))
+        return pa.table({"name": rows.column("mix·name"), "upto": pa.array(np.cumsum(quotas, axis=0).T.tolist(), pa.list_(pa.int64()))})
+
+    quotas = draws.groupBy("g").applyInArrow(split, "name string, upto array<long>")
+    each = blocks.where("draws > 0").select("mix·name", F.col("mix·at").alias("at"), F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("i"))
+    place = F.row_number().over(Window.partitionBy("mix·name").orderBy(F.xxhash64(F.lit(seed + 2), "mix·name", "at", "i"), "at", "i")) - 1
+    each = each.withColumn("place", place).join(quotas, F.col("mix·name").eqNullSafe(F.col("name")))
+    shard = F.size(F.filter("upto", lambda u: u <= F.col("place")))
+    return each.select("name", "at", F.struct("i", shard.alias("s")).alias("d")).groupBy("name", "at").agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["s"]).alias("s"))
+
+
+def _plan(narrow: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(sources and their blocks), (for each block: source, size and target of the source, shards of its full draws, shard of its last draw and where that ends)."""
     sources = materialise(_target_table(narrow), "mix-targets")
-    shape = sources.select("mix·name", "mix·blocks")
-    same = F.col("mix·source").eqNullSafe(F.col("mix·name"))
-    dealt = narrow.join(shape, same).select("mix·name", _block("mix·blocks").alias("mix·at"), "mix·size", "mix·hash")
-    blocks = dealt.groupBy("mix·name", "mix·at").agg(F.sum("mix·size").alias("n")).withColumnRenamed("mix·name", "name")
+    dealt = _placed(narrow, sources)
+    blocks = dealt.groupBy(F.col("mix·source").alias("name"), F.col("mix·place").alias("mix·at")).agg(F.sum("mix·size").alias("n"))
     rows = blocks.join(sources, F.col("name").eqNullSafe(F.col("mix·name"))).drop("name")
     full = F.when(F.col("mix·source_size") > 0, F.floor(F.col("mix·target") / F.col("mix·source_size") + 1e-9)).otherwise(0)
     upto = F.sum("n").over(Window.partitionBy("mix·name").orderBy(F.xxhash64(F.lit(seed), "mix·name", "mix·at"), "mix·at"))
@@ -209,36 +181,21 @@ def _plan_tables(narrow: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, Da
     ends = (F.col("left") >= 0.5) & (F.col("n") > F.col("left"))
     rows = rows.withColumns({"ends": ends, "draws": (F.col("full") + (F.col("left") >= 0.5).cast("int")).cast("int")})
     rows = materialise(rows, "mix-blocks")
-    # the rows of a last block in order of a hash, up to what is missing, and one more if that comes nearer
-    ending = rows.where("ends").select(F.col("mix·name").alias("name"), F.col("mix·at").alias("at"), "left")
-    inner = dealt.join(ending, F.col("mix·name").eqNullSafe(F.col("name")) & (F.col("mix·at") == F.col("at"))).groupBy("name", "at", "left", "mix·hash").agg(F.sum("mix·size").alias("n"))
-    inner = inner.withColumn("upto", F.sum("n").over(Window.partitionBy("name", "at").orderBy(F.xxhash64(F.lit(seed + 1), "mix·hash"), "mix·hash")))
-    taken = inner.where((F.col("upto") <= F.col("left")) | ((F.col("upto") - F.col("n") <= F.col("left")) & (F.col("upto") - F.col("left") < F.col("left") - F.col("upto") + F.col("n"))))
-    taken = taken.select(F.col("name").alias("mix·taken_name"), F.col("mix·hash").alias("mix·taken"))
-    drawn = rows.where("draws > 0").select("mix·name", "mix·at", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("i"))
-    drawn = _in_order(drawn.withColumn("mix·order", F.xxhash64(F.lit(seed + 2), "mix·name", "mix·at", "i")), "mix·order", "mix·at", "i")
-    shard = F.floor(F.col("mix·rank") * SHARDS / F.lit(max(1, drawn.count()))).cast("int")
-    shards = drawn.select(F.col("mix·name").alias("name"), F.col("mix·at").alias("at"), F.struct("i", shard.alias("s")).alias("d")).groupBy("name", "at").agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["s"]).alias("s"))
-    plan = rows.join(shards, F.col("mix·name").eqNullSafe(F.col("name")) & (F.col("mix·at") == F.col("at")), "left")
+    cuts = _ends(dealt, rows.where("ends").select(F.col("mix·name").alias("name"), F.col("mix·at").alias("at"), "left"), seed).withColumnRenamed("name", "cut_name")
+    plan = rows.join(_dealt(rows, seed), F.col("mix·name").eqNullSafe(F.col("name")) & (F.col("mix·at") == F.col("at")), "left").drop("name", "at")
+    plan = plan.join(cuts, F.col("mix·name").eqNullSafe(F.col("cut_name")) & F.col("ends"), "left")
     whole = F.coalesce(F.when(F.col("ends"), F.slice("s", F.lit(1), F.size("s") - 1)).otherwise(F.col("s")), F.array().cast("array<int>"))
-    return shape, plan.select("mix·name", "mix·at", "mix·source_size", "mix·target", whole.alias("mix·shards"), F.when(F.col("ends"), F.element_at("s", -1)).alias("mix·last")), taken
+    columns = [F.col(c).alias(f"mix·{c}") for c in ("sub_order", "sub", "row_order", "row_hash")]
+    return sources, materialise(plan.select("mix·name", "mix·at", "mix·source_size", "mix·target", whole.alias("mix·shards"), F.when(F.col("ends"), F.element_at("s", -1)).alias("mix·last"), *columns), "mix-plan")
 
 
 def draw(docs: DataFrame, keep: list[F.Column], seed: int = 11) -> DataFrame:
     """``keep`` of each row with mix·size, mix·source_size, mix·target and mix·draws, the output shard of each of its draws."""
-    narrow = materialise(_narrow(docs, []), "mix-sizes")
-    same = F.col("mix·source").eqNullSafe(F.col("mix·name"))
-    if narrow.select("mix·source").distinct().count() > PLANNED_SOURCES:
-        shape, plan, taken = _plan_tables(narrow, seed)
-        rows = _narrow(docs, keep).join(shape, same).drop("mix·name").withColumn("mix·place", _block("mix·blocks"))
-        rows = rows.join(plan, same & (F.col("mix·place") == F.col("mix·at")))
-        rows = rows.join(taken, F.col("mix·source").eqNullSafe(F.col("mix·taken_name")) & (F.col("mix·hash") == F.col("mix·taken")), "left")
-        is_taken = F.col("mix·taken").isNotNull()
-    else:
-        shape, plan = _plan(narrow, seed)
-        rows = _narrow(docs, keep).join(F.broadcast(shape), same).drop("mix·name")
-        rows = rows.join(F.broadcast(plan), same & (_block("mix·blocks") == F.col("mix·at")))
-        is_taken = F.array_contains("mix·subs", _sub("mix·sub_blocks"))
+    sources, plan = _plan(materialise(_narrow(docs, []), "mix-sizes"), seed)
+    rows = _placed(_narrow(docs, keep), sources).join(plan, F.col("mix·source").eqNullSafe(F.col("mix·name")) & (F.col("mix·place") == F.col("mix·at")))
+    rows = rows.withColumns({"mix·own_sub": _sub(), "mix·own_order": F.xxhash64(F.lit(seed + 3), "mix·hash")}).withColumn("mix·own_sub_order", F.xxhash64(F.lit(seed + 1), "mix·own_sub"))
+    upto = _before("mix·own_order", "mix·hash", "mix·row_order", "mix·row_hash") | (F.col("mix·hash") == F.col("mix·row_hash"))
+    is_taken = _before("mix·own_sub_order", "mix·own_sub", "mix·sub_order", "mix·sub") | ((F.col("mix·own_sub") == F.col("mix·sub")) & upto)
     more = F.when(is_taken & (F.col("mix·size") > 0), F.array("mix·last"))
     drawn = F.when(F.col("mix·size") > 0, F.col("mix·shards")).otherwise(F.array().cast("array<int>"))
     return rows.withColumn("mix·draws", F.concat(drawn, F.coalesce(more, F.array().cast("array<int>"))))
