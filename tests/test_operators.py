@@ -373,3 +373,14 @@ def test_rows_without_tenant_are_in_lists_over_all(spark, monkeypatch, sent_rows
         got = sorted((r.list, r.query_id, r.key, r.rank, round(r[value], 9)) for r in many.collect())
         want = sorted((name, r.query_id, r.key, r["rank"], round(r[value], 9)) for name, same in lists.items() for r in one(same).collect())
         assert got == want and any(g[0] == "all" and g[2] % 3 == 0 for g in got) and not any(g[0] == "tenant" and (g[1] == 2 or g[2] % 3 == 0) for g in got)
+
+
+def test_chunking_shuffles_nothing(spark, sf_dir, capsys):
+    from tidemark.plans import text_prep
+
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("markdown"))
+    chunking.chunk_pages(raw).explain("formatted")
+    assert "Exchange" not in capsys.readouterr().out
+    odd = spark.createDataFrame([("a", None), ("a", "one"), ("a", "two"), (None, "# h\n\nx")], "path string, markdown string")
+    assert sorted((str(r.path), r.chunk_index, r.section, r.text) for r in chunking.chunk_pages(odd).collect()) == [("None", 0, "h", None), ("a", 0, "", "a\n\none"), ("a", 0, "", "a\n\ntwo")]
+    assert text_prep.page_chunks(spark, sf_dir).count() > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import hashing
-from tidemark.operators import fulltext, fusion, hybrid, posindex, vector
+from tidemark.operators import fulltext, fusion, hybrid, posindex, quantised, vector
 from tidemark.plans import tables as T
 from tidemark.plans.registry import register
 from tidemark.sources.shared import materialise, table_path
@@ -68,6 +68,20 @@ def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("one", F.lit(1)).join(share.select(F.lit(1).alias("one"), "recall"), "one").drop("one")
 
 
+@register("vector_index")
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by a kept index of quantised residuals, opened again after it was written, with its recall and the bytes of its codes a vector byte in every row."""
+    corpus = T.vectors(spark, sf_dir)
+    asked = T.vector_queries(corpus)
+    folder = table_path(spark, "vector-index")
+    quantised.KeptVectors.create(corpus, folder)
+    index, exact = quantised.KeptVectors.open(spark, folder), materialise(vector.exact_top(asked, corpus), "exact")
+    found = materialise(index.search(asked, probes=index.probes(asked, exact)), "found")
+    share = vector.recall(found, exact).select(F.lit(1).alias("one"), "recall")
+    size = index.report().select(F.lit(1).alias("one"), (F.col("code_bytes") / F.col("vector_bytes")).alias("code_share"))
+    return found.withColumn("one", F.lit(1)).join(share, "one").join(size, "one").drop("one")
+
+
 @register("dimension_guard", "SELECT vec_id AS key, len(embedding)::INT AS n FROM embeddings WHERE len(embedding) <> 64 OR embedding IS NULL")
 def dimension_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.wrong_dimension(T.vectors(spark, sf_dir), "vec", 64).select("key", F.size("vec").alias("n"))

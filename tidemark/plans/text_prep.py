@@ -94,8 +94,7 @@ SELECT path, count(DISTINCT block_no) AS n_blocks, sum(length(line))::BIGINT + c
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of all documents: the data holds neither fences nor headings, so a block is a run of lines of one kind."""
     pages = _pages(spark, sf_dir).select("path", F.col("markdown").alias("body"))
-    found = chunking.blocks(chunking.sections(chunking.stripped_lines(pages)))
-    return found.groupBy("path").agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars"))
+    return chunking.page_blocks(pages).groupBy("path").agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars"))
 
 
 @register("page_chunks")
