@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import checks, replay, tickets
+from tidemark.operators import checks, replay, tickets, versions
 from tidemark.plans import tables as T
 from tidemark.plans.registry import register
+from tidemark.sources.shared import table_path
 
 CURRENT = "SELECT path, arg_max(seq, (seq, op_no)) AS seq, arg_max(n_chunks, (seq, op_no)) AS n_chunks, arg_max(live, (seq, op_no)) AS live FROM o {where} GROUP BY path"
 
@@ -22,6 +23,27 @@ def replay_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.view(T.changes(spark, sf_dir), as_of=500).select("path", "seq", "n_chunks")
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> versions.Versions:
+    """All changes as versions, the last third appended later, in layers of 300."""
+    changes, kept = T.changes(spark, sf_dir), versions.Versions(spark, table_path(spark, "versions"))
+    last = changes.agg(F.max("seq")).first()[0] or 0
+    return kept.append(changes.where(F.col("seq") * 3 <= 2 * last), step=max(300, last // 6)).append(changes, step=max(300, last // 6))
+
+
+@register("versions_as_of", f"WITH {T.SQL_CHANGES} SELECT path, seq, n_chunks, payload FROM (SELECT path, arg_max(seq, (seq, op_no)) AS seq, arg_max(n_chunks, (seq, op_no)) AS n_chunks, arg_max(payload, (seq, op_no)) AS payload, arg_max(live, (seq, op_no)) AS live FROM o WHERE seq <= 500 GROUP BY path) WHERE live")
+def versions_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus after change 500, read from one layer of kept versions."""
+    return _versions(spark, sf_dir).as_of(500)
+
+
+@register("versions_compacted", f"WITH {T.SQL_CHANGES} SELECT path, seq, n_chunks FROM ({CURRENT.format(where='')}) WHERE live")
+def versions_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus after all changes, from one layer that all were put into."""
+    kept = _versions(spark, sf_dir)
+    layers = kept.layers()
+    return kept.compact(layers[0][0], layers[-1][1]).as_of(layers[-1][1] - 1).select("path", "seq", "n_chunks")
+
+
 @register("replay_ledger", f"""WITH {T.SQL_CHANGES}, b AS (SELECT *, coalesce(lag(n_chunks) OVER (PARTITION BY path ORDER BY seq, op_no), 0) AS before FROM o),
 g AS (SELECT seq, arg_min(before, op_no) AS chunks_before, arg_max(n_chunks, op_no) AS chunks_after FROM b GROUP BY seq) SELECT c.seq, c.path, change_type, old_path, chunks_before, chunks_after FROM c JOIN g USING (seq)""")
 def replay_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
