@@ -183,6 +183,65 @@ def test_one_row_of_each_class_stays(docs, none):
     assert len(set(brute_classes(rows()))) == sum(ids.values())
 
 
+def aligned_classes(table):
+    """Classes by the rule itself: the longest common subsequence of labelled shingles within the band, for every pair."""
+    grams = []
+    for r in table:
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (r[1] or "").lower())
+        seen, own = Counter(), []
+        for i in range(max(1, len(w) - 4) if w else 0):
+            g = tuple(w[i : i + 5])
+            own.append((g, seen[g]))
+            seen[g] += 1
+        grams.append(own)
+    parent = list(range(len(table)))
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for x, a in enumerate(grams):
+        for y, b in enumerate(grams[:x]):
+            if not a or not b:
+                continue
+            band, row = (len(a) + len(b)) // 9, {}
+            for i in range(len(a) + 1):
+                for j in range(max(0, i - band), min(len(b), i + band) + 1):
+                    if i and j:
+                        row[i, j] = max(row.get((i - 1, j), 0), row.get((i, j - 1), 0), row.get((i - 1, j - 1), 0) + (a[i - 1] == b[j - 1]))
+            m = row.get((len(a), len(b)), 0)
+            if m / (len(a) + len(b) - m) >= 0.8:
+                parent[max(top(x), top(y))] = min(top(x), top(y))
+    return [top(k) for k in range(len(table))]
+
+
+def test_classes_follow_the_banded_subsequence(spark):
+    """Texts that share most shingles in another order, or shifted, repeated, cut and edited, against the rule on every pair."""
+    r, table = random.Random(17), []
+    for g in range(14):
+        base = [f"g{g}w{r.randrange(30)}" for _ in range(r.randrange(8, 60))]
+        for _ in range(8):
+            own = list(base)
+            for _ in range(r.randrange(0, 4)):
+                at, kind = r.randrange(len(own)), r.randrange(5)
+                if kind == 0:
+                    own[at] = f"new{r.randrange(99)}"
+                elif kind == 1:
+                    own.insert(at, "put")
+                elif kind == 2 and len(own) > 7:
+                    del own[at]
+                elif kind == 3:
+                    own = own[at:] + own[:at]  # as a set of shingles much the same
+                else:
+                    own = own + own[: r.randrange(1, 6)]
+            table.append((len(table), " ".join(own)))
+    want = aligned_classes(table)
+    got = {x.doc_id: x.class_id for x in near_dup.classes(spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)).collect()}
+    assert [got[k] for k in range(len(table))] == want
+    assert 14 < len(set(want)) < len(table) and want != brute_classes(table)
+
+
 def test_order_matters_for_alignment():
     a, b = prose(1, 200), prose(2, 200)
     one, two = pa.array([f"{a} {b}", a, "x y"]), pa.array([f"{b} {a}", a, "x z"])
