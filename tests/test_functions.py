@@ -120,6 +120,26 @@ def test_percentiles(spark):
         stats.percentile("v", 101)
 
 
+@pytest.mark.parametrize("small", [20_000, 40, 0])
+def test_percentiles_of_large_groups(spark, small, monkeypatch):
+    """Equal to the built-in, whatever has to be cut again: ties, heavy tails, one value, nulls and a null group."""
+    monkeypatch.setattr(stats, "SMALL", small)
+    r = __import__("random").Random(3)
+    rows = [("normal", r.gauss(0, 1)) for _ in range(3000)] + [("tail", 10.0 ** r.uniform(-200, 200)) for _ in range(900)] + [("ties", float(r.choice([1, 2, 2, 2, 3]))) for _ in range(1500)] + [("one", 7.0)] * 500
+    rows += [(None, float(i)) for i in range(21)] + [("few", 3.5), ("few", None), ("few", float("nan")), ("few", -1.0), ("none", None), ("hot", 0.0)] + [("hot", 5.0)] * 4000 + [("hot", 5.0 + i * 1e-12) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    points = (0, 12.5, 50, 95, 99, 100)
+    got = {x.k: x for x in stats.percentiles(df, "v", points, "k").collect()}
+    want = {x.k: x for x in df.where("NOT isnan(v)").groupBy("k").agg(F.count("v").alias("n"), F.max("v").alias("max"), *(F.percentile("v", p / 100).alias(f"p{p}") for p in points)).collect()}
+    assert set(got) == {k for k, x in want.items() if x.n}
+    for k, x in got.items():
+        assert (x.n, x["max"]) == (want[k].n, want[k]["max"]) and all(x[f"p{p}"] == pytest.approx(want[k][f"p{p}"], rel=1e-12) for p in points), k
+    whole = stats.percentiles(df, "v", (50,)).first()
+    assert whole.n == df.where("v IS NOT NULL AND NOT isnan(v)").count() and stats.percentiles(df.limit(0), "v", (50,), "k").count() == 0
+    with pytest.raises(ValueError):
+        stats.percentiles(df, "v", (101,))
+
+
 @pytest.mark.parametrize(("b", "a"), [(0, 0), (5, 1), (1, 5), (20, 9), (200, 150)])
 def test_mcnemar(spark, b, a):
     rows = [(i, True, False) for i in range(b)] + [(1000 + i, False, True) for i in range(a)] + [(5000, True, True)]
