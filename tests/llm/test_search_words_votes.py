@@ -64,7 +64,7 @@ def test_search_matches_brute_force(spark, docs, none):
     want = brute_search(table, ITEMS)
     index = ranked_search.build(corpus).cache()
     assert sorted((tuple(r) for r in ranked_search.search(index, items).collect()), key=str) == want
-    assert index.selectExpr("sum(size(docs))").first()[0] == len(table)
+    assert index.selectExpr("sum(size(sizes))").first()[0] == len(table) and index.where("text IS NOT NULL").count() == sum(bool(re.search(r"\w", t or "")) for _, t in table)
     empty = ranked_search.build(none)
     assert ranked_search.search(empty, items).collect() == [] and ranked_search.search(index, items.limit(0)).collect() == []
     assert ranked_search.search(empty, items).columns == ["item_id", "rank", "doc_id", "score"]
@@ -83,16 +83,16 @@ def test_bounds_are_never_below_the_scores():
     texts = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(0, 60))) for _ in range(300)] + [None, "", "x"]
     terms = ranked_search.Terms([["a", "bb", "ccc", "x"], ["zz"], ["a", "d"]])
     terms.weigh(300, 9000, np.array([5, 7, 100, 3, 9, 0])[: len(terms.hashes)])
-    seen = 0
-    for block in ranked_search.blocks_of(list(range(len(texts))), pa.array(texts, pa.string())):
+    seen = hits = 0
+    for block in ranked_search.blocks_of(pa.array(texts, pa.string())):
         bounds = terms.bounds(np.array(block["sizes"]), np.array(block["most"]), block["slices"])
-        scores = terms.scores(pa.array(block["texts"], pa.string()))
-        assert (bounds >= scores).all() and (scores > 0).any() and len(block["docs"]) <= ranked_search.BLOCK_DOCS
-        seen += len(block["docs"])
-    assert seen == len(texts)
+        scores = terms.scores(pa.array([texts[k] for k in block["rows"]], pa.string()))
+        assert (bounds >= scores).all() and len(block["rows"]) <= ranked_search.BLOCK_DOCS
+        hits, seen = hits + (scores > 0).sum(), seen + len(block["rows"])
+    assert seen == len(texts) and hits
     unsaid = ranked_search.Terms([["yy"]])
     unsaid.weigh(300, 9000, np.array([1]))
-    claims = [unsaid.bounds(np.array(b["sizes"]), np.array(b["most"]), b["slices"]) > 0 for b in ranked_search.blocks_of(list(range(len(texts))), pa.array(texts, pa.string()))]
+    claims = [unsaid.bounds(np.array(b["sizes"]), np.array(b["most"]), b["slices"]) > 0 for b in ranked_search.blocks_of(pa.array(texts, pa.string()))]
     assert sum(c.sum() for c in claims) < 0.05 * len(texts)
 
 

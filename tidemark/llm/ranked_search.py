@@ -10,7 +10,8 @@ terms of a query bounds its score.
 A query batch is answered in three scans, all of them distributed: the documents with the greatest
 bounds are scored exactly, which gives a score that the k best must reach; then every document whose
 bound reaches it is scored exactly from its whole text. Only documents that provably miss the k best
-are left out. A scan over bounds reads no texts.
+are left out. Texts are rows of their own in the index: a scan over bounds reads none, and only those of
+chosen documents are taken apart.
 
 Terms are maximal runs of ASCII letters, digits and characters above U+007F, A to Z lower-cased, known
 by a 64-bit hash. The index also keeps each block's distinct terms with the number of its documents
@@ -43,6 +44,8 @@ BITS, HASHES = 12, 4
 BLOCK_DOCS, BLOCK_BITS = 1024, 1 << 25
 #: Texts are dealt into blocks by size among so many bytes of them.
 GROUP_BYTES = 8 << 20
+#: Most chosen documents that are sent to all tasks; more are joined by shuffle.
+SENT_KEYS = 1_000_000
 #: Query terms, query terms with repeats, and documents that are worked on at a time.
 TERMS, ASKED, EXACT = 2048, 8192, 128
 K = 10
@@ -56,7 +59,8 @@ _PLACE, _BLOCK = 10, 30
 #: A null document id stands behind all others.
 _NO_ID = np.iinfo(np.int64).max
 
-INDEX = "block long, docs array<long>, sizes array<long>, most array<long>, n_docs long, n_terms long, slices binary, terms binary, counts binary, texts array<string>"
+#: A row of a block has its signatures; a row of a document with terms has its key (block and place), id and text.
+INDEX = "key long, doc long, text string, block long, sizes array<long>, most array<long>, n_docs long, n_terms long, slices binary, terms binary, counts binary"
 
 
 def _places(hashes: np.ndarray, tier: int, j: int, bits: int) -> np.ndarray:
@@ -75,11 +79,24 @@ def _counted(data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[at], term[at], np.diff(np.append(at, len(doc))), np.diff(w.word_at)
 
 
-def blocks_of(docs: list[int | None], texts: pa.Array) -> Iterator[dict]:
-    """Index rows, without their number, of documents."""
-    for row, data, text_at in W.slices(texts, GROUP_BYTES):
-        n = len(text_at) - 1
-        doc, term, tf, size = _counted(data, text_at)
+def _groups(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of the first, documents, term hashes, counts, sizes) of about GROUP_BYTES of texts; hashes are made of a slice at a time."""
+    held, begun, size, n = [], 0, 0, 0
+    for row, data, text_at in W.slices(texts):
+        doc, term, tf, sizes = _counted(data, text_at)
+        held.append((doc + n, term, tf, sizes))
+        n, size = n + len(sizes), size + len(data)
+        if size >= GROUP_BYTES:
+            yield (begun, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, begun, size, n = [], begun + n, 0, 0
+    if held:
+        yield (begun, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def blocks_of(texts: pa.Array) -> Iterator[dict]:
+    """Index rows of blocks, without their number; ``rows`` are the places of their documents in ``texts``."""
+    for row, doc, term, tf, size in _groups(texts):
+        n = len(size)
         first = np.searchsorted(doc, np.arange(n + 1))
         tiers = sum((tf >= t).astype(np.int64) for t in TIERS)
         entries = W.per_text(tiers, first)
@@ -91,7 +108,7 @@ def blocks_of(docs: list[int | None], texts: pa.Array) -> Iterator[dict]:
             while end < n and end - at < BLOCK_DOCS and entries[order[end]] <= 2 * least + 16 and BITS * int(entries[order[end]]) * (end - at + 1) <= BLOCK_BITS:
                 end += 1
             own = np.sort(order[at:end])
-            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in own]) if len(own) else np.zeros(0, np.int64)
+            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in own])
             place = np.repeat(np.arange(len(own)), np.diff(first)[own])
             bits = max(64, BITS * int(entries[order[end - 1]]))
             table = np.zeros((bits, len(own)), bool)
@@ -102,16 +119,14 @@ def blocks_of(docs: list[int | None], texts: pa.Array) -> Iterator[dict]:
             most = np.zeros(len(own), np.int64)
             np.maximum.at(most, place, tf[rows])
             terms, counts = np.unique(term[rows], return_counts=True)
-            yield {
-                "docs": [docs[row + d] for d in own], "sizes": size[own], "most": most, "n_docs": int((size[own] > 0).sum()), "n_terms": int(size[own].sum()),
-                "slices": np.packbits(table, axis=1).tobytes(), "terms": terms.tobytes(), "counts": counts.astype(np.uint32).tobytes(), "texts": [texts[row + int(d)].as_py() for d in own],
-            }
+            yield {"rows": row + own, "sizes": size[own], "most": most, "n_docs": int((size[own] > 0).sum()), "n_terms": int(size[own].sum()), "slices": np.packbits(table, axis=1).tobytes(), "terms": terms.tobytes(), "counts": counts.astype(np.uint32).tobytes()}
             at = end
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The index rows of ``docs``; write them once and search them as often as needed."""
-    schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("most", pa.list_(pa.int64())), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("slices", pa.large_binary()), ("terms", pa.large_binary()), ("counts", pa.large_binary()), ("texts", pa.list_(pa.large_string()))])
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in INDEX.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -119,8 +134,13 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()
-            for found in blocks_of(batch.column(1).to_pylist(), batch.column(2)):
-                yield pa.RecordBatch.from_pylist([found | {"block": part << _BLOCK | n}], schema=schema)
+            for found in blocks_of(batch.column(2)):
+                rows, block = found.pop("rows"), part << _BLOCK | n
+                yield pa.RecordBatch.from_pylist([found | {"block": block}], schema=schema)
+                worded = np.flatnonzero(found["sizes"])
+                take = pa.array(rows[worded])
+                own = {"key": pa.array((block << _PLACE) + worded), "doc": batch.column(1).take(take), "text": batch.column(2).take(take)}
+                yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else pa.nulls(len(worded), f.type) for f in schema], schema=schema)
                 n += 1
 
     return docs.select(F.spark_partition_id().cast("long").alias("part"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, INDEX)
@@ -171,7 +191,7 @@ class Terms:
         for at in range(0, len(self.hashes), TERMS):
             hashes = self.hashes[at : at + TERMS]
             claimed = np.full((len(hashes), table.shape[1]), 255, np.uint8)
-            level = np.zeros((len(hashes), n), np.intp)
+            level = np.zeros((len(hashes), n), np.uint8)
             for k in range(len(TIERS)):
                 for j in range(HASHES):
                     claimed &= table[_places(hashes, k, j, len(table))]
@@ -219,60 +239,55 @@ def _numbers(batch: pa.RecordBatch, column: str, k: int) -> np.ndarray:
     return batch.column(column)[k].values.to_numpy(zero_copy_only=False)
 
 
+def _bounds(batch: pa.RecordBatch, terms: Terms) -> Iterator[tuple[int, np.ndarray]]:
+    """(key of the first document, bounds) of each block."""
+    for i in range(batch.num_rows):
+        yield batch.column("block")[i].as_py() << _PLACE, terms.bounds(_numbers(batch, "sizes", i), _numbers(batch, "most", i), batch.column("slices")[i].as_py())
+
+
+def _signatures(index: DataFrame) -> DataFrame:
+    return index.where("slices IS NOT NULL").select("block", "sizes", "most", "slices")
+
+
 def _greatest_bounds(index: DataFrame, terms: Terms, k: int) -> DataFrame:
-    """(query_id, key, value): the k greatest bounds of each item in each partition; key is block and place."""
+    """(query_id, key, value): the k greatest bounds of each item in each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(terms.at) - 1, k)
         for batch in batches:
-            for i in range(batch.num_rows):
-                sizes = _numbers(batch, "sizes", i)
-                bounds = terms.bounds(sizes, _numbers(batch, "most", i), batch.column("slices")[i].as_py())
+            for first, bounds in _bounds(batch, terms):
                 query, place = np.nonzero((bounds > 0) & (bounds >= best.least[:, None]))
-                best.add(query, bounds[query, place].astype(np.float64), (batch.column("block")[i].as_py() << _PLACE) + place)
+                best.add(query, bounds[query, place].astype(np.float64), first + place)
         yield _found(best)
 
-    return index.select("block", "sizes", "most", "slices").mapInArrow(run, _FOUND)
+    return _signatures(index).mapInArrow(run, _FOUND)
 
 
-def _scored(index: DataFrame, terms: Terms, chosen: dict[int, list[int]]) -> DataFrame:
-    """(query_id, key, value): the exact scores above 0 of all items on the chosen places of blocks."""
+def _reaching(index: DataFrame, terms: Terms, least: np.ndarray) -> DataFrame:
+    """(key) of each document of which a bound reaches what the item asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.column("block")[i].as_py()
-                places = np.array(chosen[block])
-                scores = terms.scores(batch.column("texts")[i].values.take(pa.array(places)))
-                query, n = np.nonzero(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array((block << _PLACE) + places[n], pa.int64()), pa.array(scores[query, n].astype(np.float64))], ["query_id", "key", "value"])
+            for first, bounds in _bounds(batch, terms):
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.flatnonzero((bounds >= least[:, None]).any(0)))], ["key"])
 
-    wanted = index.sparkSession.createDataFrame([(b,) for b in chosen], "block long")
-    return index.select("block", "texts").join(F.broadcast(wanted), "block", "left_semi").mapInArrow(run, _FOUND)
+    return _signatures(index).mapInArrow(run, "key long")
 
 
-def _reaching(index: DataFrame, terms: Terms, least: np.ndarray, k: int) -> DataFrame:
-    """(query_id, key, value): the k best exact scores of each item in each partition, over all documents whose bound reaches ``least``; key is the document."""
+def _scored(index: DataFrame, terms: Terms, chosen: DataFrame, least: np.ndarray, k: int) -> DataFrame:
+    """(query_id, key, value): the k best exact scores of each item in each partition over the chosen documents, from ``least`` on; key is the document's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(terms.at) - 1, k)
         for batch in batches:
-            for i in range(batch.num_rows):
-                bounds = terms.bounds(_numbers(batch, "sizes", i), _numbers(batch, "most", i), batch.column("slices")[i].as_py())
-                open_ = bounds >= np.maximum(least, best.least)[:, None]
-                places = np.flatnonzero(open_.any(0))
-                if not len(places):
-                    continue
-                keys = batch.column("docs")[i].values.fill_null(_NO_ID).to_numpy(zero_copy_only=False)[places]
-                texts = batch.column("texts")[i].values
-                for at in range(0, len(places), EXACT):
-                    part = places[at : at + EXACT]
-                    scores = terms.scores(texts.take(pa.array(part)))
-                    query, n = np.nonzero((scores > 0) & (scores >= least[:, None]) & open_[:, part])
-                    best.add(query, scores[query, n].astype(np.float64), keys[at + n])
+            keys = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, EXACT):
+                scores = terms.scores(batch.column(1).slice(at, EXACT))
+                query, n = np.nonzero((scores > 0) & (scores >= least[:, None]))
+                best.add(query, scores[query, n].astype(np.float64), keys[at + n])
         yield _found(best)
 
-    return index.select("block", "docs", "sizes", "most", "slices", "texts").mapInArrow(run, _FOUND)
+    return index.where("text IS NOT NULL").select("key", "doc", "text").join(chosen, "key", "left_semi").select("doc", "text").mapInArrow(run, _FOUND)
 
 
 def _held(index: DataFrame, terms: Terms) -> np.ndarray:
@@ -290,7 +305,7 @@ def _held(index: DataFrame, terms: Terms) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["term", "n"])
 
-    found = index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = index.where("slices IS NOT NULL").select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(hashes), np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -319,15 +334,15 @@ def search(index: DataFrame, items: DataFrame, key: str = "item_id", text: str =
             continue
         terms = Terms(batch.column("terms").to_pylist())
         terms.weigh(totals[0], totals[1], _held(index, terms))
-        # at most k rows an item reach the driver
-        chosen: dict[int, list[int]] = {}
-        for row in ranked(_greatest_bounds(index, terms, k), "value", k).select("key").distinct().collect():
-            chosen.setdefault(row["key"] >> _PLACE, []).append(row["key"] & ((1 << _PLACE) - 1))
+        # at most k documents an item
+        first = F.broadcast(materialise(ranked(_greatest_bounds(index, terms, k), "value", k).select("key").distinct(), "search-first"))
         least = np.ones(batch.num_rows)
-        if chosen:
-            exact = ranked(_scored(index, terms, chosen), "value", k).where(F.col("rank") == k).select("query_id", "value").toArrow()
-            least[exact.column("query_id").to_numpy()] = exact.column("value").to_numpy()
-        found = ranked(_reaching(index, terms, least, k), "value", k)
+        exact = ranked(_scored(index, terms, first, least, k), "value", k).where(F.col("rank") == k).select("query_id", "value").toArrow()
+        least[exact.column("query_id").to_numpy()] = exact.column("value").to_numpy()
+        chosen = materialise(_reaching(index, terms, least), "search-chosen")
+        if chosen.count() <= SENT_KEYS:
+            chosen = F.broadcast(chosen)
+        found = ranked(_scored(index, terms, chosen, least, k), "value", k)
         names = items.sparkSession.createDataFrame([(i, v) for i, v in enumerate(batch.column("item_id").to_pylist())], f"query_id long, item_id {asked.schema['item_id'].dataType.simpleString()}")
         named = found.join(F.broadcast(names), "query_id")
         parts.append(named.select("item_id", "rank", F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), F.col("value").cast("long").alias("score")))
