@@ -384,3 +384,36 @@ def test_chunking_shuffles_nothing(spark, sf_dir, capsys):
     odd = spark.createDataFrame([("a", None), ("a", "one"), ("a", "two"), (None, "# h\n\nx")], "path string, markdown string")
     assert sorted((str(r.path), r.chunk_index, r.section, r.text) for r in chunking.chunk_pages(odd).collect()) == [("None", 0, "h", None), ("a", 0, "", "a\n\none"), ("a", 0, "", "a\n\ntwo")]
     assert text_prep.page_chunks(spark, sf_dir).count() > 0
+
+
+def test_meeting_many_queries_takes_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 20_000
+    asked = pa.table({"query_id": np.arange(n), "g": np.zeros(n, np.int64), "terms": pa.array([["pod", "node"]] * n)})
+    terms, best = fulltext.Terms(asked), topk.Best(n, 2)
+    code, doc = np.tile([0, 1], 256), np.repeat(np.arange(256), 2)
+    tracemalloc.start()
+    terms.meet(code, doc, None, np.arange(256), np.zeros(256, np.int64), False, best)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20 and sorted(set(best.key.tolist())) == [0, 1] and len(best.key) == 2 * n
+
+
+def test_stems_meet_texts_as_postings_do(spark, sf_dir):
+    from tidemark.plans import retrieval, tables
+
+    index = fulltext.stemmed(fulltext.postings(tables.texts(spark, sf_dir)))
+    want = fulltext.search(fulltext.stemmed_terms(tables.text_queries(spark, sf_dir)), index)
+    found = retrieval.fts_stemmed(spark, sf_dir)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and "explode" not in found._jdf.queryExecution().toString()
+
+
+def test_tokens_split_as_the_pattern_does():
+    import pyarrow as pa
+
+    texts = pa.array(["x", "ab", "cd_1 é2f", None, "", "  ", "g-h", "i"])[1:]
+    found, doc = fulltext.split(texts)
+    assert list(zip(found.to_pylist(), doc.tolist(), strict=True)) == [("ab", 0), ("cd_1", 1), ("2f", 1), ("g", 5), ("h", 5), ("i", 6)]

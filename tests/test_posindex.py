@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,42 @@ def test_empty_index(spark, tmp_path, asked):
     docs = spark.createDataFrame([], "key long, text string")
     kept = posindex.KeptIndex(spark, str(tmp_path / "i")).append(docs, 0)
     assert kept.search(asked).collect() == [] and kept.cover(spark.createDataFrame([(1, "pod")], "query_id long, text string")).collect() == []
+
+
+def test_a_zone_has_the_density_of_each_text(spark):
+    r = random.Random(11)
+    texts = [" ".join(r.choice(WORDS) for _ in range(r.randint(0, 40))) for _ in range(120)]
+    rows = posindex._blocks(3, pa.array(range(120), pa.int64()), pa.array([i % 2 if i % 7 else None for i in range(120)], pa.int64()), pa.array(texts), False)
+    typed = ["pod", "pod node", '"pod node" dns', 'dns -"pod volume"', "pod volume OR dns leak -mount", '"volume the dns" OR running', "nowhere OR leak", "-pod"]
+    parsed = [[u.asDict(True) for u in spark.range(1).select(posindex.parse(F.lit(q)).alias("u")).first().u] for q in typed]
+    for units in parsed:
+        alternatives = {}
+        for u in units:
+            alternatives.setdefault(u["alternative"], ([], []))[u["negated"]].append(tuple((w["token"], w["place"]) for w in u["words"]))
+        words = sorted({w["token"] for u in units if not u["negated"] for w in u["words"]})
+        zone = posindex._Zone(rows, 4)
+        docs, score = zone.density(list(alternatives.values()), words, None)
+        got = dict(zip(zone.keys[docs].tolist(), score.tolist(), strict=True))
+        for key, text in enumerate(texts):
+            spots = {}
+            for i, w in enumerate(text.split()):
+                spots.setdefault(w, []).append(i)
+            assert got.get(key, 0.0) == pytest.approx(posindex.density(units, spots)), (units, text)
+
+
+@pytest.mark.parametrize("mode", ["any", "all"])
+def test_no_pair_of_query_and_document_is_a_row(index, asked, mode):
+    """Postings of a sent batch are not exploded and not grouped by query and document."""
+    assert "explode" not in index.search(asked, 7, mode)._jdf.queryExecution().toString()
+
+
+def test_covered_postings_stay_in_their_zone(spark, index):
+    typed = spark.createDataFrame([(1, "pod node"), (2, 'dns OR "leak pod"')], "query_id long, text string")
+    plan = index.cover(typed, 5)._jdf.queryExecution().toString()
+    assert "explode" not in plan and "MapInArrow" in plan
+
+
+def test_building_an_index_runs_once(spark, corpus):
+    """Blocks are not dealt out after they are made, for which a range of them would be sampled by making all twice."""
+    plan = posindex.build(corpus)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("rangepartitioning") and plan.count("rangepartitioning") == 1

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 SENT_ROWS, SENT_BYTES = 8192, 64 << 20
 
 
-def sent(side: DataFrame) -> pa.Table | None:
-    """The rows of a query side as one table if they are within SENT_ROWS and SENT_BYTES, else None. No more than SENT_ROWS + 1 rows are fetched."""
-    got = side.limit(SENT_ROWS + 1).toArrow()
-    return got if got.num_rows <= SENT_ROWS and got.nbytes <= SENT_BYTES else None
+def sent(side: DataFrame, scale: int = 1) -> pa.Table | None:
+    """The rows of a query side as one table if they are within ``scale`` times SENT_ROWS and within SENT_BYTES, else None. No more than one row beyond that is fetched."""
+    most = SENT_ROWS * scale
+    got = side.limit(most + 1).toArrow()
+    return got if got.num_rows <= most and got.nbytes <= SENT_BYTES else None
 
 
 class Best:
@@ -29,14 +30,18 @@ class Best:
         near = value >= self.least[query]
         if not near.any():
             return
-        query, value, key = (np.concatenate(x) for x in ((self.query, query[near]), (self.value, value[near]), (self.key, key[near])))
+        query, value, key = query[near], value[near], key[near]
+        met = np.zeros(len(self.least), bool)
+        met[query] = True
+        own = met[self.query]  # only queries that get rows are ordered again
+        rest = self.query[~own], self.value[~own], self.key[~own]
+        query, value, key = (np.concatenate(x) for x in ((self.query[own], query), (self.value[own], value), (self.key[own], key)))
         order = np.lexsort((key, -value, query))
         query, value, key = query[order], value[order], key[order]
-        first = np.searchsorted(query, query)
-        kept = np.arange(len(query)) - first < self.k
-        last = np.arange(len(query)) - first == self.k - 1
-        self.least[query[last]] = value[last]
-        self.query, self.value, self.key = query[kept], value[kept], key[kept]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        self.least[query[place == self.k - 1]] = value[place == self.k - 1]
+        kept = place < self.k
+        self.query, self.value, self.key = (np.concatenate(x) for x in ((rest[0], query[kept]), (rest[1], value[kept]), (rest[2], key[kept])))
 
 
 def ranked(rows: DataFrame, value: str, k: int, *by: str) -> DataFrame:

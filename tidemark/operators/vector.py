@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.operators.topk import Best, ranked, sent
+from tidemark.sources.shared import spread
 
 QUERY_BLOCK, CORPUS_BLOCK, K = 1024, 16_384, 20
 #: Rows of the corpus that meet the queries at a time inside a task.
@@ -78,6 +79,8 @@ def _scanned(asked: dict[str, pa.Table], corpus: DataFrame, k: int) -> DataFrame
             found = queries.found(best)
             yield pa.RecordBatch.from_arrays([pa.array([name] * found.num_rows, pa.string()), *found.columns], ["list", *found.schema.names])
 
+    if max(map(len, asked.values())) > QUERY_BLOCK:  # then each row is much work
+        corpus = spread(corpus)
     return corpus.mapInArrow(run, f"list string, {_FOUND}")
 
 
@@ -87,7 +90,8 @@ def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         held = _Asked(asked)
         best = Best(len(held.ids), k)
-        held.meet(rows, best)
+        for at in range(0, len(rows), ROWS):
+            held.meet(rows.slice(at, ROWS), best)
         return pa.Table.from_batches([held.found(best)])
 
     blocks = lambda df, size, name: df.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias(name))

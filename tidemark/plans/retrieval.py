@@ -202,10 +202,7 @@ def _sql_stem(word: str) -> str:
 m AS (SELECT st.query_id, si.key, sum(tf)::BIGINT AS hits FROM st JOIN si ON st.token = si.token GROUP BY ALL) SELECT query_id, key, hits, (row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, key))::INT AS rank FROM m QUALIFY rank <= 20""")
 def fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any-term search by stems on both sides."""
-    index = fulltext.stemmed(fulltext.postings(T.texts(spark, sf_dir)))
-    asked = T.text_queries(spark, sf_dir).select("query_id", F.explode("terms").alias("token"), F.lit(1).alias("tf"))
-    asked = fulltext.stemmed(asked).groupBy("query_id").agg(F.collect_set("token").alias("terms"))
-    return fulltext.search(asked, index)
+    return fulltext.match(fulltext.stemmed_terms(T.text_queries(spark, sf_dir)), T.texts(spark, sf_dir), stemmed_words=True)
 
 
 def hybrid_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
