@@ -42,3 +42,18 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
 @pytest.mark.parametrize("n", range(1, 11))
 def test_each_operator_has_a_query(n):
     assert sum(q.startswith(f"op{n}_") for q in __spark_entry__.queries()) == 1
+
+
+def test_ranges_of_shards_need_no_python_worker(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import sharding
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 90, 2560):
+        splitters = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        keys = [*rng.integers(-(1 << 63), (1 << 63) - 1, 300).tolist(), *splitters[:50].tolist(), -(1 << 63), (1 << 63) - 1]
+        rows = spark.createDataFrame([(k,) for k in keys], "k long").withColumn("r", sharding._range_of("k", splitters))
+        assert [r.r for r in rows.collect()] == np.searchsorted(splitters, np.array([r.k for r in rows.select("k").collect()], np.int64), "right").tolist()
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString() and rows.schema["r"].dataType.simpleString() == "int"

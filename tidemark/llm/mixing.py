@@ -48,6 +48,7 @@ def word_count(texts: pa.Array) -> pa.Array:
         heads = at[:-1][at[:-1] < at[1:]]
         starts[heads] = inside[heads]
         out.append(W.per_text(starts, at))
+    W.give_back()
     return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())
 
 

@@ -115,6 +115,7 @@ def _sketch_of(texts: pa.Array) -> pa.Array:
         counts.append(n.astype(np.int32))
         if len(grams):
             lists.append(_order_minhash(at[:-1][n > 0], grams))
+    W.give_back()
     counts, values = np.concatenate(counts), np.concatenate(lists).view(np.int64).ravel()
     sizes = np.where(counts > 0, SKETCHES, 0)
     sketches = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
@@ -308,6 +309,8 @@ def _links_of_block(asking: pa.Table, members: pa.Table) -> pa.Table:
             ra, rb = (by[np.searchsorted(x, sketch, "left") : np.searchsorted(x, sketch, "right")] for by, x in ((by_a, sorted_a), (by_b, sorted_b)))
             if len(rb):
                 _links_of_bucket(a, ra, b, rb, asks, sketch, kept, top)
+        del a, b, kept
+        W.give_back()
     return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
 

@@ -111,7 +111,9 @@ def text_counts(texts: pa.Array) -> list[np.ndarray]:
 
 @F.arrow_udf(SHAPE)
 def _counts_of(texts: pa.Array) -> pa.Array:
-    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in text_counts(texts)], COUNTS)
+    found = text_counts(texts)
+    W.give_back()
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], COUNTS)
 
 
 def _rules() -> dict[str, tuple]:

@@ -7,6 +7,7 @@ ASCII bytes out of longer characters, so classes made of ASCII bytes and "all ab
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,6 +66,14 @@ class Words:
     word_at: np.ndarray  # first word of each text, and the count
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system: a worker that waits for its next task holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of texts of about ``size`` bytes: (row of the first, bytes, offsets). A null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
